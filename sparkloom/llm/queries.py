@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, repetition, secrets, shards, simhash, templates, wordpieces
+from . import language, lines, mixing, repetition, secrets, shards, simhash, surrogates, templates, wordpieces
 
 QUERIES = {
     "op1_suffix_repetition": repetition.op1_suffix_repetition,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minimax_shards": shards.op5_minimax_shards,
     "op6_wordpiece_counts": wordpieces.op6_wordpiece_counts,
     "op7_poisson_mix": mixing.op7_poisson_mix,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_template_decontam": templates.op9_template_decontam,
     "op10_ball_simhash": simhash.op10_ball_simhash,
 }
