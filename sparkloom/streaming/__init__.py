@@ -1,0 +1 @@
+"""The language has no streaming operators: sources are bounded and every query is one batch plan."""
