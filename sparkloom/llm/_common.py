@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes of an Arrow batch on its way to a Python worker; a single larger row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one numpy step works on; a single longer text makes a step of its own.
 STEP_BYTES = 3 << 20
 
@@ -26,6 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> None:

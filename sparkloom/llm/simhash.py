@@ -36,7 +36,7 @@ RADIUS = 4
 SLICE_BITS = 3
 #: Records of a bucket, on average; and fingerprints whose values a task makes at a time.
 BUCKET_RECORDS = 1 << 19
-STEP = 4096
+STEP = 2048
 #: Distinct fingerprints of a task, on average.
 TASK_FINGERPRINTS = 16_384
 
