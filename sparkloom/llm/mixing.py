@@ -63,15 +63,18 @@ def source_rates(df: DataFrame, source: str = "source", text: str = "text", alph
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, alpha: float = ALPHA, epochs: float = EPOCHS, weights: DataFrame | None = None) -> DataFrame:
     """df's columns with copy_no (from 0), n_copies and shuffle_key: the mixture in the order of partitions and keys."""
     copy_no, n_copies, shuffle_key = like("copy_no", df), like("n_copies", df), like("shuffle_key", df)
+    u, dg, ident = like("__u", df), like("__digest", df), like("__identity", df)
     rates = source_rates(df, source, text, alpha, epochs, weights)
+    of, cdf = like("__source", df), like("__cdf", df)
+    rates = rates.select(F.col("__source").alias(of), F.col("__cdf").alias(cdf))
     digest = F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit("null"))
     identity = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
-    drawn = df.withColumns({"__u": uniform(F.lit(seed), identity, digest), "__digest": digest, "__identity": identity})
+    drawn = df.withColumns({u: uniform(F.lit(seed), identity, digest), dg: digest, ident: identity})
     # the table of rates has a row a source: Spark broadcasts it below its size limit, else joins by shuffle and splits a hot source
-    joined = drawn.join(rates, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    counted = joined.withColumn(n_copies, F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+    joined = drawn.join(rates, F.col(f"`{source}`").eqNullSafe(F.col(of)))
+    counted = joined.withColumn(n_copies, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
     copies = counted.where(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
-    keyed = copies.withColumn(shuffle_key, F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.lit("order"), F.col("__identity"), F.col("__digest"), F.col(copy_no).cast("string")).cast("binary")), 1, 16))
+    keyed = copies.withColumn(shuffle_key, F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.lit("order"), F.col(ident), F.col(dg), F.col(copy_no).cast("string")).cast("binary")), 1, 16))
     dropped = keyed.select(*[F.col(f"`{c}`") for c in df.columns], copy_no, n_copies, shuffle_key)
     return dropped.repartition(shuffle_key).sortWithinPartitions(shuffle_key)
 

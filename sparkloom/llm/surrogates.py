@@ -264,7 +264,8 @@ def replace_entities(df: DataFrame, text: str = "text", key: str = KEY, sent: in
 
         return df.mapInArrow(run, schema)
 
-    numbered = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    row, draws_of, other = like("__row", df), like("__later", df), like("__held_row", df)
+    numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,9 +273,9 @@ def replace_entities(df: DataFrame, text: str = "text", key: str = KEY, sent: in
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "value"])
 
-    held = numbered.select("__row", F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mentions, "row long, kind string, value string")
-    by = held.join(later, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "draw")).alias("__later"))
-    joined = numbered.join(by, F.col("__row") == F.col("row"), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__later")
+    held = numbered.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mentions, "row long, kind string, value string")
+    by = held.join(later, ["kind", "value"]).groupBy(F.col("row").alias(other)).agg(F.collect_list(F.struct("kind", "value", "draw")).alias(draws_of))
+    joined = numbered.join(by, F.col(row) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in df.columns], draws_of)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, map_texts, raw, small_batches, steps, strings, texts, word_spans
+from ._common import cut, documents, like, map_texts, raw, small_batches, steps, strings, texts, word_spans
 
 WINDOW = 13
 SHORTEST = 6
@@ -280,9 +280,10 @@ def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", windo
     """df without the contaminated rows."""
     found = benchmark_index(bench, window, most)
     if found is None:
-        numbered = cut(df.withColumn("__row", F.monotonically_increasing_id()))
-        bad = _joined(numbered, bench, text, "__row", window).select("__row").distinct()
-        return numbered.join(bad, "__row", "left_anti").drop("__row")
+        row = like("__row", df)
+        numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
+        bad = _joined(numbered, bench, text, row, window).select(row).distinct()
+        return numbered.join(bad, row, "left_anti").drop(row)
     small_batches(df.sparkSession)
     at = df.columns.index(text)
 
