@@ -28,17 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, map_texts, raw, release
+from ._common import cut, documents, like, map_texts, raw, release
 
 WORDS = 4
 SEED = 42
 RADIUS = 4
-SLICE_BITS = 3
-#: Records of a bucket, on average; and fingerprints whose values a task makes at a time.
+#: The values are dealt to at least 2 ** LEAST_SLICE_BITS slices, and to more from SLICE_RECORDS records a slice on.
+LEAST_SLICE_BITS = 3
+SLICE_RECORDS = 1 << 36
+#: Records of a bucket and of a partition, on average; and records that a task makes at a time.
 BUCKET_RECORDS = 1 << 19
-STEP = 2048
-#: Distinct fingerprints of a task, on average.
+PARTITION_RECORDS = 1 << 23
+STEP_RECORDS = 1 << 19
+#: Distinct fingerprints of a task, on average, and tasks from which on they have more.
 TASK_FINGERPRINTS = 16_384
+TASKS = 100_000
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -90,17 +94,18 @@ class Ball:
         return out
 
 
-def _emit(ball: Ball, at: int, bucket_bits: int):
+def _emit(ball: Ball, at: int, slice_bits: int, bucket_bits: int):
     """Of the fingerprints, the values in slice `at`, packed by bucket."""
-    low, mask = np.uint64(SLICE_BITS), np.uint64((1 << SLICE_BITS) - 1)
+    low, mask = np.uint64(slice_bits), np.uint64((1 << slice_bits) - 1)
     of_flips = ball.hashed(ball.flips)
-    by_slice = [np.flatnonzero((of_flips & mask) == k) for k in range(1 << SLICE_BITS)]
+    by_slice = [np.flatnonzero((of_flips & mask) == k) for k in range(1 << slice_bits)]
+    step = max(1, (STEP_RECORDS << slice_bits) // len(ball.flips))
     keep = np.uint64((1 << bucket_bits) - 1)
 
     def pack(x: np.ndarray) -> pa.RecordBatch:
         h = ball.hashed(x)
         values, codes, buckets = [], [], []
-        for k in range(1 << SLICE_BITS):
+        for k in range(1 << slice_bits):
             own, flips = np.flatnonzero((h & mask) == np.uint64(k)), by_slice[k ^ at]
             values.append((x[own, None] ^ ball.flips[flips]).ravel())
             codes.append(np.broadcast_to(flips.astype(np.uint16), (len(own), len(flips))).ravel())
@@ -117,7 +122,7 @@ def _emit(ball: Ball, at: int, bucket_bits: int):
         held: list[np.ndarray] = []
         for batch in batches:
             held.append(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
-            if sum(map(len, held)) >= STEP:
+            if sum(map(len, held)) >= step:
                 yield pack(np.concatenate(held))
                 held = []
         if sum(map(len, held)):
@@ -215,12 +220,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = fps.sparkSession
     ball = Ball(radius)
     n = fps.count()
-    bits = max(0, (n * len(ball.flips) >> SLICE_BITS) // BUCKET_RECORDS).bit_length()
-    fps = cut(fps.select("fp").repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_FINGERPRINTS)), "fp"))
+    slice_bits = max(LEAST_SLICE_BITS, (n * len(ball.flips) // SLICE_RECORDS).bit_length())
+    records = n * len(ball.flips) >> slice_bits  # of a slice
+    bits = (records // BUCKET_RECORDS).bit_length()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // PARTITION_RECORDS))
+    fps = cut(fps.select("fp").repartition(max(spark.sparkContext.defaultParallelism, min(TASKS, -(-n // TASK_FINGERPRINTS))), "fp"))
     out = None
-    for at in range(1 << SLICE_BITS):
-        values = fps.mapInArrow(_emit(ball, at, bits), "bucket int, v binary, c binary")
-        found = cut(values.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(ball, radius), "a long, b long"))
+    for at in range(1 << slice_bits):
+        values = fps.mapInArrow(_emit(ball, at, slice_bits, bits), "bucket int, v binary, c binary")
+        found = cut(values.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(ball, radius), "a long, b long"))
         out = found if out is None else out.union(found)
         del values, found
         release(spark)  # this slice's shuffle files
@@ -245,8 +253,9 @@ def op10_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with one row of each component: that of its smallest id. Rows that share an id and a text count as one."""
-    ids = cut(near_duplicates(df, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).count())
-    out = df.join(ids, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_semi")
+    own, digest = like("__id", df), like("__digest", df)
+    ids = cut(near_duplicates(df, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).count())
+    out = df.join(ids.select(own), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_semi")
     if not ids.where("count > 1").isEmpty():
-        out = out.withColumn("__digest", F.md5(F.col(f"`{text}`").cast("binary"))).dropDuplicates([doc_id, "__digest"]).drop("__digest")
+        out = out.withColumn(digest, F.md5(F.col(f"`{text}`").cast("binary"))).dropDuplicates([doc_id, digest]).drop(digest)
     return out
