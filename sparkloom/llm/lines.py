@@ -11,43 +11,59 @@ what it keeps. A null doc_id stands before all others. Other columns are passed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, documents
+from ._common import cut, documents, like
 
 LINES = 3
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """(at, high, low) of each window that has a word: the line it begins at, from 0, and two hashes."""
-    whole = F.transform(F.sequence(F.lit(1), F.size(lines) - (size - 1)), lambda i: F.struct((i - 1).cast("int").alias("at"), F.array_join(F.slice(lines, i, size), "\n").alias("w")))
-    with_word = F.filter(whole, lambda w: w["w"].rlike(r"[^\x20\x09-\x0D]"))
-    return F.when(F.size(lines) >= size, F.transform(with_word, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(w["w"]).alias("high"), F.xxhash64(F.lit("low"), w["w"]).alias("low"))))
+def line_windows(df: DataFrame, text: str, doc_id: str, size: int = LINES) -> DataFrame:
+    """(doc, at, high, low) of each window that has a word: its row's id and text hash, its first line from 0, and two hashes.
+
+    Lines are hashed once each; a window's hashes are those of its lines' hashes.
+    """
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("low"), x).alias("l"), x.rlike(r"[^\x20\x09-\x0D]").alias("w"))
+    value = F.col(f"`{text}`")
+    rows = df.select(F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(value).alias("t")).alias("doc"), F.transform(F.split(value, "\n", -1), line).alias("lines"))
+    rows = rows.where(F.size("lines") >= size)
+    # the lines beside each other: no look-up by place, so that the work follows the number of lines
+    beside = F.arrays_zip(*[F.slice("lines", k + 1, F.size("lines") - (size - 1)).alias(f"x{k}") for k in range(size)])
+    windows = F.transform(
+        beside,
+        lambda z, i: F.struct(
+            i.cast("int").alias("at"), F.xxhash64(*[z[f"x{k}"]["h"] for k in range(size)]).alias("high"), F.xxhash64(*[z[f"x{k}"]["l"] for k in range(size)]).alias("low"),
+            F.greatest(*[z[f"x{k}"]["w"] for k in range(size)]).alias("word"),
+        ),
+    )
+    return rows.select("doc", F.explode(windows).alias("w")).where("w.word").select("doc", "w.at", "w.high", "w.low")
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = LINES) -> DataFrame:
-    """df with its text column without the lines of later occurrences, and __removed, the number of these."""
-    value, key = F.col(f"`{text}`"), F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
-    windows = df.select(key.alias("doc"), F.explode(_windows(F.split(value, "\n", -1), size)).alias("w")).select("doc", "w.*")
-    # one row a document and hash: of a window that one document repeats, the first place; so a hash that all documents
-    # share is a row a document, and what is summed before the shuffle is a row a hash and task
+    """df with its text column without the lines of later occurrences, and n_removed, the number of these."""
+    # read twice below: for the first places, and for the later ones
+    windows = cut(line_windows(df, text, doc_id, size))
+    # the first place of a hash is summed before the shuffle to a row a hash and task, however many rows hold it
     firsts = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # a hash that many rows hold stands in one row of firsts: Spark splits the hot side
     again = windows.join(firsts.select("high", "low", "first"), ["high", "low"]).where(F.struct("doc", "at") > F.col("first"))
-    marks = again.groupBy("doc").agg(F.collect_set("at").alias("__at"))
-    covered = F.array_distinct(F.flatten(F.transform(F.col("__at"), lambda a: F.sequence(a, a + (size - 1)))))
-    marks = cut(marks.select(F.col("doc").alias("__doc"), covered.alias("__covered")))
-    lines = F.split(value, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__covered"), i)), "\n")
-    out = df.withColumn("__key", key).join(marks, F.col("__key").eqNullSafe(F.col("__doc")), "left")
-    gone = F.coalesce(F.size("__covered"), F.lit(0))
-    return out.select(*[F.when(F.col("__covered").isNull(), value).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], F.when(F.col("__covered").isNull(), 0).otherwise(gone).cast("long").alias("__removed"))
+    marks = again.groupBy("doc").agg(F.collect_set("at").alias("at"))
+    gone, doc, key, lines, kept, count = (like(c, df) for c in ("__gone", "__doc", "__key", "__lines", "__kept", "n_removed"))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (size - 1)))))
+    marks = cut(marks.select(F.col("doc").alias(doc), covered.alias(gone)))
+    value = F.col(f"`{text}`")
+    joined = df.withColumn(key, F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(value).alias("t"))).join(marks, F.col(key).eqNullSafe(F.col(doc)), "left")
+    split = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(value, "\n", -1)))
+    left = split.withColumn(kept, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    return left.select(*[F.when(F.col(gone).isNull(), value).otherwise(rest).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(count))
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("text").alias("text"))
+    return out.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), "n_removed", F.col("text").alias("text"))
 
 
 OP4_SQL = r"""
