@@ -10,7 +10,7 @@ to the tasks below a checked bound, and joined to the documents that hold them b
 Defined cases: a null text stays null with 0 entities, an empty one stays empty. Rows are rewritten one by one, so ties,
 repeated rows and null ids don't matter. Very long texts are read whole. An empty table gives an empty result. Other
 columns are passed through; if one is named n_entities, the count gets a leading underscore. Numbers that fail their
-check digit are no cards and stay.
+check digit, or that no issuer's cards begin with, are no cards and stay.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_CARD = re.compile(r"(?<![\w.-])[2-6](?:[ -]?\d){12,18}(?![\w-])")
-_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+_CARD = re.compile(r"(?<![\w.-])(?:[2-6]\d{12,18}|[2-6]\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{4,5})(?![\w-])")
+_PHONE = re.compile(r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ -]?(?:\(\d{1,4}\)|\d{1,4})(?:[ -]?\d{2,4}){2,3}(?!\.\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)")
@@ -61,6 +61,18 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
 
 
+def issued(digits: str) -> bool:
+    """Whether a card number of this beginning and length is issued."""
+    n, two, three, four = len(digits), int(digits[:2]), int(digits[:3]), int(digits[:4])
+    if digits[0] == "4":
+        return n in (13, 16, 19)
+    if two in (34, 37):
+        return n == 15
+    if two in (36, 38) or 300 <= three <= 305:
+        return n == 14
+    return n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720 or 3528 <= four <= 3589 or four == 6011 or 644 <= three <= 649 or two in (62, 65))
+
+
 def _iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -80,7 +92,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and _iban_rest(plain) == 1:
                 found.append((m.start(), m.end(), "iban", plain))
         for m in _CARD.finditer(text):
-            if luhn(plain := re.sub(r"\D", "", m[0])) % 10 == 0:
+            if luhn(plain := re.sub(r"\D", "", m[0])) % 10 == 0 and issued(plain):
                 found.append((m.start(), m.end(), "card", plain))
         for m in _PHONE.finditer(text):
             if 7 <= len(plain := re.sub(r"\D", "", m[0])) <= 15:
@@ -162,7 +174,8 @@ def surrogate(key: str, kind: str, value: str, draw: int) -> str:
             rest[3:6] = "555"
         return value[:country] + "".join(rest)
     if kind == "card":
-        body = value[0] + "".join(str(draws.below(10)) for _ in value[1:-1])
+        issuer = value[:1] if value[0] == "4" else value[:4]
+        body = issuer + "".join(str(draws.below(10)) for _ in value[len(issuer) : -1])
         return body + str(-luhn(body + "0") % 10)
     if kind == "iban":
         body = "".join(str(draws.below(10)) if c.isdigit() else chr(65 + draws.below(26)) for c in value[4:])
