@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +59,8 @@ class Graph:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: dict[tuple[str, str, str], EdgeTable] = field(default_factory=dict)
     multiplicities: dict[str, str] = field(default_factory=dict)
+    #: (table, property) -> the value that it has where none is given, if it isn't the type's.
+    defaults: dict[tuple[str, str], Any] = field(default_factory=dict)
 
     def add_nodes(self, label: str, df: DataFrame, key: str) -> Graph:
         if label in self.nodes or label in self.types():
@@ -115,6 +118,7 @@ class Graph:
             self.multiplicities.pop(name, None)
         elif not lenient:
             raise CatalogFault(f"no table {name}")
+        self.defaults = {k: v for k, v in self.defaults.items() if k[0] != name}
 
     def alter(self, name: str, change) -> None:
         """Puts change(df, reserved columns) in the place of each table of the name."""
@@ -138,11 +142,17 @@ class Graph:
             self.edges = {(s, to if t == name else t, d): replace(e, type=to) if t == name else e for (s, t, d), e in self.edges.items()}
         else:
             raise CatalogFault(f"no table {name}")
+        self.defaults = {(to if t == name else t, p): v for (t, p), v in self.defaults.items()}
+
+    def default(self, name: str, prop: str, kind: T.DataType) -> Column:
+        """What a row of the table holds where the property isn't given."""
+        value = self.defaults.get((name, prop))
+        return default_column(kind) if value is None else F.lit(value).cast(kind)
 
     # storage
     def save(self, path: str) -> None:
         """Writes all tables as Parquet, and the schema beside them."""
-        schema = {"nodes": [], "edges": []}
+        schema: dict[str, Any] = {"nodes": [], "edges": [], "defaults": [[*k, v if isinstance(v, (bool, int, float, str)) else str(v)] for k, v in self.defaults.items()]}
         for i, n in enumerate(self.nodes.values()):
             n.df.write.mode("overwrite").parquet(f"{path}/nodes-{i}")
             schema["nodes"].append({"label": n.label, "key": n.key})
@@ -161,9 +171,6 @@ class Graph:
             out.add_edges(e["type"], e["source"], e["target"], spark.read.parquet(f"{path}/edges-{i}"), e["src"], e["dst"])
             if e["multiplicity"]:
                 out.multiplicities[e["type"]] = e["multiplicity"]
+        out.defaults = {(t, p): v for t, p, v in schema["defaults"]}
         return out
 
-
-def with_defaults(df: DataFrame) -> DataFrame:
-    """df with the types' defaults in the place of missing values."""
-    return df.select(*[F.coalesce(F.col(f"`{f.name}`"), default_column(f.dataType)).alias(f.name) for f in df.schema])

@@ -85,6 +85,8 @@ class Frame:
     vars: dict[str, Binding] = field(default_factory=dict)
     #: Hidden columns that the rows are sorted by, and whether ascending; for collect() after ORDER BY.
     order: list[tuple[str, bool]] = field(default_factory=list)
+    #: A column that says how many rows each row stands for, where rows that nothing tells apart any more were summed.
+    weight: str | None = None
 
     def with_df(self, df: DataFrame) -> Frame:
         return replace(self, df=df)

@@ -163,11 +163,27 @@ class Matcher:
         return frame
 
     # MATCH
-    def match(self, frame: Frame | None, clause: A.Match) -> Frame:
+    def match(self, frame: Frame | None, clause: A.Match, live: set[str] | None = None) -> Frame:
+        """live: the variables that are read later, where only the number of rows matters besides; None where all do."""
         frame = self.rebound(frame, clause.paths)
         if clause.optional:
             return self.optional(frame, clause)
-        return self.plan(frame, clause.paths, conjuncts(clause.where), clause.hint)
+        return self.plan(frame, clause.paths, conjuncts(clause.where), clause.hint, live)
+
+    def summed(self, frame: Frame, live: set[str]) -> Frame:
+        """The frame with a row for all rows that agree in the live variables, and their number as its weight.
+
+        The sum is made by the keys that the next join is made by, so it needs no exchange of its own.
+        """
+        kept = {v: b for v, b in frame.vars.items() if v in live}
+        if len(kept) == len(frame.vars) or not kept or not all(isinstance(b, NodeVar) for b in kept.values()):
+            return frame
+        keys = list(dict.fromkeys(c for b in kept.values() for c in b.identity()))
+        carried = [c for b in kept.values() for c in b.columns() if c not in keys]
+        weight = self.ctx.fresh("weight")
+        total = F.count(F.lit(1)) if frame.weight is None else F.sum(frame.weight)
+        df = frame.df.groupBy(*keys).agg(total.alias(weight), *[F.first(c).alias(c) for c in dict.fromkeys(carried)])
+        return Frame(df, kept, [], weight)
 
     def rebound(self, frame: Frame | None, paths: list[A.PathPattern]) -> Frame | None:
         """Node values, such as elements of nodes(path), that a pattern goes on from, as node variables."""
@@ -188,7 +204,7 @@ class Matcher:
                 frame = frame.with_df(frame.df.withColumns({k: self.ctx.key(key), lab: c["_LABEL"]})).bind(**{p.var: NodeVar(labels, k, lab)})
         return frame
 
-    def plan(self, frame: Frame | None, paths: list[A.PathPattern], tests: list[A.Expr], hint: list[str] | None = None) -> Frame:
+    def plan(self, frame: Frame | None, paths: list[A.PathPattern], tests: list[A.Expr], hint: list[str] | None = None, live: set[str] | None = None) -> Frame:
         ctx = self.ctx
         pattern = build(ctx, frame, paths)
         later: list[A.Expr] = []
@@ -220,6 +236,9 @@ class Matcher:
             rels.remove(r)
             frame = (self.expand if r.pattern.range is None else self.expand_path)(frame, pattern, r, bound)
             bound |= {r.left, r.right}
+            if live is not None and rels and not pattern.named:
+                tested = names_in([later, *[n.tests for n in pattern.nodes.values() if n.name not in bound], *[x.tests for x in rels]])
+                frame = self.summed(frame, live | tested | {n for x in rels for n in (x.left, x.right)})
         for var, nodes, names in pattern.named:
             frame = self.name_path(frame, var, nodes, names)
         return self.filter(frame, later)

@@ -6,7 +6,6 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..cypher import ast as A
 from ..functions.expressions import AGGREGATES, Compiler, has_aggregate
@@ -118,6 +117,17 @@ class Projector:
                 out = _swap(out, i.expr, A.Var(n))
         return out
 
+    @staticmethod
+    def weighed(frame: Frame, compiled: Compiler, call: A.Expr):
+        """The aggregate, of rows that stand for several."""
+        if frame.weight is None or not (isinstance(call, A.CountStar) or isinstance(call, A.Call) and call.name == "count" and not call.distinct):
+            return compiled(call)
+        weight = F.col(frame.weight)
+        if isinstance(call, A.Call):
+            for a in call.args:
+                weight = F.when(compiled(A.IsNull(a, True)), weight)
+        return F.coalesce(F.sum(weight), F.lit(0)).cast("long")
+
     def bind(self, frame: Frame, exprs: list[A.Expr], names: list[str], final: bool) -> Frame:
         """Entities go on as they are, values get a column each."""
         bound, columns = {}, {}
@@ -184,7 +194,7 @@ class Projector:
         aggregates = []
         for n, call in enumerate(calls):
             c = ctx.fresh("agg")
-            aggregates.append(compiled(call).alias(c))
+            aggregates.append(self.weighed(frame, compiled, call).alias(c))
             bound[f"agg_{n}"] = ValueVar(c)
         df = frame.df.groupBy(*keys).agg(*aggregates, *carried) if keys else frame.df.agg(*aggregates)
         for k, e in enumerate(exprs):
@@ -200,5 +210,11 @@ class Projector:
         return self.matcher.ready(out, *needs), out_exprs
 
 
-def is_void(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+def counts_only(proj: A.Projection) -> bool:
+    """Whether the projection groups, and its aggregates depend on no more than which rows there are and how many of each."""
+    if proj.star or any(isinstance(x, A.Subquery) for x in walk([proj.items, proj.order])):
+        return False
+    found = [x for i in proj.items for x in walk(i.expr) if isinstance(x, A.CountStar) or isinstance(x, A.Call) and x.name in AGGREGATES]
+    return bool(found) and all(isinstance(x, A.CountStar) or x.name in ("count", "min", "max") or x.distinct for x in found)
+
+

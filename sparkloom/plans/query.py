@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from ..cypher import ast as A
 from ..functions.expressions import Compiler
 from ..sources import files
-from .frame import BindFault, Context, Frame, ValueVar, conjuncts, uses
-from .project import Projector
+from .frame import BindFault, Context, Frame, ValueVar, conjuncts, names_in, uses
+from .project import Projector, counts_only
 from .updates import Updates
 
 
@@ -42,8 +42,11 @@ class Planner:
         before = self.ctx.uses
         self.ctx.uses = _merged(before, uses(clauses))
         returned = False
-        for c in clauses:
-            frame = getattr(self, "_" + type(c).__name__.lower())(frame, c)
+        for k, c in enumerate(clauses):
+            if isinstance(c, A.Match):
+                frame = self.matcher.match(frame, c, _live(clauses[k + 1 :]))
+            else:
+                frame = getattr(self, "_" + type(c).__name__.lower())(frame, c)
             returned = isinstance(c, A.Return)
         self.ctx.uses = before
         return frame if returned else None
@@ -158,6 +161,16 @@ class Planner:
         return Updates(self.ctx, self.matcher).merge(frame, c)
 
 
+def _live(later: list[A.Clause]) -> set[str] | None:
+    """The variables that the clauses read, if they are MATCH clauses and a projection that only counts; else None."""
+    for k, c in enumerate(later):
+        if isinstance(c, (A.With, A.Return)):
+            return names_in([later[: k + 1]]) if counts_only(c.proj) else None
+        if not isinstance(c, A.Match):
+            return None
+    return None
+
+
 def _merged(a: dict[str, set[str]], b: dict[str, set[str]]) -> dict[str, set[str]]:
     return {k: a.get(k, set()) | b.get(k, set()) for k in {*a, *b}}
 

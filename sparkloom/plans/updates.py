@@ -11,7 +11,6 @@ from ..catalog import EdgeTable
 from ..cypher import ast as A
 from ..functions.expressions import Compiler
 from ..storage import cut
-from ..types import default_column
 from .frame import BindFault, Context, Frame, NodeVar, RelVar
 from .match import Matcher
 
@@ -48,7 +47,7 @@ class Updates:
                 raise BindFault(f"{table.label} has no property {', '.join(sorted(unknown))}")
             frame = self.matcher.ready(frame, *given.values())
             compiled = Compiler(self.ctx, frame)
-            new = cut(frame.df.select(*[(compiled(given[p]).cast(k) if p in given else default_column(k)).alias(p) for p, k in table.properties.items()]))
+            new = cut(frame.df.select(*[(compiled(given[p]).cast(k) if p in given else self.graph.default(table.label, p, k)).alias(p) for p, k in table.properties.items()]))
             again = new.groupBy(table.key).count().where("count > 1")
             if not again.isEmpty() or not new.join(table.df, table.key, "left_semi").isEmpty():
                 raise BindFault(f"a {table.label} of this key is there already")
@@ -70,7 +69,7 @@ class Updates:
             compiled = Compiler(self.ctx, ready)
             rows = ready.df.where((F.col(x.label) == t.source) & (F.col(y.label) == t.target) & F.col(x.key).isNotNull() & F.col(y.key).isNotNull())
             kinds = t.df.schema
-            new = rows.select(F.col(x.key).cast(kinds[t.src].dataType).alias(t.src), F.col(y.key).cast(kinds[t.dst].dataType).alias(t.dst), *[(compiled(given[p]).cast(k) if p in given else default_column(k)).alias(p) for p, k in t.properties.items()])
+            new = rows.select(F.col(x.key).cast(kinds[t.src].dataType).alias(t.src), F.col(y.key).cast(kinds[t.dst].dataType).alias(t.dst), *[(compiled(given[p]).cast(k) if p in given else self.graph.default(t.type, p, k)).alias(p) for p, k in t.properties.items()])
             self.graph.put_edges(t, cut(t.df.unionByName(new)))
 
     # SET

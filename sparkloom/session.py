@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .catalog import CatalogFault, Graph, with_defaults
+from .catalog import CatalogFault, Graph
 from .cypher import ast as A
 from .cypher.parser import parse
 from .functions.expressions import Compiler
@@ -60,10 +62,14 @@ class Session:
         if s.key not in {n for n, _, _ in s.columns}:
             raise CatalogFault(f"{s.label} has no column {s.key}")
         self.graph.add_nodes(s.label, self._empty(ctx, s.columns), s.key)
+        self._defaults(ctx, s.label, s.columns)
 
-    def _empty(self, ctx: Context, columns: list, ends: dict | None = None) -> DataFrame:
-        from pyspark.sql import types as T
+    def _defaults(self, ctx: Context, name: str, columns: list) -> None:
+        for column, kind, e in columns:
+            if e is not None:
+                self.graph.defaults[name, column] = ctx.spark.range(1).select(self._value(ctx, e).cast(spark_type(kind))).first()[0]
 
+    def _empty(self, ctx: Context, columns: list, ends: dict | None = None) -> DataFrame:
         return ctx.spark.createDataFrame([], T.StructType([*(T.StructField(n, k) for n, k in (ends or {}).items()), *(T.StructField(n, spark_type(k)) for n, k, _ in columns)]))
 
     def _createreltable(self, ctx: Context, s: A.CreateRelTable) -> None:
@@ -72,6 +78,7 @@ class Session:
         for a, b in s.pairs:
             ends = {"_src": self.graph.node(a).key_type, "_dst": self.graph.node(b).key_type}
             self.graph.add_edges(s.label, a, b, self._empty(ctx, s.columns, ends))
+        self._defaults(ctx, s.label, s.columns)
         if s.multiplicity:
             self.graph.multiplicities[s.label] = s.multiplicity.upper()
 
@@ -106,11 +113,15 @@ class Session:
         key = self.graph.nodes[s.label].key if s.label in self.graph.nodes else None
         if s.action == "rename" and key == s.name:
             table = self.graph.nodes[s.label]
-            from dataclasses import replace
-
             self.graph.nodes[s.label] = replace(table, df=change(table.df, ()), key=s.to)
         else:
             self.graph.alter(s.label, change)
+        if s.action == "add" and s.default is not None:
+            self._defaults(ctx, s.label, [(s.name, s.to, s.default)])
+        elif s.action != "add":
+            value = self.graph.defaults.pop((s.label, s.name), None)
+            if s.action == "rename" and value is not None:
+                self.graph.defaults[s.label, s.to] = value
         return None
 
     # loading and writing
@@ -132,7 +143,7 @@ class Session:
                 self.graph.add_nodes(s.label, cut(rows), rows.columns[0])
         elif s.label in self.graph.nodes:
             table = self.graph.nodes[s.label]
-            new = self._fitted(rows, list(table.properties.items()), s.columns, (table.key,))
+            new = self._fitted(table.label, rows, list(table.properties.items()), s.columns, (table.key,))
             new = cut(new.where(F.col(f"`{table.key}`").isNotNull()))
             # of rows with one key, and of keys that are there, the first stays
             new = new.dropDuplicates([table.key]).join(table.df, table.key, "left_anti").select(*table.df.columns)
@@ -143,7 +154,7 @@ class Session:
                 raise CatalogFault(f"which {s.label}? (from='...', to='...')")
             t = tables[0]
             kinds = {t.src: t.df.schema[t.src].dataType, t.dst: t.df.schema[t.dst].dataType} | t.properties
-            new = self._fitted(rows, list(kinds.items()), [t.src, t.dst, *s.columns] if s.columns else None, (t.src, t.dst))
+            new = self._fitted(t.type, rows, list(kinds.items()), [t.src, t.dst, *s.columns] if s.columns else None, (t.src, t.dst))
             self.graph.put_edges(t, cut(t.df.unionByName(self._existing(ctx, new, t.source, t.target, t.src, t.dst))))
 
     def _existing(self, ctx: Context, df: DataFrame, a: str, b: str, src: str = "_src", dst: str = "_dst") -> DataFrame:
@@ -153,15 +164,14 @@ class Session:
             df = df.join(table.df.select(ctx.key(F.col(f"`{table.key}`")).alias("_there")), ctx.key(F.col(f"`{end}`")) == F.col("_there"), "left_semi")
         return df
 
-    @staticmethod
-    def _fitted(rows: DataFrame, wanted: list, named: list[str] | None, keys: tuple[str, ...]) -> DataFrame:
+    def _fitted(self, name: str, rows: DataFrame, wanted: list, named: list[str] | None, keys: tuple[str, ...]) -> DataFrame:
         """rows by position, or by the columns that are named, with defaults for what is missing; keys have none."""
         names = named or [n for n, _ in wanted]
         given = dict(zip(names, rows.columns, strict=False))
         out = []
         for n, kind in wanted:
             value = F.col(f"`{given[n]}`").cast(kind) if n in given else F.lit(None).cast(kind)
-            out.append((value if n in keys else F.coalesce(value, default_column(kind))).alias(n))
+            out.append((value if n in keys else F.coalesce(value, self.graph.default(name, n, kind))).alias(n))
         return rows.select(*out)
 
     def _copyto(self, ctx: Context, s: A.CopyTo) -> None:
@@ -191,5 +201,3 @@ class Session:
             self.graph.add_edges(t, a, b, df)
         return self
 
-
-__all__ = ["Session", "with_defaults"]

@@ -25,6 +25,13 @@ def _yes(value: Any) -> bool:
     return value if isinstance(value, bool) else str(value).lower() in ("1", "true", "yes")
 
 
+def _is_array(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a JSON file is one array or one object over several lines, and not a document a line."""
+    first = spark.read.text(paths).where(F.trim("value") != "").limit(1).collect()
+    text = first[0][0].strip() if first else ""
+    return text.startswith("[") or not text.endswith("}")
+
+
 def read(spark: SparkSession, paths: list[str], options: dict[str, Any] | None = None, headers: list[tuple[str, str]] | None = None) -> DataFrame:
     """The rows of files, folders or glob patterns of one format. Options that only steer reading (batch sizes, threads) don't matter here."""
     options = {k.lower(): v for k, v in (options or {}).items()}
@@ -32,7 +39,7 @@ def read(spark: SparkSession, paths: list[str], options: dict[str, Any] | None =
     if kind == "parquet":
         return spark.read.parquet(*paths)
     if kind in ("json", "jsonl"):
-        return spark.read.option("multiLine", kind == "json").json(paths)
+        return spark.read.option("multiLine", kind == "json" and _is_array(spark, paths)).json(paths)
     reader = spark.read.option("sep", options.get("delim", options.get("delimiter", "|"))).option("header", _yes(options.get("header", True)))
     reader = reader.option("quote", options.get("quote", '"') if _yes(options.get("quoting", True)) else "").option("escape", options.get("escape", "\\") if _yes(options.get("escaping", True)) else "\x00")
     reader = reader.option("nullValue", options.get("null", "")).option("timestampFormat", "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS][.SSS]").option("enforceSchema", True)

@@ -162,7 +162,53 @@ def test_files_without_a_schema(spark, tmp_path):
     s.execute(f"COPY u FROM '{tmp_path}/u.json'")
     s.execute(f"COPY f FROM '{tmp_path}/e.jsonl' (from='u', to='u')")
     assert rows(s, "MATCH (a:u)-[e:f]->(b:u) RETURN a.n, e.w, b.n") == [("a", 3, "b")]
-    assert rows(s, f"LOAD WITH HEADERS (x INT64, y STRING) FROM '{tmp_path}/none.csv' (header=false) RETURN x" if False else f"LOAD FROM '{tmp_path}/u.json' WHERE id > 1 RETURN n") == [("b",)]
+    assert rows(s, f"LOAD FROM '{tmp_path}/u.json' WHERE id > 1 RETURN n") == [("b",)]
+    (tmp_path / "n.csv").write_text("5|x\n6|y\n")
+    assert rows(s, f"LOAD WITH HEADERS (a INT64, b STRING) FROM '{tmp_path}/n.csv' (header=false) WHERE a > 5 RETURN b, a + 1") == [("y", 7)]
+    s.execute(f"COPY (MATCH (a:u)-[e:f]->(b) RETURN a, e.w AS w) TO '{tmp_path}/out.json'")
+    assert rows(s, f"LOAD FROM '{tmp_path}/out.json' RETURN w, a.n") == [(3, "a")]
+    s.execute(f"COPY (MATCH (a:u {{id: 1}}) RETURN a) TO '{tmp_path}/out.csv' (header=true)")
+    assert '"n":"a"' in rows(s, f"LOAD FROM '{tmp_path}/out.csv' (header=true) RETURN a")[0][0]
+
+
+def test_bulk_loader(spark, tmp_path):
+    from sparkloom.sources.bulk import load_graph
+
+    prop = lambda name, kind: {"property_name": name, "property_type": kind}
+    schema = {"schema": {
+        "vertex_types": [{"type_name": "p", "properties": [prop("id", {"primitive_type": "DT_SIGNED_INT64"}), prop("name", {"string": {"long_text": None}}), prop("job", {"temporal": {"interval": None}})], "primary_keys": ["id"]}],
+        "edge_types": [{"type_name": "k", "vertex_type_pair_relations": [{"source_vertex": "p", "destination_vertex": "p", "relation": "MANY_TO_MANY"}], "properties": [prop("w", {"primitive_type": "DT_DOUBLE"})]}],
+    }}
+    (tmp_path / "p.csv").write_text("id|name|job\n1|a|2 days 3 hours\n2|b|\n")
+    (tmp_path / "k.csv").write_text("x|y|w\n1|2|0.5\n2|9|1.5\n")
+    column = lambda i, name: {"column": {"index": i, "name": name}, "property": name}
+    mapping = {"loading_config": {"format": {"metadata": {"delimiter": "|"}}}, "vertex_mappings": [{"type_name": "p", "inputs": ["p.csv"], "column_mappings": [column(0, "id"), column(1, "name"), column(2, "job")]}], "edge_mappings": [{"type_triplet": {"edge": "k", "source_vertex": "p", "destination_vertex": "p"}, "inputs": ["k.csv"], "column_mappings": [column(2, "w")]}]}
+    s = Session(load_graph(spark, schema, mapping, str(tmp_path)))
+    assert rows(s, "MATCH (a:p)-[e:k]->(b) RETURN a.name, e.w, b.name") == [("a", 0.5, "b")]
+    assert rows(s, "MATCH (a:p {id: 1}) WHERE a.job > interval('2 days') RETURN CAST(a.job AS STRING)") == [("2 days 3 hours",)]
+
+
+def test_walks_and_trails_of_a_clique(spark):
+    """Four people who all know each other: 27 walks and 24 trails of three steps from one of them, 9 walks of two."""
+    g = Graph(spark)
+    g.add_nodes("person", spark.range(4).withColumnRenamed("id", "ID"), "ID")
+    g.add_edges("knows", "person", "person", spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if a != b], "_src long, _dst long"))
+    s = Session(g)
+    count = lambda r: rows(s, f"MATCH (a:person)-[e:knows*{r}]->(b:person) WHERE a.ID = 0 RETURN count(*)")[0][0]
+    assert (count("3..3"), count("2..2"), count("TRAIL 3..3"), count("ACYCLIC 3..3"), count("5")) == (27, 9, 24, 6, 243)
+
+
+def test_counts_are_summed_early(spark, sf_dir):
+    """A chain whose middle is not read is summed hop by hop, and the counts stay the same."""
+    from sparkloom.queries import graph
+
+    s = Session(graph(spark, sf_dir))
+    chain = "MATCH (a:customer)-[:knows]->(b:customer)-[:knows]->(c:customer)-[:knows]->(d:customer) "
+    whole = rows(s, chain + "RETURN a.c_custkey AS x, b.c_custkey AS y, c.c_custkey AS z, d.c_custkey AS w")
+    assert rows(s, chain + "RETURN count(*)") == [(len(whole),)]
+    assert sorted(rows(s, chain + "RETURN d.c_custkey, count(*), min(d.c_acctbal) IS NULL")) == sorted((k, sum(r[3] == k for r in whole), False) for k in {r[3] for r in whole})
+    assert rows(s, chain + "WHERE a.c_custkey < d.c_custkey RETURN count(*), count(DISTINCT d)") == [(sum(r[0] < r[3] for r in whole), len({r[3] for r in whole if r[0] < r[3]}))]
+    assert rows(s, chain + "MATCH (d)-[:lives_in]->(n:nation) OPTIONAL MATCH (d)-[:placed]->(o:orders) WHERE o.o_orderstatus = 'P' RETURN count(o)") == rows(s, chain + "MATCH (d)-[:lives_in]->(n:nation) OPTIONAL MATCH (d)-[:placed]->(o:orders) WHERE o.o_orderstatus = 'P' WITH a, b, c, d, o RETURN count(o)")
 
 
 def test_pushdown(spark, sf_dir):
