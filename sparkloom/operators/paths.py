@@ -105,21 +105,26 @@ class Paths:
 
     def shortest(self, starts: DataFrame, high: int, every: bool) -> DataFrame:
         """For each start and each other node that it reaches, one of the shortest paths, or every one."""
+        keys = self.ends("s", "t")
         now = cut(self.begin(starts))
-        visited, out = now.select(*self.ends("s", "t")), None
+        levels: list[DataFrame] = []
+        visited = now.select(*keys)  # a union of levels that are written already
         for n in range(1, high + 1):
             if n > 1 and self.node_test is not None:
                 now = self.node_test(now)
-            found = self.hop(now).join(visited, self.ends("s", "t"), "left_anti")
+            found = self.hop(now).join(visited, keys, "left_anti")
             if not every:
-                rest = [c for c in found.columns if c not in self.ends("s", "t")]
-                found = found.groupBy(*self.ends("s", "t")).agg(F.min(F.struct(*rest)).alias("x")).select(*self.ends("s", "t"), "x.*")
+                rest = [c for c in found.columns if c not in keys]
+                found = found.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*")
             now = cut(self.arrive(found))
             if now.isEmpty():
                 break
-            out = now if out is None else out.unionByName(now)
-            visited = cut(visited.union(now.select(*self.ends("s", "t")).distinct()))
-        return now.limit(0) if out is None else out
+            levels.append(now)
+            visited = visited.union(now.select(*keys))
+        out = levels[0] if levels else now
+        for level in levels[1:]:
+            out = out.unionByName(level)
+        return out
 
     def weighted(self, starts: DataFrame, every: bool) -> DataFrame:
         """For each start and each other node that it reaches, one of the cheapest paths, or every one; weights are not negative."""

@@ -107,6 +107,10 @@ class Context:
     def fresh(self, base: str = "v") -> str:
         return f"{''.join(c if c.isalnum() else '_' for c in base)}_{next(self._numbers)}"
 
+    def hidden(self) -> str:
+        """A variable's name that no query can have."""
+        return f"?{next(self._numbers)}"
+
     def parameter(self, name: str) -> Any:
         if name not in self.parameters:
             raise BindFault(f"no parameter ${name}")

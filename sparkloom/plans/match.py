@@ -45,7 +45,7 @@ def build(ctx: Context, frame: Frame | None, paths: list[A.PathPattern]) -> Patt
     out = Pattern({}, [], [])
 
     def node(p: A.NodePattern) -> str:
-        name = p.var or ctx.fresh("anon")
+        name = p.var or ctx.hidden()
         labels = ctx.graph.labels(p.labels)
         have = bound.get(name)
         if isinstance(have, (RelVar, PathVar)):
@@ -64,7 +64,7 @@ def build(ctx: Context, frame: Frame | None, paths: list[A.PathPattern]) -> Patt
         names = [node(n) for n in path.nodes]
         rels = []
         for r, a, b in zip(path.rels, names, names[1:], strict=False):
-            name = r.var or ctx.fresh("anon_rel")
+            name = r.var or ctx.hidden()
             if name in bound or any(x.name == name for x in out.rels):
                 raise BindFault(f"{name} is bound already")
             tests = [A.Bin("=", A.Prop(A.Var(name), k), v) for k, v in r.props]
@@ -326,7 +326,9 @@ class Matcher:
             raise BindFault(f"paths have at most {ctx.max_hops} hops")
         if spec.low > high:
             raise BindFault("a path's lower bound is over its upper one")
-        short = "shortest" in spec.mode
+        # what a bare * means can be set; the modes that are written stand
+        mode = str(ctx.settings.get("recursive_pattern_semantic", "walk")).lower() if spec.mode == "walk" else spec.mode
+        short = "shortest" in mode
         if short and spec.low != 1:
             raise BindFault("shortest paths begin at 1 hop")
         e = edges(ctx, r.name, r.tables, way)
@@ -373,11 +375,11 @@ class Matcher:
         starts = frame.df.select(F.col(var.key).alias("s"), F.col(var.label).alias("sl")).where(F.col("s").isNotNull()).distinct()
         paths = Paths(replace(e, near_labels=near, far_labels=near), wanted, rel, node_of, node_test if node_tests else None, weight)
         if weight:
-            found = paths.weighted(starts, spec.mode.startswith("all"))
+            found = paths.weighted(starts, mode.startswith("all"))
         elif short:
-            found = paths.shortest(starts, high, spec.mode.startswith("all"))
+            found = paths.shortest(starts, high, mode.startswith("all"))
         else:
-            found = paths.walks(starts, spec.low, high, spec.mode)
+            found = paths.walks(starts, spec.low, high, mode)
         if paths.one_label:
             found = found.withColumns({"sl": F.lit(near[0]), "tl": F.lit(near[0])})
         names = {c: ctx.fresh(f"{r.name}_{c}") for c in found.columns}
@@ -422,7 +424,7 @@ class Matcher:
     def inner(self, frame: Frame, paths: tuple[A.PathPattern, ...], where: A.Expr | None) -> tuple[Frame, list[Column], list[A.Expr], dict[str, str]]:
         """The pattern planned by itself; the join with the frame on the variables that both have; tests that need both."""
         shared = sorted({n.var for p in paths for n in p.nodes if n.var and isinstance(frame.vars.get(n.var), NodeVar)})
-        alone: dict[str, str] = {v: self.ctx.fresh(f"in_{v}") for v in shared}
+        alone: dict[str, str] = {v: self.ctx.hidden() for v in shared}
         renamed = [_rename(p, alone, {v: frame.vars[v].labels for v in shared}, self.ctx) for p in paths]
         local = {x.var for p in renamed for x in (*p.nodes, *p.rels) if x.var} | {p.var for p in renamed if p.var}
         own, both = [], []
@@ -485,11 +487,11 @@ class Matcher:
                 raise BindFault("a subquery within an expression may share nodes only")
             keys = [found.vars[w] for w in alone.values()]
             columns = list(dict.fromkeys(c for k in keys for c in (k.key, k.label)))
-            count, name = self.ctx.fresh("sub"), self.ctx.fresh("sub")
+            count, column, name = self.ctx.fresh("sub"), self.ctx.fresh("sub"), self.ctx.hidden()
             counted = found.df.groupBy(*columns).agg(F.count(F.lit(1)).alias(count))
             df = frame.df.join(counted, self._all(on), "left") if on else frame.df.crossJoin(counted)
             value = F.coalesce(F.col(count), F.lit(0)) if sub.kind == "count" else F.col(count).isNotNull() & (F.col(count) > 0)
-            frame = frame.with_df(df.withColumn(name, value).drop(count, *columns)).bind(**{name: ValueVar(name)})
+            frame = frame.with_df(df.withColumn(column, value).drop(count, *columns)).bind(**{name: ValueVar(column)})
             expr = _swap(expr, sub, A.Var(name))
         return frame, expr
 

@@ -17,7 +17,7 @@ def _items(frame: Frame, proj: A.Projection) -> list[A.Item]:
     """The items with * and n.* written out."""
     out: list[A.Item] = []
     if proj.star:
-        out += [A.Item(A.Var(v), v, v) for v in frame.vars if not v.startswith(("anon", "in_", "sub"))]
+        out += [A.Item(A.Var(v), v, v) for v in frame.vars if not v.startswith("?")]
     for i in proj.items:
         if isinstance(i.expr, A.Prop) and i.expr.key == "*":
             name = i.expr.of.name if isinstance(i.expr.of, A.Var) else ""

@@ -34,7 +34,7 @@ class Updates:
     def create_nodes(self, frame: Frame, path: A.PathPattern) -> tuple[Frame, list[str]]:
         names = []
         for n in path.nodes:
-            name = n.var or self.ctx.fresh("anon")
+            name = n.var or self.ctx.hidden()
             names.append(name)
             if name in frame.vars:
                 continue

@@ -17,6 +17,7 @@ from .functions.expressions import Compiler
 from .plans.frame import BindFault, Context, Frame
 from .plans.query import Planner, void_to_string
 from .sources import files
+from .sources.datasets import load_dataset
 from .storage import cut
 from .types import default_column, spark_type
 
@@ -193,11 +194,10 @@ class Session:
             raise BindFault("statements take effect at once")
         return None
 
-    def load_builtin(self, nodes: dict[str, tuple[DataFrame, str]], edges: dict[tuple[str, str, str], DataFrame]) -> Session:
-        """Registers data frames as the graph's tables: label -> (df, key); (source, type, target) -> df with _src and _dst."""
-        for label, (df, key) in nodes.items():
-            self.graph.add_nodes(label, df, key)
-        for (a, t, b), df in edges.items():
-            self.graph.add_edges(t, a, b, df)
-        return self
-
+    def load_builtin_dataset(self, name: str) -> None:
+        """Puts the tables of a built-in data set into the graph."""
+        found = load_dataset(self.graph.spark, name)
+        for n in found.nodes.values():
+            self.graph.add_nodes(n.label, n.df, n.key)
+        for e in found.edges.values():
+            self.graph.add_edges(e.type, e.source, e.target, e.df)

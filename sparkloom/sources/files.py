@@ -40,6 +40,8 @@ def read(spark: SparkSession, paths: list[str], options: dict[str, Any] | None =
         return spark.read.parquet(*paths)
     if kind in ("json", "jsonl"):
         return spark.read.option("multiLine", kind == "json" and _is_array(spark, paths)).json(paths)
+    if _yes(options.get("autogenerate_column_names", False)):
+        options["header"] = False
     reader = spark.read.option("sep", options.get("delim", options.get("delimiter", "|"))).option("header", _yes(options.get("header", True)))
     reader = reader.option("quote", options.get("quote", '"') if _yes(options.get("quoting", True)) else "").option("escape", options.get("escape", "\\") if _yes(options.get("escaping", True)) else "\x00")
     reader = reader.option("nullValue", options.get("null", "")).option("timestampFormat", "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS][.SSS]").option("enforceSchema", True)

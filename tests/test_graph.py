@@ -9,12 +9,9 @@ from sparkloom.types import Interval, parse_interval
 
 
 def modern(spark):
-    g = Graph(spark)
-    g.add_nodes("person", spark.createDataFrame([(1, "marko", 29), (2, "vadas", 27), (4, "josh", 32), (6, "peter", 35)], "id long, name string, age int"), "id")
-    g.add_nodes("software", spark.createDataFrame([(3, "lop", "java"), (5, "ripple", "java")], "id long, name string, lang string"), "id")
-    g.add_edges("knows", "person", "person", spark.createDataFrame([(1, 2, 0.5), (1, 4, 1.0)], "_src long, _dst long, weight double"))
-    g.add_edges("created", "person", "software", spark.createDataFrame([(1, 3, 0.4), (4, 3, 0.4), (6, 3, 0.2), (4, 5, 1.0)], "_src long, _dst long, weight double"))
-    return Session(g)
+    s = Session(Graph(spark))
+    s.load_builtin_dataset("modern_graph")
+    return s
 
 
 @pytest.fixture(scope="module")
@@ -188,6 +185,22 @@ def test_bulk_loader(spark, tmp_path):
     assert rows(s, "MATCH (a:p {id: 1}) WHERE a.job > interval('2 days') RETURN CAST(a.job AS STRING)") == [("2 days 3 hours",)]
 
 
+def test_star_hides_what_has_no_name(s):
+    df = s.execute("MATCH (a:person {id: 1})-[:knows]->(in_b:person)-[sub:created]->() WHERE EXISTS { MATCH (in_b)-[:created]->() } RETURN *")
+    assert df.columns == ["a", "in_b", "sub"]
+
+
+def test_settings(spark):
+    s = modern(spark)
+    text = "MATCH (a:person)-[:knows*2..2]-(c) RETURN count(*)"
+    assert rows(s, text) == [(6,)]
+    s.execute("CALL recursive_pattern_semantic = 'trail'")
+    assert rows(s, text) == [(2,)]
+    s.execute("CALL var_length_extend_max_depth = 1")
+    with pytest.raises(BindFault):
+        s.execute(text)
+
+
 def test_walks_and_trails_of_a_clique(spark):
     """Four people who all know each other: 27 walks and 24 trails of three steps from one of them, 9 walks of two."""
     g = Graph(spark)
