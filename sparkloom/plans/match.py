@@ -234,7 +234,7 @@ class Matcher:
                 continue
             r = min(near, key=lambda r: (not (r.left in bound and r.right in bound), r.pattern.range is not None, -len(pattern.nodes[r.right if r.left in bound else r.left].tests), order.get(r.name, len(order))))
             rels.remove(r)
-            frame = (self.expand if r.pattern.range is None else self.expand_path)(frame, pattern, r, bound)
+            frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
             bound |= {r.left, r.right}
             if live is not None and rels and not pattern.named:
                 tested = names_in([later, *[n.tests for n in pattern.nodes.values() if n.name not in bound], *[x.tests for x in rels]])
@@ -312,7 +312,7 @@ class Matcher:
         return self.filter(out, [t for t in r.tests if not names_in(t) <= {r.name}])
 
     # paths
-    def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str]) -> Frame:
+    def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], counts: bool = False) -> Frame:
         ctx, spec = self.ctx, r.pattern.range
         forward = r.left in bound
         if not forward and r.pattern.var and ctx.uses.get(r.pattern.var, set()) & {"nodes", "rels", "relationships", "bare"}:
@@ -379,7 +379,7 @@ class Matcher:
         elif short:
             found = paths.shortest(starts, high, mode.startswith("all"))
         else:
-            found = paths.walks(starts, spec.low, high, mode)
+            found = paths.walks(starts, spec.low, high, mode, counts and mode == "walk" and wanted == Wanted())
         if paths.one_label:
             found = found.withColumns({"sl": F.lit(near[0]), "tl": F.lit(near[0])})
         names = {c: ctx.fresh(f"{r.name}_{c}") for c in found.columns}
@@ -395,6 +395,9 @@ class Matcher:
                 on &= F.col(other.label) == F.col(names["tl"])
         path = PathVar(names["len"], names.get("nodes"), names.get("rels"), names.get("cost"))
         out = replace(frame, df=frame.df.join(found, on), vars=frame.vars | {r.name: path})
+        if "n" in names:
+            weight = ctx.fresh("weight")
+            out = replace(out, df=out.df.withColumn(weight, F.col(names["n"]) * (F.col(frame.weight) if frame.weight else F.lit(1))), weight=weight)
         return out if closes else self.arrive(out, there, names["t"], names["tl"], near)
 
     def name_path(self, frame: Frame, var: str, nodes: list[str], rels: list[str]) -> Frame:

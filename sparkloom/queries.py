@@ -149,6 +149,13 @@ _q("walk_1_3", "MATCH (a:customer)-[:knows*1..3]->(b:customer) WHERE a.c_custkey
 _q("walk_lengths", "MATCH (a:customer)-[p:knows*0..4]->(b:customer) WHERE a.c_custkey < 10 RETURN length(p) AS n, count(*) AS c", _WALK.format(edges=_BOTH + ", fwd AS (SELECT src, dst, w, src * 1000000 + dst AS e FROM knows)", table="fwd", most=10, hops=4, test="") + " SELECT n, count(*) AS c FROM w GROUP BY 1")
 _q("trail_1_3", "MATCH (a:customer)-[p:knows*TRAIL 1..3]-(b:customer) WHERE a.c_custkey < 20 RETURN length(p) AS n, b.c_custkey AS b, count(*) AS c", _WALK.format(edges=_BOTH, table="both_ways", most=20, hops=3, test=" AND NOT list_contains(es, k.e)") + " SELECT n, t AS b, count(*) AS c FROM w WHERE n >= 1 GROUP BY ALL")
 _q("acyclic_1_3", "MATCH (a:customer)-[p:knows*ACYCLIC 1..3]-(b:customer) WHERE a.c_custkey < 20 RETURN length(p) AS n, b.c_custkey AS b, count(*) AS c", _WALK.format(edges=_BOTH, table="both_ways", most=20, hops=3, test=" AND NOT list_contains(vs, k.dst)") + " SELECT n, t AS b, count(*) AS c FROM w WHERE n >= 1 GROUP BY ALL")
+def _steps(test: str = "true") -> str:
+    """SQL of the number of walks of 0 to 9 steps that end at each customer, from those that pass the test."""
+    return _KNOWS + f", s0 AS (SELECT c_custkey AS c, 1 AS n FROM customer WHERE {test})" + "".join(f", s{i} AS (SELECT dst AS c, CAST(sum(n) AS BIGINT) AS n FROM s{i - 1} JOIN knows ON src = c GROUP BY dst)" for i in range(1, 10))
+
+
+_q("walk_count_8", "MATCH (a:customer)-[:knows*8]->(b:customer) WHERE a.c_custkey < 100 RETURN count(*) AS c", f"WITH {_steps('c_custkey < 100')} SELECT CAST(sum(n) AS BIGINT) AS c FROM s8")
+_q("long_chain_count", "MATCH (a:customer)" + "".join(f"-[:knows]->(x{i}:customer)" for i in range(9)) + "-[:lives_in]->(n:nation) RETURN n.n_name AS n, count(*) AS c", f"WITH {_steps()} SELECT n_name AS n, CAST(sum(s9.n) AS BIGINT) AS c FROM s9 JOIN customer ON c_custkey = s9.c JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 _q("walk_edge_pred", "MATCH (a:customer)-[p:knows*1..3 (r, n | WHERE r.w > 4)]->(b:customer) WHERE a.c_custkey < 50 RETURN length(p) AS n, count(*) AS c", _WALK.format(edges=_BOTH + ", fwd AS (SELECT src, dst, w, src * 1000000 + dst AS e FROM knows WHERE w > 4)", table="fwd", most=50, hops=3, test="") + " SELECT n, count(*) AS c FROM w WHERE n >= 1 GROUP BY 1")
 _q("path_nodes_rels", "MATCH (a:part)-[p:parent*1..3]->(b:part) WHERE a.p_partkey < 64 RETURN a.p_partkey AS a, b.p_partkey AS b, length(p) AS n, properties(nodes(p), 'p_size') AS s, size(rels(p)) AS r, is_acyclic(p) AS ac",
    "WITH RECURSIVE w AS (SELECT p_partkey AS a, p_partkey AS b, 0 AS n, [p_size] AS s, [p_partkey] AS vs FROM part WHERE p_partkey < 64 UNION ALL SELECT a, q.p_partkey, n + 1, list_append(s, q.p_size), list_append(vs, q.p_partkey) FROM w JOIN part q ON q.p_partkey = w.b // 2 WHERE w.b > 0 AND n < 3) SELECT a, b, n, s, n AS r, len(list_distinct(vs)) = len(vs) AS ac FROM w WHERE n >= 1")
