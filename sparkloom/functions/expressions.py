@@ -23,7 +23,7 @@ _ID_MASK = (1 << 56) - 1
 PLAIN: dict[str, Callable[..., Column]] = {
     "upper": F.upper, "ucase": F.upper, "toupper": F.upper, "lower": F.lower, "lcase": F.lower, "tolower": F.lower, "reverse": F.reverse,
     "abs": F.abs, "pow": F.pow, "power": F.pow, "sqrt": F.sqrt, "ceil": F.ceil, "ceiling": F.ceil, "floor": F.floor, "ln": F.log, "log": F.log10, "log2": F.log2, "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan, "cot": F.cot, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sign": F.signum, "factorial": F.factorial, "cbrt": F.cbrt, "degrees": F.degrees, "radians": F.radians, "greatest": F.greatest, "least": F.least,
-    "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "coalesce": F.coalesce, "ifnull": F.coalesce, "list_distinct": F.array_distinct, "list_sort": F.array_sort, "range": F.sequence, "gen_random_uuid": F.uuid,
+    "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "coalesce": F.coalesce, "ifnull": F.coalesce, "list_distinct": F.array_distinct, "range": F.sequence, "gen_random_uuid": F.uuid,
 }
 
 
@@ -274,6 +274,8 @@ class Compiler:
             if isinstance(e.of, A.Lit):
                 return parse_interval(e.of.value).column()
             return interval_of_text(of)
+        if isinstance(to, T.ArrayType) and isinstance(kind, T.StringType):
+            return F.from_json(of, to.simpleString())
         unsigned = {"UINT8": 1 << 8, "UINT16": 1 << 16, "UINT32": 1 << 32, "UINT64": 1 << 64}.get(e.to.upper())
         cast = of.cast(to)
         if unsigned:
@@ -433,6 +435,12 @@ class Compiler:
     def _f_list_creation(self, *items: A.Expr) -> Column:
         return self._listlit(A.ListLit(items))
 
+    def _f_list_sort(self, a: A.Expr, order: A.Expr | None = None) -> Column:
+        return F.sort_array(self(a), not (isinstance(order, A.Lit) and str(order.value).upper() == "DESC"))
+
+    def _f_list_reverse_sort(self, a: A.Expr) -> Column:
+        return F.sort_array(self(a), False)
+
     def _f_list_append(self, a: A.Expr, x: A.Expr) -> Column:
         return F.array_append(self(a), self(x))
 

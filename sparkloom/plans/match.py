@@ -70,6 +70,8 @@ def build(ctx: Context, frame: Frame | None, paths: list[A.PathPattern]) -> Patt
             tests = [A.Bin("=", A.Prop(A.Var(name), k), v) for k, v in r.props]
             out.rels.append(Rel(name, a, b, r, ctx.graph.triplets(r.types), tests))
             rels.append(name)
+            if path.var:  # what is read of the path is read of its parts
+                ctx.uses[name] = ctx.uses.get(name, set()) | ctx.uses.get(path.var, set())
         if path.var:
             out.named.append((path.var, names, rels))
     _prune(out)
@@ -236,6 +238,11 @@ class Matcher:
             rels.remove(r)
             frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
             bound |= {r.left, r.right}
+            # a test of several variables is made as soon as all of them are there
+            known = set(pattern.nodes) | {x.name for x in pattern.rels} | set(frame.vars)
+            now = [t for t in later if names_in(t) & known <= set(frame.vars)] if rels else []
+            later = [t for t in later if t not in now]
+            frame = self.filter(frame, now)
             if live is not None and rels and not pattern.named:
                 tested = names_in([later, *[n.tests for n in pattern.nodes.values() if n.name not in bound], *[x.tests for x in rels]])
                 frame = self.summed(frame, live | tested | {n for x in rels for n in (x.left, x.right)})
@@ -315,7 +322,7 @@ class Matcher:
     def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], counts: bool = False) -> Frame:
         ctx, spec = self.ctx, r.pattern.range
         forward = r.left in bound
-        if not forward and r.pattern.var and ctx.uses.get(r.pattern.var, set()) & {"nodes", "rels", "relationships", "bare"}:
+        if not forward and ctx.uses.get(r.name, set()) & {"nodes", "rels", "relationships", "bare"}:
             frame = self.scan(frame, pattern.nodes[r.left])  # the path's order is seen
             bound.add(r.left)
             forward = True
@@ -341,7 +348,7 @@ class Matcher:
             (node_tests if names == {spec.node_var} else edge_tests).append(t)
         side = self.filter(Frame(e.df, {n: e.rel for n in (r.name, spec.rel_var) if n}), edge_tests)
         e = replace(e, df=side.df)
-        used = ctx.uses.get(r.pattern.var or "", set())
+        used = ctx.uses.get(r.name, set())
         whole = "bare" in used or ("*" in ctx.uses and bool(r.pattern.var))
         wanted = Wanted(nodes=whole or bool(used & {"nodes", "is_acyclic"}), rels=whole or bool(used & {"rels", "relationships", "is_trail"}))
         compiled = Compiler(ctx, Frame(e.df, {r.name: e.rel}))

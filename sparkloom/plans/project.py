@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..cypher import ast as A
 from ..functions.expressions import AGGREGATES, Compiler, has_aggregate
+from ..types import is_interval, normal
 from .frame import BindFault, Context, Frame, NodeVar, PathVar, RelVar, ValueVar, walk
 from .match import Matcher, _swap
 
@@ -82,7 +83,9 @@ class Projector:
                 if isinstance(b, (NodeVar, RelVar, PathVar)):
                     raise BindFault("nodes, relationships and paths have no order")
                 scope = self.matcher.ready(scope, e)
-                column, hide = Compiler(ctx, scope)(e), ctx.fresh("order")
+                compiled = Compiler(ctx, scope)
+                column, hide = compiled(e), ctx.fresh("order")
+                column = normal(column) if is_interval(compiled.type_of(column)) else column
                 scope = scope.with_df(scope.df.withColumn(hide, column))
                 hidden.append((hide, up))
             out = replace(out, df=scope.df, vars={k: scope.vars.get(k, v) if isinstance(v, NodeVar) and not final else v for k, v in out.vars.items()})

@@ -190,6 +190,30 @@ def test_star_hides_what_has_no_name(s):
     assert df.columns == ["a", "in_b", "sub"]
 
 
+def test_named_variable_length_path(s):
+    (p,) = rows(s, "MATCH p = (a:person {id: 1})-[:knows*1..1]->(b {id: 4}) RETURN p")[0]
+    assert [n["name"] for n in p["nodes"]] == ["marko", "josh"] and len(p["rels"]) == p["length"] == 1
+    assert rows(s, "MATCH p = (a:person {id: 1})-[e*2..2]->(b:software) RETURN properties(nodes(p), 'name'), properties(rels(e), 'weight') ORDER BY b.name") == [(["marko", "josh", "lop"], [1.0, 0.4]), (["marko", "josh", "ripple"], [1.0, 1.0])]
+    assert rows(s, "MATCH (a:person)-[e:knows*1..2]-(a) RETURN count(*)") == [(4,)]
+
+
+def test_lists_and_casts(s):
+    assert rows(s, "RETURN list_sort([3, 1, 2], 'DESC'), list_sort([3, 1]), CAST('[1, 2]', 'INT64[]'), [1, 2, 3][-2:], list_transform([1, 2], x -> x * 2)") == [([3, 2, 1], [1, 3], [1, 2], [2, 3], [2, 4])]
+    assert rows(s, "UNWIND [interval('29 days'), interval('1 month'), interval('31 days')] AS i RETURN CAST(i AS STRING) AS t ORDER BY i DESC") == [("31 days",), ("1 month",), ("29 days",)]
+    assert rows(s, "MATCH (a:person) RETURN a.id ORDER BY a.id SKIP 1 + 1 LIMIT 0 + 1") == [(4,)]
+    assert rows(s, "MATCH (a:person) WITH a.age AS s, a.name AS n MATCH (b:person) WHERE s = b.age AND n <> 'josh' RETURN n, b.name, s ORDER BY s LIMIT 1") == [("vadas", "vadas", 27)]
+
+
+def test_keys_of_different_types(spark):
+    g = Graph(spark)
+    g.add_nodes("n", spark.createDataFrame([(1, "x")], "id int, v string"), "id")
+    g.add_nodes("m", spark.createDataFrame([("a", 2)], "name string, w int"), "name")
+    g.add_edges("e", "n", "m", spark.createDataFrame([(1, "a")], "_src int, _dst string"))
+    s = Session(g)
+    assert rows(s, "MATCH (x:n {id: 1})-[:e]->(y) RETURN x.v, y.name, y.w, x.id + 1") == [("x", "a", 2, 2)]
+    assert rows(s, "MATCH (x) RETURN label(x), x.id, x.name ORDER BY label(x)") == [("m", None, "a"), ("n", 1, None)]
+
+
 def test_settings(spark):
     s = modern(spark)
     text = "MATCH (a:person)-[:knows*2..2]-(c) RETURN count(*)"
