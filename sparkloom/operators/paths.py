@@ -111,9 +111,15 @@ class Paths:
             df = df.unionByName(more)
         return df.drop(seen) if seen else df
 
-    def shortest(self, starts: DataFrame, high: int, every: bool) -> DataFrame:
-        """For each start and each other node that it reaches, one of the shortest paths, or every one."""
+    def shortest(self, starts: DataFrame, high: int, every: bool, targets: DataFrame | None = None) -> DataFrame:
+        """For each start and each other node that it reaches, one of the shortest paths, or every one.
+
+        targets: the pairs (s, sl, t, tl) that are asked for, if these are known. The search of a start ends with its last
+        target.
+        """
         keys = self.ends("s", "t")
+        if targets is not None:
+            targets = cut(targets.select("s", "sl", "t", "tl").distinct())
         now = cut(self.begin(starts))
         levels: list[DataFrame] = []
         visited = now.select(*keys)  # a union of levels that are written already
@@ -129,6 +135,11 @@ class Paths:
                 break
             levels.append(now)
             visited = visited.union(now.select(*keys))
+            if targets is not None:
+                targets = cut(targets.join(now.select(*keys).distinct(), keys, "left_anti"))
+                if targets.isEmpty():
+                    break
+                now = now.join(targets.select(*self.ends("s")).distinct(), self.ends("s"), "left_semi")
         out = levels[0] if levels else now
         for level in levels[1:]:
             out = out.unionByName(level)

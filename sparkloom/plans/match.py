@@ -255,9 +255,7 @@ class Matcher:
 
         def rank(name: str) -> int:
             n = pattern.nodes[name]
-            keys = {self.ctx.graph.node(x).key for x in n.labels}
-            fixed = any(isinstance(t, A.Bin) and t.op == "=" and isinstance(t.left, A.Prop) and t.left.key in keys and isinstance(t.right, (A.Lit, A.Param)) for t in n.tests)
-            return 0 if fixed else 1 if n.tests else 2
+            return 0 if self.fixed(n) else 1 if n.tests else 2
 
         return min((n for n in pattern.nodes if n not in bound), key=rank)
 
@@ -384,7 +382,7 @@ class Matcher:
         if weight:
             found = paths.weighted(starts, mode.startswith("all"))
         elif short:
-            found = paths.shortest(starts, high, mode.startswith("all"))
+            found = paths.shortest(starts, high, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound))
         else:
             found = paths.walks(starts, spec.low, high, mode, counts and mode == "walk" and wanted == Wanted())
         if paths.one_label:
@@ -407,6 +405,22 @@ class Matcher:
             out = replace(out, df=out.df.withColumn(weight, F.col(names["n"]) * (F.col(frame.weight) if frame.weight else F.lit(1))), weight=weight)
         return out if closes else self.arrive(out, there, names["t"], names["tl"], near)
 
+    def targets(self, frame: Frame, starts, start: NodeVar, there: Node, closes: bool):
+        """The pairs of ends that a shortest path is asked for, if they are bound already or the end is fixed by its key; else None."""
+        if closes:
+            other = frame.vars[there.name]
+            return frame.df.select(F.col(start.key).alias("s"), F.col(start.label).alias("sl"), F.col(other.key).alias("t"), F.col(other.label).alias("tl")).where("s is not null and t is not null")
+        if not self.fixed(there):
+            return None
+        found = self.scan(None, Node(there.name, there.labels, [t for t in there.tests if names_in(t) <= {there.name}]))
+        end = found.vars[there.name]
+        return starts.crossJoin(found.df.select(F.col(end.key).alias("t"), F.col(end.label).alias("tl")))  # a node a label at most
+
+    def fixed(self, n: Node) -> bool:
+        """Whether a test gives the node's key."""
+        keys = {self.ctx.graph.node(x).key for x in n.labels}
+        return any(isinstance(t, A.Bin) and t.op == "=" and isinstance(t.left, A.Prop) and t.left.key in keys and isinstance(t.right, (A.Lit, A.Param)) for t in n.tests)
+
     def name_path(self, frame: Frame, var: str, nodes: list[str], rels: list[str]) -> Frame:
         """p = (a)-[e]->(b): nodes and relationships as arrays of one struct type."""
         ctx = self.ctx

@@ -214,6 +214,34 @@ def test_keys_of_different_types(spark):
     assert rows(s, "MATCH (x) RETURN label(x), x.id, x.name ORDER BY label(x)") == [("m", None, "a"), ("n", 1, None)]
 
 
+def test_builder_is_the_text(s):
+    from sparkloom.builder import query
+    from sparkloom.cypher.parser import parse
+
+    people = query().match("(a:person)-[k:knows]->(b:person)")
+    built = people.where("a.age > $least").where("k.weight > 0.6").with_("b").returns("b.name AS n", "b.age AS age").order_by("age DESC", "n").skip(0).limit(3)
+    text = "MATCH (a:person)-[k:knows]->(b:person) WHERE a.age > $least AND k.weight > 0.6 WITH b RETURN b.name AS n, b.age AS age ORDER BY age DESC, n SKIP 0 LIMIT 3"
+    assert [tuple(r) for r in s.run(built.build(), {"least": 20}).collect()] == rows(s, text, least=20) == [("josh", 32)]
+    both = people.returns("a.name AS n").union(query().match("(x:software)").optional_match("(x)<-[:created]-(y:person)").returns("y.name AS n", distinct=True))
+    assert both.build().union_all == parse("RETURN 1 UNION RETURN 2").union_all
+    assert {tuple(r) for r in s.run(both.build()).collect()} == {("marko",), ("josh",), ("peter",)}
+
+
+def test_search_ends_at_its_targets(spark, monkeypatch):
+    """A line of a hundred nodes: a target two hops away ends the search there."""
+    from sparkloom.operators import paths
+
+    g = Graph(spark)
+    g.add_nodes("n", spark.range(100), "id")
+    g.add_edges("e", "n", "n", spark.range(99).selectExpr("id AS _src", "id + 1 AS _dst"))
+    hops = []
+    monkeypatch.setattr(paths.Paths, "hop", lambda self, *a, f=paths.Paths.hop, **k: (hops.append(1), f(self, *a, **k))[1])
+    s = Session(g)
+    assert rows(s, "MATCH (a:n {id: 3})-[p:e*SHORTEST 1..]->(b:n {id: 5}) RETURN length(p)") == [(2,)]
+    assert rows(s, "MATCH (a:n), (b:n) WHERE a.id IN [1, 7] AND b.id = a.id + 3 MATCH (a)-[p:e*SHORTEST 1..]->(b) RETURN a.id, length(p) ORDER BY a.id") == [(1, 3), (7, 3)]
+    assert len(hops) == 5
+
+
 def test_settings(spark):
     s = modern(spark)
     text = "MATCH (a:person)-[:knows*2..2]-(c) RETURN count(*)"
