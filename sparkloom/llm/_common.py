@@ -97,11 +97,9 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, end, np.searchsorted(off, at, side="right") - 1, inside
 
 
-def per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sums of values (one for each byte) over each text."""
-    total = np.zeros(len(values) + 1, dtype=np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[off[1:]] - total[off[:-1]]
+def per_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of the marked bytes of each text."""
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
 
 
 def map_texts(df: DataFrame, function: Callable[[pa.StringArray], Iterable[pa.Array]], fields: list[T.StructField], text: str, keep: list[str]) -> DataFrame:

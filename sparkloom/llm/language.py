@@ -58,12 +58,20 @@ class Model:
         return len(self.letters) + 2
 
 
-def _codes(text: np.ndarray, letters: np.ndarray, is_letter: np.ndarray) -> np.ndarray:
+#: Characters that one step works on.
+BLOCK = 1 << 20
+
+
+def _codes(text: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Symbols of code points: 0 blank, 1 other letter, 2... letters."""
-    at = np.searchsorted(letters, text)
-    at[at == len(letters)] = 0
-    known = letters[at] == text if len(letters) else np.zeros(len(text), bool)
-    return np.where(known, at + 2, is_letter.astype(np.int64)).astype(np.int32)
+    out = np.empty(len(text), np.uint8)
+    for k in range(0, len(text), BLOCK):
+        part = text[k : k + BLOCK]
+        at = np.searchsorted(letters, part)
+        at[at == len(letters)] = 0
+        known = letters[at] == part if len(letters) else np.zeros(len(part), bool)
+        out[k : k + BLOCK] = np.where(known, at + 2, _letter_table()[part])
+    return out
 
 
 _LETTER = np.zeros(0x110000, dtype=bool)
@@ -89,24 +97,23 @@ def presence(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     points, off = _points(texts)
     base = len(letters) + 2
     out = np.zeros((len(texts), base + base**2 + base**3), dtype=bool)
-    symbol = _codes(points, letters, _letter_table()[points])
-    doc = np.repeat(np.arange(len(texts)), np.diff(off))
+    symbol = _codes(points, letters)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
     # one blank between runs of letters
-    first = np.zeros(len(symbol) + 1, dtype=bool)
-    first[off] = True
-    keep = (symbol > 0) | np.concatenate(([True], symbol[:-1] > 0))[: len(symbol)] | first[: len(symbol)]
+    keep = symbol > 0
+    keep[1:] |= symbol[:-1] > 0
+    keep[off[:-1][np.diff(off) > 0]] = True
     symbol, doc = symbol[keep], doc[keep]
-    # flat places in the matrix: one scatter a length of n-gram
-    flat, row = out.ravel(), doc * out.shape[1]
-    flat[row + symbol] = True
-    if len(symbol) > 1:
-        two = symbol[:-1] * base + symbol[1:]
-        same = doc[:-1] == doc[1:]
-        flat[(row[:-1] + base + two)[same]] = True
-        if len(symbol) > 2:
-            three = two[:-1] * base + symbol[2:]
-            same = doc[:-2] == doc[2:]
-            flat[(row[:-2] + base + base**2 + three)[same]] = True
+    # flat places in the matrix: a scatter for each length of n-gram, over blocks that overlap by two symbols
+    flat = out.ravel()
+    for k in range(0, len(symbol), BLOCK):
+        s, d = symbol[k : k + BLOCK + 2].astype(np.int64), doc[k : k + BLOCK + 2]
+        row = d.astype(np.int64) * out.shape[1]
+        flat[row + s] = True
+        two = s[:-1] * base + s[1:]
+        flat[(row[:-1] + base + two)[d[:-1] == d[1:]]] = True
+        three = two[:-1] * base + s[2:]
+        flat[(row[:-2] + base + base**2 + three)[d[:-2] == d[2:]]] = True
     some = np.zeros(len(texts), dtype=bool)
     some[doc[symbol > 0]] = True
     return out, some

@@ -33,8 +33,8 @@ MIN_WORDS = 15
 MAX_COVERED_PCT = 10
 MAX_LONGEST = 50
 
-_SYMBOLS = np.zeros(256, dtype=np.int64)
-_SYMBOLS[list(b"#*$%&|<>")] = 1
+_SYMBOLS = np.zeros(256, dtype=bool)
+_SYMBOLS[list(b"#*$%&|<>")] = True
 
 
 @dataclass
@@ -52,7 +52,7 @@ def suffix_order(keys: np.ndarray, end: np.ndarray, least: int) -> Order:
     sorted_ = keys[suffix]
     slots = np.arange(n)
     head = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))[:n]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     rank[suffix] = np.maximum.accumulate(np.where(head, slots, 0))
     ranks, size = [rank], 1
     while True:
@@ -64,8 +64,8 @@ def suffix_order(keys: np.ndarray, end: np.ndarray, least: int) -> Order:
         at = suffix[open_]
         then = at + size
         inside = then < end[at]
-        second = np.where(inside, rank[np.where(inside, then, 0)] + 1, 0)
-        both = rank[at] * (n + 1) + second
+        second = np.where(inside, rank[np.where(inside, then, 0)].astype(np.int64) + 1, 0)
+        both = rank[at].astype(np.int64) * (n + 1) + second
         order = np.argsort(both, kind="stable")
         at, both = at[order], both[order]
         suffix[open_] = at
@@ -133,7 +133,7 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int = MIN_WORDS) -> dic
         "n_words": n_words,
         "word_chars": per_text(inside & ((buf & 0xC0) != 0x80), off),
         "n_symbols": per_text(_SYMBOLS[buf], off),
-        "n_dup_lines": _repeated_lines(buf, off, inside),
+        "n_dup_lines": _repeated_lines(buf, off, at),
     }
     ids = strings(buf[inside], end - at).dictionary_encode().indices.to_numpy().astype(np.int64) if len(at) else np.zeros(0, np.int64)
     last = np.cumsum(n_words)[doc]  # the word after the text's last
@@ -159,8 +159,8 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int = MIN_WORDS) -> dic
     return out
 
 
-def _repeated_lines(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Lines with a word that are equal to an earlier line of their text."""
+def _repeated_lines(buf: np.ndarray, off: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Lines with a word that are equal to an earlier line of their text; words: where each word begins."""
     n = len(off) - 1
     breaks = np.flatnonzero(buf == 10)
     starts = np.concatenate((off[:-1], breaks + 1))
@@ -171,8 +171,7 @@ def _repeated_lines(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> np.
         return np.zeros(n, np.int64)
     last = np.concatenate((doc[1:] != doc[:-1], [True]))
     ends = np.where(last, off[doc + 1], np.concatenate((starts[1:] - 1, [0])))
-    words = np.concatenate(([0], np.cumsum(inside)))
-    full = words[ends] > words[starts]
+    full = np.searchsorted(words, ends) > np.searchsorted(words, starts)
     ids = strings(buf[buf != 10], ends - starts).dictionary_encode().indices.to_numpy().astype(np.int64)
     doc, ids = doc[full], ids[full]
     distinct = np.unique(doc * (len(starts) + 1) + ids) // (len(starts) + 1)

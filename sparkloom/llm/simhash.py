@@ -33,6 +33,8 @@ from ._common import cut, documents, like, map_texts, raw, release
 WORDS = 4
 SEED = 42
 RADIUS = 4
+#: Shingles of a long text that are hashed at a time.
+BLOCK = 1 << 16
 #: The values are dealt to at least 2 ** LEAST_SLICE_BITS slices, and to more from SLICE_RECORDS records a slice on.
 LEAST_SLICE_BITS = 3
 SLICE_RECORDS = 1 << 36
@@ -53,10 +55,12 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     first = min(words, len(tokens)) - 1
     starts = np.concatenate(([0], ends[: len(tokens) - first - 1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[first:].tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
+    last, digest = ends[first:], xxhash.xxh64_intdigest
+    bits, n = np.zeros(64, np.int64), len(starts)
+    for k in range(0, n, BLOCK):
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + BLOCK].tolist(), last[k : k + BLOCK].tolist(), strict=True)], np.uint64)
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
