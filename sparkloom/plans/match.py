@@ -229,14 +229,19 @@ class Matcher:
         rels.sort(key=lambda r: order.get(r.name, len(order)))
         while rels or not set(pattern.nodes) <= bound:
             near = [r for r in rels if r.left in bound or r.right in bound]
-            if not near:
+            if near:
+                r = min(near, key=lambda r: (not (r.left in bound and r.right in bound), r.pattern.range is not None, -len(pattern.nodes[r.right if r.left in bound else r.left].tests), order.get(r.name, len(order))))
+                rels.remove(r)
+                frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
+            else:
                 name = self.first(pattern, bound, rels)
-                frame = self.scan(frame, pattern.nodes[name])
-                bound.add(name)
-                continue
-            r = min(near, key=lambda r: (not (r.left in bound and r.right in bound), r.pattern.range is not None, -len(pattern.nodes[r.right if r.left in bound else r.left].tests), order.get(r.name, len(order))))
-            rels.remove(r)
-            frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
+                r = self.first_edge(pattern, name, rels)
+                if r is None:
+                    frame = self.scan(frame, pattern.nodes[name])
+                    bound.add(name)
+                    continue
+                rels.remove(r)
+                frame = self.scan_edge(frame, pattern, r)
             bound |= {r.left, r.right}
             # a test of several variables is made as soon as all of them are there
             known = set(pattern.nodes) | {x.name for x in pattern.rels} | set(frame.vars)
@@ -259,6 +264,26 @@ class Matcher:
 
         return min((n for n in pattern.nodes if n not in bound), key=rank)
 
+    @staticmethod
+    def first_edge(pattern: Pattern, name: str, rels: list[Rel]) -> Rel | None:
+        """The relationship to begin with at a node that has no test: its table holds the node's key, so the node's own is not read."""
+        if pattern.nodes[name].tests:
+            return None
+        found = [r for r in rels if r.pattern.range is None and name in (r.left, r.right) and r.left != r.right]
+        return max(found, key=lambda r: len(r.tests) + len(pattern.nodes[r.left].tests) + len(pattern.nodes[r.right].tests), default=None)
+
+    def scan_edge(self, frame: Frame | None, pattern: Pattern, r: Rel) -> Frame:
+        a, b = pattern.nodes[r.left], pattern.nodes[r.right]
+        e = edges(self.ctx, r.name, r.tables, r.pattern.direction, a.labels, b.labels)
+        own = [t for t in r.tests if names_in(t) <= {r.name}]
+        new = self.filter(Frame(e.df, {r.name: e.rel}), own)
+        single = [[t for t in n.tests if names_in(t) <= {n.name}] for n in (a, b)]
+        new = self.arrive(new, replace(a, tests=single[0]), e.near, e.near_label, e.near_labels)
+        new = self.arrive(new, replace(b, tests=single[1]), e.far, e.far_label, e.far_labels)
+        if frame is not None:
+            new = replace(frame, df=frame.df.crossJoin(new.df), vars=frame.vars | new.vars)
+        return self.filter(new, [t for tests in (r.tests, a.tests, b.tests) for t in tests if t not in own and t not in single[0] and t not in single[1]])
+
     def scan(self, frame: Frame | None, node: Node) -> Frame:
         df, var = self.ctx.node_scan(node.name, node.labels)
         new = Frame(df, {node.name: var})
