@@ -93,9 +93,12 @@ class Compiler:
     def id_of(self, key: Column, label: Column, labels: tuple[str, ...]) -> Column:
         """A number for a node: its label's in the upper byte, its key or the key's hash below."""
         at = {x: i for i, x in enumerate(self.ctx.graph.nodes)}
-        number = F.lit(at[labels[0]]) if len(labels) == 1 else F.coalesce(*[F.when(label == x, at[x]) for x in labels or at])
-        whole = all(isinstance(n.key_type, T.IntegralType) for n in self.ctx.graph.nodes.values())
-        return F.shiftleft(number.cast("long"), 56).bitwiseOR((key if whole else F.xxhash64(key)).bitwiseAND(F.lit(_ID_MASK)))
+
+        def one(x: str) -> Column:
+            below = key.try_cast("long") if self.ctx.kind((x,)) == "long" else F.xxhash64(key)
+            return F.lit(at[x] << 56).cast("long").bitwiseOR(below.bitwiseAND(F.lit(_ID_MASK)))
+
+        return one(labels[0]) if len(labels) == 1 else F.coalesce(*[F.when(label == x, one(x)) for x in labels or at])
 
     def node_id(self, b: NodeVar) -> Column:
         return self.id_of(F.col(b.key), F.col(b.label), b.labels)
@@ -163,7 +166,7 @@ class Compiler:
         a, b = self.entity(left), self.entity(right)
         if a is not None and b is not None and isinstance(left, A.Call) == isinstance(right, A.Call):
             if isinstance(a, NodeVar) and isinstance(b, NodeVar):
-                keys = F.col(a.key) == F.col(b.key)
+                keys = self.ctx.equal(F.col(a.key), a.kind, F.col(b.key), b.kind)
                 return keys if a.labels == b.labels and len(a.labels) == 1 else keys & (F.col(a.label) == F.col(b.label))
             if isinstance(a, RelVar) and isinstance(b, RelVar):
                 return (F.col(a.type) == F.col(b.type)) & (F.col(a.src) == F.col(b.src)) & (F.col(a.dst) == F.col(b.dst)) & (F.col(a.eid) == F.col(b.eid))

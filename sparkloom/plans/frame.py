@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
@@ -27,6 +27,8 @@ class NodeVar:
     key: str
     label: str
     props: dict[str, str] | None = None
+    #: Of the key's column: "long", or "string" if a label has keys of another type.
+    kind: str = "long"
 
     def columns(self) -> list[str]:
         return list(dict.fromkeys([self.key, self.label, *(self.props or {}).values()]))
@@ -45,6 +47,7 @@ class RelVar:
     eid: str
     props: dict[str, str]
     ends: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())
+    kinds: tuple[str, str] = ("long", "long")
 
     def columns(self) -> list[str]:
         return [self.src, self.src_label, self.dst, self.dst_label, self.type, self.eid, *self.props.values()]
@@ -120,10 +123,20 @@ class Context:
     def max_hops(self) -> int:
         return int(self.settings.get("var_length_extend_max_depth", 30))
 
-    # keys of nodes: long if all labels have integer keys, else string
-    def key(self, column: Column) -> Column:
-        whole = all(isinstance(n.key_type, T.IntegralType) for n in self.graph.nodes.values())
-        return column.cast("long" if whole else "string")
+    # keys of nodes
+    def kind(self, labels: Iterable[str]) -> str:
+        """The type that holds the keys of the labels: long if all are integers, else string."""
+        return "long" if all(isinstance(self.graph.node(x).key_type, T.IntegralType) for x in labels) else "string"
+
+    @staticmethod
+    def to(column: Column, kind: str, wanted: str) -> Column:
+        """A key of one kind as another; no key where it can't be one."""
+        return column if kind == wanted else column.cast("string") if wanted == "string" else column.try_cast("long")
+
+    @staticmethod
+    def equal(a: Column, a_kind: str, b: Column, b_kind: str) -> Column:
+        """Whether two keys are equal; only keys of different kinds are compared as text."""
+        return a == b if a_kind == b_kind else a.cast("string") == b.cast("string")
 
     def node_scan(self, name: str, labels: tuple[str, ...]) -> tuple[DataFrame, NodeVar]:
         """All nodes of the labels; a property that a label lacks is null."""
@@ -135,17 +148,18 @@ class Context:
                     raise BindFault(f"property {p} has different types in {', '.join(labels)}")
         key, label = self.fresh(f"{name}_key"), self.fresh(f"{name}_label")
         props = {p: self.fresh(f"{name}_{p}") for p in kinds}
+        of = self.kind(labels)
 
         def one(t: NodeTable) -> DataFrame:
             return t.df.select(
-                self.key(F.col(f"`{t.key}`")).alias(key), F.lit(t.label).alias(label),
+                F.col(f"`{t.key}`").cast(of).alias(key), F.lit(t.label).alias(label),
                 *[(F.col(f"`{p}`") if p in t.properties else F.lit(None).cast(kinds[p])).alias(c) for p, c in props.items()],
             )
 
         df = one(tables[0])
         for t in tables[1:]:
             df = df.unionAll(one(t))
-        return df, NodeVar(tuple(labels), key, label, props)
+        return df, NodeVar(tuple(labels), key, label, props, of)
 
     def hydrate(self, frame: Frame, name: str) -> Frame:
         """The frame with the properties of the node variable: a join by its key."""
@@ -153,7 +167,7 @@ class Context:
         if not isinstance(var, NodeVar) or var.props is not None:
             return frame
         df, found = self.node_scan(name, var.labels)
-        on = F.col(var.key) == F.col(found.key)
+        on = self.equal(F.col(var.key), var.kind, F.col(found.key), found.kind)
         if len(var.labels) > 1:
             on &= F.col(var.label) == F.col(found.label)
         joined = frame.df.join(df, on, "left").drop(found.key, found.label)

@@ -178,7 +178,7 @@ class Matcher:
         The sum is made by the keys that the next join is made by, so it needs no exchange of its own.
         """
         kept = {v: b for v, b in frame.vars.items() if v in live}
-        if len(kept) == len(frame.vars) or not kept or not all(isinstance(b, NodeVar) for b in kept.values()):
+        if not any(isinstance(b, NodeVar) for v, b in frame.vars.items() if v not in kept) or not kept or not all(isinstance(b, NodeVar) for b in kept.values()):
             return frame
         keys = list(dict.fromkeys(c for b in kept.values() for c in b.identity()))
         carried = [c for b in kept.values() for c in b.columns() if c not in keys]
@@ -197,13 +197,13 @@ class Matcher:
                 if "_LABEL" not in names:
                     raise BindFault(f"{p.var} is no node")
                 labels = tuple(self.ctx.graph.labels(p.labels))
-                keys = {self.ctx.graph.node(x).key for x in labels}
+                keys, kind_of = {self.ctx.graph.node(x).key for x in labels}, self.ctx.kind(labels)
                 c = F.col(b.column)
-                key = c["_KEY"] if "_KEY" in names else F.coalesce(*[F.when(c["_LABEL"] == x, self.ctx.key(c[self.ctx.graph.node(x).key])) for x in labels if self.ctx.graph.node(x).key in names]) if keys & set(names) else None
+                key = c["_KEY"] if "_KEY" in names else F.coalesce(*[F.when(c["_LABEL"] == x, c[self.ctx.graph.node(x).key].cast(kind_of)) for x in labels if self.ctx.graph.node(x).key in names]) if keys & set(names) else None
                 if key is None:
                     raise BindFault(f"{p.var} has no key")
                 k, lab = self.ctx.fresh(p.var), self.ctx.fresh(p.var)
-                frame = frame.with_df(frame.df.withColumns({k: self.ctx.key(key), lab: c["_LABEL"]})).bind(**{p.var: NodeVar(labels, k, lab)})
+                frame = frame.with_df(frame.df.withColumns({k: key.try_cast(kind_of), lab: c["_LABEL"]})).bind(**{p.var: NodeVar(labels, k, lab, kind=kind_of)})
         return frame
 
     def plan(self, frame: Frame | None, paths: list[A.PathPattern], tests: list[A.Expr], hint: list[str] | None = None, live: set[str] | None = None) -> Frame:
@@ -278,8 +278,8 @@ class Matcher:
         own = [t for t in r.tests if names_in(t) <= {r.name}]
         new = self.filter(Frame(e.df, {r.name: e.rel}), own)
         single = [[t for t in n.tests if names_in(t) <= {n.name}] for n in (a, b)]
-        new = self.arrive(new, replace(a, tests=single[0]), e.near, e.near_label, e.near_labels)
-        new = self.arrive(new, replace(b, tests=single[1]), e.far, e.far_label, e.far_labels)
+        new = self.arrive(new, replace(a, tests=single[0]), e.near, e.near_label, e.near_labels, e.near_kind)
+        new = self.arrive(new, replace(b, tests=single[1]), e.far, e.far_label, e.far_labels, e.far_kind)
         if frame is not None:
             new = replace(frame, df=frame.df.crossJoin(new.df), vars=frame.vars | new.vars)
         return self.filter(new, [t for tests in (r.tests, a.tests, b.tests) for t in tests if t not in own and t not in single[0] and t not in single[1]])
@@ -303,20 +303,20 @@ class Matcher:
             frame = frame.with_df(frame.df.where(F.col(var.key).isNotNull()))
         return self.filter(frame, node.tests)
 
-    def arrive(self, frame: Frame, node: Node, key: str, label: str, labels: tuple[str, ...]) -> Frame:
+    def arrive(self, frame: Frame, node: Node, key: str, label: str, labels: tuple[str, ...], kind: str) -> Frame:
         """A node that an edge leads to. Its table is joined only for tests of its properties."""
         if len(labels) > len(node.labels):
             frame = frame.with_df(frame.df.where(F.col(label).isin(list(node.labels))))
-        frame = frame.bind(**{node.name: NodeVar(node.labels, key, label)})
+        frame = frame.bind(**{node.name: NodeVar(node.labels, key, label, kind=kind)})
         own = [t for t in node.tests if names_in(t) <= {node.name}]
         wanted, bare = self.reads(own, node.name)
         if own and (bare or not self.ctx.only_keys(frame.vars[node.name], wanted)):
             found = self.scan(None, Node(node.name, node.labels, own))
             var = found.vars[node.name]
-            on = F.col(key) == F.col(var.key)
+            on = self.ctx.equal(F.col(key), kind, F.col(var.key), var.kind)
             if len(node.labels) > 1:
                 on &= F.col(label) == F.col(var.label)
-            frame = frame.with_df(frame.df.join(found.df, on).drop(var.key, var.label)).bind(**{node.name: replace(var, key=key, label=label)})
+            frame = frame.with_df(frame.df.join(found.df, on).drop(var.key, var.label)).bind(**{node.name: replace(var, key=key, label=label, kind=kind)})
             return self.filter(frame, [t for t in node.tests if t not in own])
         return self.filter(frame, node.tests)
 
@@ -327,18 +327,18 @@ class Matcher:
         var, there = frame.vars[a], pattern.nodes[b]
         e = edges(self.ctx, r.name, r.tables, way, pattern.nodes[a].labels, there.labels)
         side = self.filter(Frame(e.df, {r.name: e.rel}), [t for t in r.tests if names_in(t) <= {r.name}])
-        on = F.col(var.key) == F.col(e.near)
+        on = self.ctx.equal(F.col(var.key), var.kind, F.col(e.near), e.near_kind)
         if len(var.labels) > 1 or len(e.near_labels) > 1:
             on &= F.col(var.label) == F.col(e.near_label)
         closes = b in bound
         if closes:
             other = frame.vars[b]
-            on &= F.col(other.key) == F.col(e.far)
+            on &= self.ctx.equal(F.col(other.key), other.kind, F.col(e.far), e.far_kind)
             if len(other.labels) > 1 or len(e.far_labels) > 1:
                 on &= F.col(other.label) == F.col(e.far_label)
         out = replace(frame, df=frame.df.join(side.df, on), vars=frame.vars | {r.name: e.rel})
         if not closes:
-            out = self.arrive(out, there, e.far, e.far_label, e.far_labels)
+            out = self.arrive(out, there, e.far, e.far_label, e.far_labels, e.far_kind)
         return self.filter(out, [t for t in r.tests if not names_in(t) <= {r.name}])
 
     # paths
@@ -361,7 +361,9 @@ class Matcher:
         short = "shortest" in mode
         if short and spec.low != 1:
             raise BindFault("shortest paths begin at 1 hop")
-        e = edges(ctx, r.name, r.tables, way)
+        near = tuple(dict.fromkeys([*pattern.nodes[a].labels, *(x for t in r.tables for x in (t.source, t.target))]))
+        kind = ctx.kind(near)
+        e = edges(ctx, r.name, r.tables, way, key_kind=kind)
         tests = [replace(t, left=A.Prop(A.Var(r.name), t.left.key)) for t in r.tests]
         edge_tests, node_tests = list(tests), []
         for t in conjuncts(spec.where):
@@ -382,10 +384,9 @@ class Matcher:
             F.col(e.rel.src).alias("_SRC_KEY"), F.col(e.rel.src_label).alias("_SRC_LABEL"), F.col(e.rel.dst).alias("_DST_KEY"), F.col(e.rel.dst_label).alias("_DST_LABEL"),
             *[F.col(c).alias(p) for p, c in e.rel.props.items() if keep is None or p in keep],
         )
-        near = tuple(dict.fromkeys([*pattern.nodes[a].labels, *e.near_labels, *e.far_labels]))
 
         def node_frame(df) -> Frame:
-            return ctx.hydrate(Frame(df, {"n": NodeVar(near, "t", "tl")}), "n")
+            return ctx.hydrate(Frame(df, {"n": NodeVar(near, "t", "tl", kind=kind)}), "n")
 
         def node_of(df):
             f = node_frame(df)
@@ -395,32 +396,32 @@ class Matcher:
             return f.df.withColumn("node", value).drop(*f.vars["n"].props.values())
 
         def node_test(df):
-            f = self.filter(Frame(df, {spec.node_var: NodeVar(near, "t", "tl")}), node_tests)
+            f = self.filter(Frame(df, {spec.node_var: NodeVar(near, "t", "tl", kind=kind)}), node_tests)
             return f.df.select(*df.columns)
 
         weight = e.rel.props.get(spec.weight) if spec.weight else None
         if spec.weight and weight is None:
             raise BindFault(f"no weight {spec.weight}")
         var = frame.vars[a]
-        starts = frame.df.select(F.col(var.key).alias("s"), F.col(var.label).alias("sl")).where(F.col("s").isNotNull()).distinct()
+        starts = frame.df.select(ctx.to(F.col(var.key), var.kind, kind).alias("s"), F.col(var.label).alias("sl")).where(F.col("s").isNotNull()).distinct()
         paths = Paths(replace(e, near_labels=near, far_labels=near), wanted, rel, node_of, node_test if node_tests else None, weight)
         if weight:
             found = paths.weighted(starts, mode.startswith("all"))
         elif short:
-            found = paths.shortest(starts, high, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound))
+            found = paths.shortest(starts, high, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound, kind))
         else:
             found = paths.walks(starts, spec.low, high, mode, counts and mode == "walk" and wanted == Wanted())
         if paths.one_label:
             found = found.withColumns({"sl": F.lit(near[0]), "tl": F.lit(near[0])})
         names = {c: ctx.fresh(f"{r.name}_{c}") for c in found.columns}
         found = found.withColumnsRenamed(names)
-        on = F.col(var.key) == F.col(names["s"])
+        on = ctx.equal(F.col(var.key), var.kind, F.col(names["s"]), kind)
         if len(var.labels) > 1:
             on &= F.col(var.label) == F.col(names["sl"])
         there, closes = pattern.nodes[b], b in bound
         if closes:
             other = frame.vars[b]
-            on &= F.col(other.key) == F.col(names["t"])
+            on &= ctx.equal(F.col(other.key), other.kind, F.col(names["t"]), kind)
             if not paths.one_label:
                 on &= F.col(other.label) == F.col(names["tl"])
         path = PathVar(names["len"], names.get("nodes"), names.get("rels"), names.get("cost"))
@@ -428,18 +429,18 @@ class Matcher:
         if "n" in names:
             weight = ctx.fresh("weight")
             out = replace(out, df=out.df.withColumn(weight, F.col(names["n"]) * (F.col(frame.weight) if frame.weight else F.lit(1))), weight=weight)
-        return out if closes else self.arrive(out, there, names["t"], names["tl"], near)
+        return out if closes else self.arrive(out, there, names["t"], names["tl"], near, kind)
 
-    def targets(self, frame: Frame, starts, start: NodeVar, there: Node, closes: bool):
+    def targets(self, frame: Frame, starts, start: NodeVar, there: Node, closes: bool, kind: str):
         """The pairs of ends that a shortest path is asked for, if they are bound already or the end is fixed by its key; else None."""
         if closes:
             other = frame.vars[there.name]
-            return frame.df.select(F.col(start.key).alias("s"), F.col(start.label).alias("sl"), F.col(other.key).alias("t"), F.col(other.label).alias("tl")).where("s is not null and t is not null")
+            return frame.df.select(self.ctx.to(F.col(start.key), start.kind, kind).alias("s"), F.col(start.label).alias("sl"), self.ctx.to(F.col(other.key), other.kind, kind).alias("t"), F.col(other.label).alias("tl")).where("s is not null and t is not null")
         if not self.fixed(there):
             return None
         found = self.scan(None, Node(there.name, there.labels, [t for t in there.tests if names_in(t) <= {there.name}]))
         end = found.vars[there.name]
-        return starts.crossJoin(found.df.select(F.col(end.key).alias("t"), F.col(end.label).alias("tl")))  # a node a label at most
+        return starts.crossJoin(found.df.select(self.ctx.to(F.col(end.key), end.kind, kind).alias("t"), F.col(end.label).alias("tl")))  # a node a label at most
 
     def fixed(self, n: Node) -> bool:
         """Whether a test gives the node's key."""
@@ -486,7 +487,7 @@ class Matcher:
         on = []
         for v, w in alone.items():
             x, y = frame.vars[v], found.vars[w]
-            on.append(F.col(x.key) == F.col(y.key))
+            on.append(self.ctx.equal(F.col(x.key), x.kind, F.col(y.key), y.kind))
             if len(x.labels) > 1 or len(y.labels) > 1:
                 on.append(F.col(x.label) == F.col(y.label))
         return found, on, both, alone

@@ -53,8 +53,9 @@ class Updates:
                 raise BindFault(f"a {table.label} of this key is there already")
             self.graph.put_nodes(table.label, cut(table.df.unionByName(new)))
             key, label = self.ctx.fresh(f"{name}_key"), self.ctx.fresh(f"{name}_label")
-            columns = {key: self.ctx.key(compiled(given[table.key])), label: F.lit(table.label)}
-            frame = frame.with_df(frame.df.withColumns(columns)).bind(**{name: NodeVar((table.label,), key, label)})
+            kind = self.ctx.kind((table.label,))
+            columns = {key: compiled(given[table.key]).cast(kind), label: F.lit(table.label)}
+            frame = frame.with_df(frame.df.withColumns(columns)).bind(**{name: NodeVar((table.label,), key, label, kind=kind)})
         return frame, names
 
     def create_edge(self, frame: Frame, r: A.RelPattern, a: str, b: str) -> None:
@@ -72,6 +73,11 @@ class Updates:
             new = rows.select(F.col(x.key).cast(kinds[t.src].dataType).alias(t.src), F.col(y.key).cast(kinds[t.dst].dataType).alias(t.dst), *[(compiled(given[p]).cast(k) if p in given else self.graph.default(t.type, p, k)).alias(p) for p, k in t.properties.items()])
             self.graph.put_edges(t, cut(t.df.unionByName(new)))
 
+    def at(self, label: str, column: str, b: NodeVar):
+        """Whether a table's column of the label's keys is the variable's key."""
+        kind = self.ctx.kind((label,))
+        return self.ctx.equal(F.col(f"`{column}`").cast(kind), kind, F.col("_key"), b.kind)
+
     # SET
     def set(self, frame: Frame, items: list[tuple[str, str, A.Expr]]) -> Frame:
         for var in dict.fromkeys(v for v, _, _ in items):
@@ -98,7 +104,7 @@ class Updates:
                 raise BindFault(f"{table.key} is the key of {label}")
             if unknown := set(changes) - set(table.properties):
                 raise BindFault(f"{label} has no property {', '.join(sorted(unknown))}")
-            joined = table.df.join(rows.where(F.col("_of") == label), self.ctx.key(F.col(f"`{table.key}`")) == F.col("_key"), "left")
+            joined = table.df.join(rows.where(F.col("_of") == label), self.at(label, table.key, b), "left")
             self.graph.put_nodes(label, cut(joined.select(*[(F.when(F.col("_key").isNotNull(), F.col(f"_set_{p}").cast(k)).otherwise(F.col(f"`{p}`")) if p in changes else F.col(f"`{p}`")).alias(p) for p, k in table.properties.items()])))
 
     def edge_tables(self, b: RelVar) -> list[EdgeTable]:
@@ -146,12 +152,12 @@ class Updates:
                         if of != label:
                             continue
                         t = self.graph.edges[t.source, t.type, t.target]
-                        on = self.ctx.key(F.col(f"`{end}`")) == F.col("_key")
+                        on = self.at(of, end, b)
                         if c.detach:
                             self.graph.put_edges(t, cut(t.df.join(gone, on, "left_anti")))
                         elif not t.df.join(gone, on, "left_semi").isEmpty():
                             raise BindFault(f"a {label} to be deleted has {t.type} edges: DETACH DELETE")
-                self.graph.put_nodes(label, cut(table.df.join(gone, self.ctx.key(F.col(f"`{table.key}`")) == F.col("_key"), "left_anti")))
+                self.graph.put_nodes(label, cut(table.df.join(gone, self.at(label, table.key, b), "left_anti")))
         return frame
 
     # MERGE

@@ -162,7 +162,8 @@ class Session:
         """Edges whose ends are there."""
         for end, label in ((src, a), (dst, b)):
             table = self.graph.node(label)
-            df = df.join(table.df.select(ctx.key(F.col(f"`{table.key}`")).alias("_there")), ctx.key(F.col(f"`{end}`")) == F.col("_there"), "left_semi")
+            kind = ctx.kind((label,))
+            df = df.join(table.df.select(F.col(f"`{table.key}`").cast(kind).alias("_there")), F.col(f"`{end}`").cast(kind) == F.col("_there"), "left_semi")
         return df
 
     def _fitted(self, name: str, rows: DataFrame, wanted: list, named: list[str] | None, keys: tuple[str, ...]) -> DataFrame:

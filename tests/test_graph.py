@@ -209,7 +209,12 @@ def test_keys_of_different_types(spark):
     g.add_nodes("n", spark.createDataFrame([(1, "x")], "id int, v string"), "id")
     g.add_nodes("m", spark.createDataFrame([("a", 2)], "name string, w int"), "name")
     g.add_edges("e", "n", "m", spark.createDataFrame([(1, "a")], "_src int, _dst string"))
+    g.add_edges("f", "m", "n", spark.createDataFrame([("a", 1)], "_src string, _dst int"))
     s = Session(g)
+    assert rows(s, "MATCH (x:n)-[:e]->(y)-[:f]->(z) RETURN x = z, id(x) = id(z), z.v") == [(True, True, "x")]
+    assert rows(s, "MATCH (x)-[p*2..2]->(y:n) RETURN x.id, length(p), size(nodes(p))") == [(1, 2, 3)]
+    assert rows(s, "MATCH (x:n {id: 1})-[p*SHORTEST 1..]->(y) RETURN y.name, length(p)") == [("a", 1)]
+    assert rows(s, "MATCH (x) OPTIONAL MATCH (x)-[:e]->(y:m) WHERE EXISTS { MATCH (y)-[:f]->(x) } RETURN label(x), y.name ORDER BY label(x)") == [("m", None), ("n", "a")]
     assert rows(s, "MATCH (x:n {id: 1})-[:e]->(y) RETURN x.v, y.name, y.w, x.id + 1") == [("x", "a", 2, 2)]
     assert rows(s, "MATCH (x) RETURN label(x), x.id, x.name ORDER BY label(x)") == [("m", None, "a"), ("n", 1, None)]
 
