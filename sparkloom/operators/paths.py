@@ -145,23 +145,28 @@ class Paths:
             out = out.unionByName(level)
         return out
 
+    @staticmethod
+    def _cheapest(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
+        """The row of least cost of each key, of equal ones the least in the columns `then`."""
+        order = ["cost", *then]
+        rest = [c for c in df.columns if c not in keys and c not in order]
+        return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("x")).select(*keys, "x.*")
+
     def weighted(self, starts: DataFrame, every: bool) -> DataFrame:
         """For each start and each other node that it reaches, one of the cheapest paths, or every one; weights are not negative."""
         keys = self.ends("s", "t")
-        best = cut(self.begin(starts))
+        best = cut(self.begin(starts).withColumn("new", F.lit(1)))
         now = best
         while True:
             found = self.hop(now if self.node_test is None else self.node_test(now).union(now.where("len = 0")))
-            rest = ["cost", "len", *[c for c in found.columns if c not in {*keys, "cost", "len"}]]
-            found = found.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*")
-            known = best.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("cost").alias("known"))
-            on = [F.col(k) == F.col(f"k_{k}") for k in keys]
-            better = found.join(known, on, "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known", *[f"k_{k}" for k in keys])
-            better = cut(self.arrive(better))
-            if better.isEmpty():
+            if self.wanted.nodes:
+                found = self.arrive(self._cheapest(found, keys, "len"))
+            # one exchange a round: what is known and what is found meet by key, and of equal costs the known stays
+            best = cut(self._cheapest(best.withColumn("new", F.lit(0)).unionByName(found.withColumn("new", F.lit(1))), keys, "new", "len"))
+            now = best.where("new = 1")
+            if now.isEmpty():
                 break
-            best = cut(best.join(better.select(*keys), keys, "left_anti").unionByName(better))
-            now = better
+        best = best.drop("new")
         apart = (F.col("s") != F.col("t")) if self.one_label else (F.col("s") != F.col("t")) | (F.col("sl") != F.col("tl"))
         if not every:
             return best.where(apart)

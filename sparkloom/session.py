@@ -183,6 +183,8 @@ class Session:
     def _admin(self, ctx: Context, s: A.Admin) -> DataFrame | None:
         if s.kind == "explain":
             df = self.run(s.args[0], ctx.parameters)
+            if df is None:
+                return None
             return ctx.spark.createDataFrame([(df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")),)], "plan string")
         if s.kind == "checkpoint":
             if self.path is None:
