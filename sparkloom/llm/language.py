@@ -8,8 +8,8 @@ language. A batch of texts is scored by two matrix products: presence by landmar
 N-grams are those of lower-cased letters in runs, with one blank between runs; letters that the sample doesn't hold
 share one symbol, digits and signs count as blanks.
 
-The sample is at most `per_lang` labelled rows a language, those whose text has the smallest hashes, of each at most
-`sample_chars` characters at a place that the hash gives. Texts to be predicted are read whole.
+The sample is at most `per_lang` different labelled texts a language, by the order of their hashes, of each at most
+`chars` characters at a place that the hash gives. Texts to be predicted are read whole.
 
 Defined cases: `und` with score 0 for a null, empty or letterless text, or when no row is labelled. With one language in
 the sample all texts with a letter get it. Rows with null lang are not learned from. Ties go to the language first in
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from ._common import documents, map_texts, raw, steps
 
 PER_LANG = 400
+SIEVE = 8
 SAMPLE_CHARS = 2000
 LANDMARKS = 256
 RIDGE = 1e-3
@@ -172,13 +173,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, text: str, lang: str, doc_id: str, per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """The bounded labelled sample: per_lang rows a language, chars characters of each."""
+    """The bounded labelled sample: per_lang different texts a language, chars characters of each.
+
+    A first sieve by hash lets through some SIEVE times per_lang texts a language, so that what is shuffled to be ranked
+    doesn't grow with the input; copies of a text are one row before the shuffle.
+    """
     value = F.col(f"`{text}`")
-    usable = df.where(F.col(f"`{lang}`").isNotNull() & value.isNotNull() & ~held_out(F.col(f"`{doc_id}`")))
-    order = F.xxhash64(value)
-    window = F.substring(value, (1 + F.pmod(order, F.greatest(F.lit(1), F.length(value) - chars))).cast("int"), F.lit(chars))
-    rows = usable.select(F.col(f"`{lang}`").cast("string").alias("g"), window.alias("t"), order.alias("h")).withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("h", "t"))).where(F.col("i") <= per_lang)
-    return [(r["t"], r["g"]) for r in rows.orderBy("g", "i").collect()]  # per_lang rows a language, spread evenly
+    usable = df.where(F.col(f"`{lang}`").isNotNull() & value.isNotNull() & ~held_out(F.col(f"`{doc_id}`"))).select(F.col(f"`{lang}`").cast("string").alias("g"), value.alias("t"), F.xxhash64(value).alias("h"))
+    counts = usable.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # a row a language, each of which the model holds as well
+    sieved = usable.join(F.broadcast(counts), "g").where(F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31)) * F.col("n") < F.lit(float(SIEVE * per_lang)))
+    window = F.substring("t", (1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - chars))).cast("int"), F.lit(chars))
+    different = sieved.groupBy("g", "h").agg(F.min(window).alias("t"))
+    ranked = different.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("i") <= per_lang)
+    return [(r["t"], r["g"]) for r in ranked.orderBy("g", "i").collect()]  # per_lang rows a language
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
