@@ -195,6 +195,42 @@ _q("id_functions", "MATCH (c:customer)-[k:knows]->(d:customer) WHERE c.c_custkey
 _q("table_function", "CALL show_loaded_extensions() YIELD `extension name` AS e RETURN e", "SELECT unnest(['csv', 'json', 'parquet']) AS e")
 
 
+# the whole tables: the same queries without the bound on keys or the LIMIT that keeps the rows of those above few
+def _whole(name: str, *bounds: str) -> None:
+    """NAME_whole: the query and its SQL without these pieces."""
+    text, parameters, sql = TEXTS[name]
+    for bound in bounds:
+        assert bound in text + sql, bound
+        text, sql = text.replace(bound, ""), sql.replace(bound, "")
+    _q(f"{name}_whole", text, sql, **parameters)
+
+
+for _name, _bounds in {
+    "expand_out": (" WHERE c.c_custkey < 50", " WHERE o_custkey < 50"),
+    "expand_both": (" WHERE a.c_custkey < 30", " WHERE src < 30"),
+    "expand_edge_props": (" WHERE o.o_orderkey < 200", " WHERE l_orderkey < 200"),
+    "get_v_endpoints": (" WHERE a.c_custkey < 20", " WHERE src < 20"),
+    "optional_chain": (" WHERE c.c_custkey < 100", " WHERE c_custkey < 100"),
+    "pk_join": (" WHERE e.event_id < 100", " WHERE event_id < 100"),
+    "walk_1_3": (" WHERE a.c_custkey < 10", " WHERE src < 10"),
+    "walk_lengths": (" WHERE a.c_custkey < 10", " WHERE src < 10"),
+    "trail_1_3": (" WHERE a.c_custkey < 20", " WHERE src < 20"),
+    "acyclic_1_3": (" WHERE a.c_custkey < 20", " WHERE src < 20"),
+    "walk_count_8": (" WHERE a.c_custkey < 100", " WHERE c_custkey < 100"),
+    "walk_edge_pred": (" WHERE a.c_custkey < 50", " WHERE src < 50"),
+    "path_nodes_rels": (" WHERE a.p_partkey < 64", " WHERE p_partkey < 64"),
+    "named_path": (" WHERE c.c_custkey < 20", " WHERE c_custkey < 20"),
+    "all_shortest_count": (" WHERE a.c_custkey < 5", " WHERE c_custkey < 5"),
+    "weighted_shortest_cost": (" WHERE b.c_custkey < 40", " AND t < 40"),
+    "union_all": (" WHERE c.c_custkey < 5", " WHERE s.s_suppkey < 5", " WHERE c_custkey < 5", " WHERE s_suppkey < 5"),
+    "call_union": (" WHERE c.c_custkey < 30", " WHERE c_custkey < 30"),
+    "id_functions": (" WHERE c.c_custkey < 5", " WHERE src < 5"),
+    "order_multi": (" LIMIT 50",),
+    "order_by_hidden": (" LIMIT 7",),
+}.items():
+    _whole(_name, *_bounds)
+
+
 def _text_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     text, parameters, _ = TEXTS[name]
 
