@@ -4,15 +4,16 @@ Words are turned into template tokens: numbers, names (capitalised words; severa
 typed placeholders, other words are lower-cased, and outer punctuation goes. Windows of 13 template tokens of the
 benchmark are hash-joined with those of the documents. A pair of windows counts if their slots are consistent: equal
 values in one stand at equal values in the other and different ones at different ones, so that a question with other
-names and numbers is found, but not two texts that merely share a frame. The benchmark is also looked up with its names as plain
-words, for texts all in capitals or in small letters. A benchmark item of fewer tokens than a window
-is looked up whole, if it has at least 6. Windows in which less than half of the tokens are plain words say too little
-and are not used.
+names and numbers is found, but not two texts that merely share a frame. Both sides are also read with their names as plain
+words, for other capitals, as at the beginning of a sentence. A benchmark item of fewer tokens than a window
+is looked up whole. Windows in which less than half of the tokens are plain words, and items of fewer than 6 tokens, say
+too little as templates: they are looked up by their exact words (whatever the capitals and outer punctuation), so that
+every item's verbatim copies are found. A match counts once for each word of the document at which one begins.
 
 Where the benchmark's windows fit a checked bound, they are sent to the tasks and looked up there; beyond it the hashes
 of the documents' windows are joined by shuffle.
 
-Defined cases: a null text is empty. Null benchmark texts and items too short are not looked up. Repeated rows and
+Defined cases: a null text is empty. Null benchmark texts and items without a word are not looked up. Repeated rows and
 repeated items are judged alike. A null doc_id is judged like any other. Very long texts are read whole. With an empty
 benchmark nothing is contaminated; an empty table gives an empty result. Other columns are passed through by
 drop_contaminated(), whatever their names.
@@ -24,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,7 @@ class Tokens:
     starts: np.ndarray  # first word of the token, and the word after its last
     stops: np.ndarray
     words: list[tuple[str, str, bool]] = field(default_factory=list)
+    exact: np.ndarray | None = None  # hashes of the words themselves, if no names are joined
 
     def token(self, i: int) -> str:
         return self.words[self.ids[self.starts[i]]][0]
@@ -92,54 +95,91 @@ class Tokens:
         return " ".join(self.words[k][1] for k in self.ids[self.starts[i] : self.stops[i]])
 
 
-_known: dict[tuple[str, bool], tuple[str, str, bool, int]] = {}
-
-
-def _canonical(word: str, names: bool) -> tuple[str, str, bool, int]:
-    if (found := _known.get((word, names))) is None:
-        token = canonical(word, names)
-        found = (*token, _token_hash(token[0]))
-        if len(_known) < 200_000 and len(word) < 64:
-            _known[word, names] = found
-    return found
-
-
-def tokenise(buf: np.ndarray, off: np.ndarray, named: bool = True) -> Tokens:
+class _Lexicon:
+    """The words seen, each with both of its canonical forms."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.chars = 0
+        self.words: tuple[list, list] = ([], [])  # with names as plain words, and with names
+        self.hashes = np.zeros((3, 1 << 12), np.uint64)  # of these tokens, and of the word itself
+        self.flags = np.zeros((5, 1 << 12), bool)  # slots of either form, names, ends of phrases, words without a token
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new, hashes, flags = np.flatnonzero(ids < 0), [], []
+        first = len(self.at)
+        for k, word in enumerate((words[k] for k in new.tolist()), first):
+            self.at[word] = k
+            self.chars += len(word)
+            token, value, ends = named = canonical(word)
+            name = token == NAME
+            slot = name or token == NUMBER or token == UNIT
+            h = _token_hash(value)
+            of = _token_hash(token) if slot else h
+            self.words[0].append((value, value, ends) if name else named)
+            self.words[1].append(named)
+            hashes.append((h if name else of, of, h))
+            flags.append((slot and not name, slot, name, ends, not token))
+        if hashes:
+            last = first + len(hashes)
+            while last > self.hashes.shape[1]:
+                self.hashes, self.flags = (np.concatenate((x, np.zeros_like(x)), axis=1) for x in (self.hashes, self.flags))
+            self.hashes[:, first:last] = np.array(hashes, np.uint64).T
+            self.flags[:, first:last] = np.array(flags, bool).T
+            ids[new] = np.arange(first, last)
+        return ids
+
+
+_lexicon = _Lexicon()
+
+
+def tokenise(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens]:
+    """The tokens with names as placeholders, and with names as plain words: there each word is a token."""
+    global _lexicon
     at, end, doc, inside = word_spans(buf, off)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return Tokens(none, none.astype(np.uint64), none.astype(bool), none, none, none)
+        empty = Tokens(none, none.astype(np.uint64), none.astype(bool), none, none, none, exact=none.astype(np.uint64))
+        return empty, empty
     spelt = strings(buf[inside], end - at).dictionary_encode()
-    ids = spelt.indices.to_numpy().astype(np.int64)
-    words = [_canonical(w, named) for w in spelt.dictionary.to_pylist()]
-    hashes = np.array([w[3] for w in words], np.uint64)
-    slots = np.array([w[0] in (NUMBER, NAME, UNIT) for w in words])
-    names, ends, empty = (np.array(x) for x in ([w[0] == NAME for w in words], [w[2] for w in words], [not w[0] for w in words]))
-    real = ~empty[ids]  # words that are punctuation only are left out
+    if len(_lexicon.at) > 400_000 or _lexicon.chars > 8_000_000:
+        _lexicon = _Lexicon()
+    ids = _lexicon.look_up(spelt.dictionary.to_pylist())[spelt.indices.to_numpy()]
+    real = ~_lexicon.flags[4][ids]  # words that are punctuation only are left out
     ids, doc = ids[real], doc[real]
-    name = names[ids]
-    joined = np.zeros(len(ids), dtype=bool)  # a name that goes on
-    joined[1:] = name[1:] & name[:-1] & ~ends[ids[:-1]] & (doc[1:] == doc[:-1])
-    starts = np.flatnonzero(~joined)
+    return _tokens(_lexicon, ids, doc, True), _tokens(_lexicon, ids, doc, False)
+
+
+def _tokens(of: _Lexicon, ids: np.ndarray, doc: np.ndarray, named: bool) -> Tokens:
+    starts = np.arange(len(ids))
+    if named:
+        name = of.flags[2][ids]
+        joined = np.zeros(len(ids), dtype=bool)  # a name that goes on
+        joined[1:] = name[1:] & name[:-1] & ~of.flags[3][ids[:-1]] & (doc[1:] == doc[:-1])
+        starts = np.flatnonzero(~joined)
     stops = np.concatenate((starts[1:], [len(ids)])) if len(starts) else starts
     first = ids[starts]
-    return Tokens(doc[starts], hashes[first], slots[first], ids, starts, stops, [w[:3] for w in words])
+    return Tokens(doc[starts], of.hashes[int(named)][first], of.flags[int(named)][first], ids, starts, stops, of.words[named], None if named else of.hashes[2][first])
 
 
-def window_hashes(tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of each window of `size` tokens within one text."""
+def window_hashes(tokens: Tokens, size: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of each window of `size` tokens within one text; of -size: those that say too little as templates, by their exact words."""
+    exact, size = size < 0, abs(size)
     n = len(tokens.doc) - size + 1
-    if n <= 0:
+    if n <= 0 or exact and tokens.exact is None:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = (h * _PRIME) ^ tokens.hashes[k : k + n]
-        h ^= h >> np.uint64(29)
     good = tokens.doc[:n] == tokens.doc[size - 1 :]
     plain = np.concatenate(([0], np.cumsum(~tokens.slot)))
-    good &= 2 * (plain[size:] - plain[:-size]) >= size
-    first = np.flatnonzero(good)
-    return first, h[first]
+    telling = (2 * (plain[size:] - plain[:-size]) >= size) & (size >= min(SHORTEST, window))
+    first = np.flatnonzero(good & ~telling if exact else good & telling)
+    of = tokens.exact if exact else tokens.hashes
+    few = 4 * len(first) < n  # else slices of all are faster
+    h = np.full(len(first) if few else n, size, np.uint64)
+    for k in range(size):
+        h = (h * _PRIME) ^ (of[first + k] if few else of[k : k + n])
+        h ^= h >> np.uint64(29)
+    return first, h if few else h[first]
 
 
 def consistent(ours: list[str], theirs: list[str]) -> bool:
@@ -151,33 +191,40 @@ def consistent(ours: list[str], theirs: list[str]) -> bool:
 
 @dataclass
 class Index:
-    """Benchmark windows by size: hash -> (item, tokens, slot values), each once."""
+    """Benchmark windows by size (below 0: by exact words): hash -> (item, tokens, slot values), each once."""
 
     sizes: dict[int, dict[int, list[tuple[int, tuple[str, ...], tuple[str, ...]]]]]
     arrays: dict[int, np.ndarray]
+    window: int = WINDOW
 
 
 def _window(tokens: Tokens, i: int, size: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """The window's tokens and its slots' values, each with its kind."""
+    """The window's tokens and its slots' values, each with its kind; of -size: its words, no slots."""
+    if size < 0:
+        return tuple(tokens.value(i + k) for k in range(-size)), ()
     kinds = tuple(tokens.token(i + k) for k in range(size))
     return kinds, tuple(f"{kinds[k]}{tokens.value(i + k)}" for k in range(size) if tokens.slot[i + k])
 
 
+def _own_windows(tokens: Tokens, window: int) -> Iterator[tuple[int, int, int]]:
+    """(size, first token, hash) of a benchmark item's windows."""
+    if own := min(window, len(tokens.doc)):
+        for size in (own, -own):
+            for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size, window)), strict=True):
+                yield size, i, h
+
+
 def index(items: list[tuple[int, str]], window: int = WINDOW) -> Index:
     sizes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        for named in (True, False):
-            tokens = tokenise(data, np.array([0, len(data)], np.int64), named)
-            size = min(window, len(tokens.doc))
-            if size < min(SHORTEST, window):
-                continue
-            for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size)), strict=True):
+        for tokens in tokenise(data, np.array([0, len(data)], np.int64)):
+            for size, i, h in _own_windows(tokens, window):
                 entry = (item, *_window(tokens, i, size))
                 if entry not in sizes[size][h]:
                     sizes[size][h].append(entry)
     plain = {k: dict(v) for k, v in sizes.items()}
-    return Index(plain, {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in plain.items() if v})
+    return Index(plain, {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in plain.items() if v}, window)
 
 
 def _verified(tokens: Tokens, i: int, size: int, entries: list) -> Iterator[int]:
@@ -200,37 +247,37 @@ def _members(hashes: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def matches(column: pa.StringArray, found: Index) -> list[dict[int, int]]:
     """Of each text, the items and the number of its windows that match each."""
-    out: list[dict[int, int]] = [{} for _ in range(len(column))]
+    begun: list[dict[int, set[int]]] = [{} for _ in range(len(column))]
     buf, off = raw(column)
     for a, b in steps(off):
-        tokens = tokenise(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-        for size, among in found.arrays.items():
-            first, hashes = window_hashes(tokens, size)
-            for k in _members(hashes, among).tolist():
-                i = int(first[k])
-                counts = out[a + int(tokens.doc[i])]
-                for item in set(_verified(tokens, i, size, found.sizes[size][int(hashes[k])])):
-                    counts[item] = counts.get(item, 0) + 1
-    return out
+        for tokens in tokenise(buf[off[a] : off[b]], off[a : b + 1] - off[a]):
+            for size, among in found.arrays.items():
+                first, hashes = window_hashes(tokens, size, found.window)
+                for k in _members(hashes, among).tolist():
+                    i = int(first[k])
+                    for item in set(_verified(tokens, i, size, found.sizes[size][int(hashes[k])])):
+                        begun[a + int(tokens.doc[i])].setdefault(item, set()).add(int(tokens.starts[i]))
+    return [{item: len(at) for item, at in of.items()} for of in begun]
 
 
 def _window_rows(df: DataFrame, text: str, sizes: list[int] | None, window: int, keep: list[str]) -> DataFrame:
-    """df's columns `keep` with each window (size, hash, kinds, values): its own size if sizes is None."""
-    kind = T.ArrayType(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("slots", T.ArrayType(T.StringType()))]))
-    arrow = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("kinds", pa.list_(pa.string())), ("slots", pa.list_(pa.string()))]))
+    """df's columns `keep` with each window (size, first word, hash, kinds, values): its own size if sizes is None."""
+    kind = T.ArrayType(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("slots", T.ArrayType(T.StringType()))]))
+    arrow = pa.list_(pa.struct([("size", pa.int32()), ("at", pa.int64()), ("hash", pa.int64()), ("kinds", pa.list_(pa.string())), ("slots", pa.list_(pa.string()))]))
 
     def run(column: pa.StringArray) -> Iterator[pa.Array]:
         rows = []
         for value in column.to_pylist():
             data = np.frombuffer(value.encode(), np.uint8)
             made = []
-            for named in (True, False) if sizes is None else (True,):
-                tokens = tokenise(data, np.array([0, len(data)], np.int64), named)
-                own = [min(window, len(tokens.doc))] if sizes is None else sizes
-                for size in (s for s in own if s >= min(SHORTEST, window)):
-                    for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size)), strict=True):
-                        kinds, values = _window(tokens, i, size)
-                        made.append({"size": size, "hash": np.uint64(h).astype(np.int64).item(), "kinds": kinds, "slots": values})
+            for tokens in tokenise(data, np.array([0, len(data)], np.int64)):
+                if sizes is None:
+                    found = _own_windows(tokens, window)
+                else:
+                    found = ((size, i, h) for size in sizes for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size, window)), strict=True))
+                for size, i, h in found:
+                    kinds, values = _window(tokens, i, size)
+                    made.append({"size": size, "at": int(tokens.starts[i]), "hash": np.uint64(h).astype(np.int64).item(), "kinds": kinds, "slots": values})
             rows.append(made)
         yield pa.array(rows, arrow)
 
@@ -240,15 +287,14 @@ def _window_rows(df: DataFrame, text: str, sizes: list[int] | None, window: int,
 def _joined(df: DataFrame, bench: DataFrame, text: str, key: str, window: int) -> DataFrame:
     """(key, item_id, n): the matches by a shuffled join of windows."""
     theirs = cut(_window_rows(bench, "text", None, window, ["item_id"]).select(F.col("item_id").alias("item"), "size", "hash", F.col("kinds").alias("k2"), F.col("slots").alias("s2")).distinct())
-    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # WINDOW sizes at most
-    ours = _window_rows(df, text, sizes, window, [key]).withColumn("w", F.monotonically_increasing_id())
-    ours = cut(ours)
+    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # twice WINDOW sizes at most
+    ours = cut(_window_rows(df, text, sizes, window, [key]))
     pairs = ours.join(theirs, ["size", "hash"]).where("kinds = k2")
     # one to one: as many distinct pairs of values as distinct values on either side
     zipped = F.arrays_zip(F.col("slots").alias("a"), F.col("s2").alias("b"))
     n = F.size(F.array_distinct(zipped))
     good = pairs.where((n == F.size(F.array_distinct("slots"))) & (n == F.size(F.array_distinct("s2"))))
-    return good.select(key, "w", "item").distinct().groupBy(key, "item").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("item", "item_id")
+    return good.select(key, "at", "item").distinct().groupBy(key, "item").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("item", "item_id")
 
 
 def benchmark_index(bench: DataFrame, window: int = WINDOW, most: int = SENT_WINDOWS) -> Index | None:
@@ -260,7 +306,7 @@ def benchmark_index(bench: DataFrame, window: int = WINDOW, most: int = SENT_WIN
 
 
 def find_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, most: int = SENT_WINDOWS) -> DataFrame:
-    """doc_id, contaminated, item_ids (sorted) and n_windows (matching windows, by item) of every row."""
+    """doc_id, contaminated, item_ids (sorted) and n_windows (words at which a match begins, by item) of every row."""
     found = benchmark_index(bench, window, most)
     if found is not None:
 
