@@ -2,7 +2,8 @@
 
 Every row is repeated k times, k being the value of a Poisson distribution, whose mean is the repetition rate of the
 row's source, at a uniform number hashed from seed, doc_id and text; the copies are then dealt out anew by a hashed key. The rate of a
-source is its target weight times the size of the mixture over the size of the source.
+source is its target weight times the size of the mixture over the size of the source, however high. Beyond a rate of
+16, k is the sum of draws of equal means of at most 16, each at a hashed number of its own. OP7_SQL holds for rates up to 16.
 
 Defined cases: a null source is a source of its own. A null or empty text counts 0 bytes, its row is repeated like the
 others of its source; a source of 0 bytes has rate 0. Repeated rows (same doc_id and text) get the same count. An
@@ -22,7 +23,7 @@ SEED = "mix-1"
 ALPHA = 0.7
 #: Size of the mixture over that of the input.
 EPOCHS = 1.0
-#: Copies of a row at most; a rate is also held to a quarter of this, where the tail beyond is below the hash's resolution.
+#: Copies that one draw gives at most; its mean is a quarter of this at most, where the tail beyond is below the hash's resolution.
 MOST = 64
 BITS = 52
 
@@ -34,7 +35,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def source_rates(df: DataFrame, source: str = "source", text: str = "text", alpha: float = ALPHA, epochs: float = EPOCHS, weights: DataFrame | None = None) -> DataFrame:
-    """(source, rate, cdf): one row a source; weights: optional (source, weight), else size ** alpha."""
+    """(source, rate, draws, cdf of one draw): one row a source; weights: optional (source, weight), else size ** alpha."""
     sizes = df.groupBy(F.col(f"`{source}`").alias("__source")).agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.lit(0)).alias("__size"))
     if weights is None:
         weighed = sizes.withColumn("__weight", F.when(F.col("__size") > 0, F.pow(F.col("__size").cast("double"), F.lit(alpha))).otherwise(0.0))
@@ -45,19 +46,19 @@ def source_rates(df: DataFrame, source: str = "source", text: str = "text", alph
     sums = weighed.agg(F.sum("__weight").alias("__weights"), F.sum("__size").alias("__sizes"))
     rated = weighed.join(F.broadcast(sums), F.lit(True)).select(
         "__source",
-        F.least(F.lit(MOST / 4.0), F.when((F.col("__size") > 0) & (F.col("__weights") > 0), F.lit(epochs) * F.col("__sizes") * F.col("__weight") / F.col("__weights") / F.col("__size")).otherwise(0.0)).alias("__rate"),
-    )
+        F.when((F.col("__size") > 0) & (F.col("__weights") > 0), F.lit(epochs) * F.col("__sizes") * F.col("__weight") / F.col("__weights") / F.col("__size")).otherwise(0.0).alias("__rate"),
+    ).withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("__rate") / (MOST / 4.0))).cast("int")).withColumn("__mean", F.col("__rate") / F.col("__draws"))
     # P(X <= j) for j = 0 .. MOST, by the recurrence p(j) = p(j - 1) * rate / j
     cdf = F.aggregate(
         F.sequence(F.lit(1), F.lit(MOST)),
-        F.struct(F.exp(-F.col("__rate")).alias("p"), F.array(F.exp(-F.col("__rate"))).alias("sums")),
+        F.struct(F.exp(-F.col("__mean")).alias("p"), F.array(F.exp(-F.col("__mean"))).alias("sums")),
         lambda acc, j: F.struct(
-            (acc["p"] * F.col("__rate") / j).alias("p"),
-            F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + acc["p"] * F.col("__rate") / j)).alias("sums"),
+            (acc["p"] * F.col("__mean") / j).alias("p"),
+            F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + acc["p"] * F.col("__mean") / j)).alias("sums"),
         ),
         lambda acc: acc["sums"],
     )
-    return rated.withColumn("__cdf", cdf)
+    return rated.withColumn("__cdf", cdf).drop("__mean")
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, alpha: float = ALPHA, epochs: float = EPOCHS, weights: DataFrame | None = None) -> DataFrame:
@@ -65,14 +66,17 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     copy_no, n_copies, shuffle_key = like("copy_no", df), like("n_copies", df), like("shuffle_key", df)
     u, dg, ident = like("__u", df), like("__digest", df), like("__identity", df)
     rates = source_rates(df, source, text, alpha, epochs, weights)
-    of, cdf = like("__source", df), like("__cdf", df)
-    rates = rates.select(F.col("__source").alias(of), F.col("__cdf").alias(cdf))
+    of, cdf, draws = like("__source", df), like("__cdf", df), like("__draws", df)
+    rates = rates.select(F.col("__source").alias(of), F.col("__cdf").alias(cdf), F.col("__draws").alias(draws))
     digest = F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit("null"))
     identity = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
     drawn = df.withColumns({u: uniform(F.lit(seed), identity, digest), dg: digest, ident: identity})
     # the table of rates has a row a source: Spark broadcasts it below its size limit, else joins by shuffle and splits a hot source
     joined = drawn.join(rates, F.col(f"`{source}`").eqNullSafe(F.col(of)))
-    counted = joined.withColumn(n_copies, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    first = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    further = F.transform(F.sequence(F.lit(2), F.col(draws)), lambda k: uniform(F.lit(seed), F.col(ident), F.col(dg), k.cast("string")))
+    more = F.aggregate(further, F.lit(0), lambda n, v: n + F.size(F.filter(cdf, lambda c: c <= v)))
+    counted = joined.withColumn(n_copies, F.when(F.col(draws) > 1, first + more).otherwise(first))
     copies = counted.where(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
     keyed = copies.withColumn(shuffle_key, F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.lit("order"), F.col(ident), F.col(dg), F.col(copy_no).cast("string")).cast("binary")), 1, 16))
     dropped = keyed.select(*[F.col(f"`{c}`") for c in df.columns], copy_no, n_copies, shuffle_key)
