@@ -175,13 +175,14 @@ def held_out(doc_id: Column) -> Column:
 def sample(df: DataFrame, text: str, lang: str, doc_id: str, per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """The bounded labelled sample: per_lang different texts a language, chars characters of each.
 
-    A first sieve by hash lets through some SIEVE times per_lang texts a language, so that what is shuffled to be ranked
-    doesn't grow with the input; copies of a text are one row before the shuffle.
+    A first sieve lets through the smallest hashes, of some SIEVE times per_lang different texts a language, so that what
+    is shuffled to be ranked doesn't grow with the input; copies of a text are one row before the shuffle. The ranking is
+    by the same order, so that the sieve takes away nothing that would be chosen.
     """
     value = F.col(f"`{text}`")
     usable = df.where(F.col(f"`{lang}`").isNotNull() & value.isNotNull() & ~held_out(F.col(f"`{doc_id}`"))).select(F.col(f"`{lang}`").cast("string").alias("g"), value.alias("t"), F.xxhash64(value).alias("h"))
-    counts = usable.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # a row a language, each of which the model holds as well
-    sieved = usable.join(F.broadcast(counts), "g").where(F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31)) * F.col("n") < F.lit(float(SIEVE * per_lang)))
+    counts = usable.groupBy("g").agg(F.approx_count_distinct("h").alias("n"))  # a row a language, each of which the model holds as well
+    sieved = usable.join(F.broadcast(counts), "g").where((F.col("h") / F.lit(float(1 << 64)) + F.lit(0.5)) * F.col("n") < F.lit(float(SIEVE * per_lang)))
     window = F.substring("t", (1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - chars))).cast("int"), F.lit(chars))
     different = sieved.groupBy("g", "h").agg(F.min(window).alias("t"))
     ranked = different.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("i") <= per_lang)
