@@ -75,15 +75,18 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
 
 class Ball:
-    """The values within half the radius of a fingerprint, and the linear hash that deals them."""
+    """The values within half the radius (rounded up) of a fingerprint, and the linear hash that deals them."""
 
     def __init__(self, radius: int) -> None:
+        if not 0 <= radius <= 6:
+            raise ValueError(f"radius {radius}: balls are built for radii of 0 to 6")
+        half = (radius + 1) // 2
         flips = [0, *(1 << i for i in range(64))]
-        if radius // 2 >= 2:
+        if half >= 2:
             flips += [1 << i | 1 << j for i in range(64) for j in range(i)]
-        if radius // 2 >= 3:
+        if half >= 3:
             flips += [1 << i | 1 << j | 1 << k for i in range(64) for j in range(i) for k in range(j)]
-        self.flips = np.array(flips[: 1 if radius < 2 else None], np.uint64)
+        self.flips = np.array(flips[: None if half else 1], np.uint64)
         column = np.random.default_rng(20).integers(0, 1 << 32, 64, np.uint64)
         self.tables = np.zeros((8, 256), np.uint64)
         for byte in range(8):
@@ -117,8 +120,8 @@ def _emit(ball: Ball, at: int, slice_bits: int, bucket_bits: int):
         value, code, bucket = map(np.concatenate, (values, codes, buckets))
         order = np.argsort(bucket, kind="stable")
         value, code, bucket = value[order], code[order], bucket[order]
-        head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = [*head[1:].tolist(), len(bucket)]
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+        ends = [*head[1:].tolist(), len(bucket)][: len(head)]
         blobs = [(value[a:b].tobytes(), code[a:b].tobytes()) for a, b in zip(head.tolist(), ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), pa.array([v for v, _ in blobs], pa.binary()), pa.array([c for _, c in blobs], pa.binary())], names=["bucket", "v", "c"])
 
@@ -171,9 +174,12 @@ def _meet(ball: Ball, radius: int):
         some = some[np.argsort(v[some], kind="stable")]
         v, x = v[some], v[some] ^ ball.flips[c[some]]
         head = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        least = np.repeat(np.minimum.reduceat(x, head), np.diff(np.concatenate((head, [len(v)]))))
+        runs = np.diff(np.concatenate((head, [len(v)])))
+        # of an odd radius: two that both made all flips may be too far apart, but each pair also meets where one made fewer
+        near = np.bitwise_count(ball.flips[c[some]]) <= radius // 2
+        least = np.repeat(np.minimum.reduceat(np.where(near, x, ~np.uint64(0)), head), runs)
         apart = np.bitwise_count(x ^ least)
-        real = (apart > 0) & (apart <= radius)
+        real = (apart > 0) & (apart <= radius) & np.repeat(np.logical_or.reduceat(near, head), runs)
         return (x[real], least[real]) if real.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
