@@ -5,8 +5,9 @@ both hold, over the square root of the product of the numbers that each holds. L
 Nyström feature map K(x, L) K(L, L)^(-1/2); on it, one-versus-rest kernel ridge regression learns a score for each
 language. A batch of texts is scored by two matrix products: presence by landmarks, then landmarks by languages.
 
-N-grams are those of lower-cased letters in runs, with one blank between runs; letters that the sample doesn't hold
-share one symbol, digits and signs count as blanks.
+N-grams are those of lower-cased letters in runs, with one blank between runs; digits and signs count as blanks. Every
+letter of every script keeps its identity: the code points of an n-gram are hashed to one of 2 ** 17 columns, of which a
+text of some thousand different n-grams fills one in a hundred, so that few meet.
 
 The sample is at most `per_lang` different labelled texts a language, by the order of their hashes, of each at most
 `chars` characters at a place that the hash gives. Texts to be predicted are read whole.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ SIEVE = 8
 SAMPLE_CHARS = 2000
 LANDMARKS = 256
 RIDGE = 1e-3
-#: Symbols beside the blank (0) and the one for letters that the sample lacks (1).
-ALPHABET = 46
+#: Landmarks of a language at least, if the languages are so many that LANDMARKS don't go round.
+LANDMARKS_OF_EACH = 4
+#: Columns of the presence matrix, as a power of 2, and the texts of one step.
+WIDTH_BITS = 17
+STEP_TEXTS = 64
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -48,33 +53,23 @@ def _symbols(text: str) -> str:
 @dataclass
 class Model:
     langs: list[str]
-    letters: np.ndarray  # code points, ascending
     columns: np.ndarray  # the n-grams that a landmark holds
-    presence: np.ndarray  # of these, by landmark
+    packed: np.ndarray  # presence of these, by landmark, eight in a byte
     sizes: np.ndarray  # square roots of the landmarks' numbers of n-grams
     weights: np.ndarray  # landmarks by languages
 
-    @property
-    def base(self) -> int:
-        return len(self.letters) + 2
+    @cached_property
+    def presence(self) -> np.ndarray:
+        return np.unpackbits(self.packed, axis=1, count=len(self.columns)).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "presence"}  # tasks unpack their own
 
 
 #: Characters that one step works on.
 BLOCK = 1 << 20
-
-
-def _codes(text: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Symbols of code points: 0 blank, 1 other letter, 2... letters."""
-    out = np.empty(len(text), np.uint8)
-    for k in range(0, len(text), BLOCK):
-        part = text[k : k + BLOCK]
-        at = np.searchsorted(letters, part)
-        at[at == len(letters)] = 0
-        known = letters[at] == part if len(letters) else np.zeros(len(part), bool)
-        out[k : k + BLOCK] = np.where(known, at + 2, _letter_table()[part])
-    return out
-
-
+#: Odd numbers that the places of an n-gram are multiplied by.
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _LETTER = np.zeros(0x110000, dtype=bool)
 
 
@@ -87,18 +82,23 @@ def _letter_table() -> np.ndarray:
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, and offsets."""
+    """Code points of the lower-cased texts, those of letters only (others 0), and offsets."""
     low = [_symbols(t) for t in texts]
     off = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
-    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), off
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letter_table()[points], points, 0).astype(np.uint32), off
+
 
+def _column(code: np.ndarray) -> np.ndarray:
+    """The column of hashed n-grams: the upper bits of a product are mixed best."""
+    code = (code ^ (code >> np.uint64(29))) * _MIX[1]
+    return (code >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
 
-def presence(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Which n-grams (1, 2 and 3 symbols) each text holds, as a matrix of bool; and whether it has a letter."""
-    points, off = _points(texts)
-    base = len(letters) + 2
-    out = np.zeros((len(texts), base + base**2 + base**3), dtype=bool)
-    symbol = _codes(points, letters)
+    symbol, off = _points(texts)
+    out = np.zeros((len(texts), 1 << WIDTH_BITS), dtype=bool)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
     # one blank between runs of letters
     keep = symbol > 0
@@ -108,38 +108,42 @@ def presence(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     # flat places in the matrix: a scatter for each length of n-gram, over blocks that overlap by two symbols
     flat = out.ravel()
     for k in range(0, len(symbol), BLOCK):
-        s, d = symbol[k : k + BLOCK + 2].astype(np.int64), doc[k : k + BLOCK + 2]
-        row = d.astype(np.int64) * out.shape[1]
-        flat[row + s] = True
-        two = s[:-1] * base + s[1:]
-        flat[(row[:-1] + base + two)[d[:-1] == d[1:]]] = True
-        three = two[:-1] * base + s[2:]
-        flat[(row[:-2] + base + base**2 + three)[d[:-2] == d[2:]]] = True
+        s, d = symbol[k : k + BLOCK + 2].astype(np.uint64) + np.uint64(1), doc[k : k + BLOCK + 2]
+        row = d.astype(np.int64) << WIDTH_BITS
+        one = s * _MIX[0]
+        flat[row + _column(one)] = True
+        two = (one[:-1] ^ s[1:]) * _MIX[2]
+        flat[(row[:-1] + _column(two))[d[:-1] == d[1:]]] = True
+        three = (two[:-1] ^ s[2:]) * _MIX[0]
+        flat[(row[:-2] + _column(three))[d[:-2] == d[2:]]] = True
     some = np.zeros(len(texts), dtype=bool)
     some[doc[symbol > 0]] = True
     return out, some
 
 
+def _kernel(held: np.ndarray, columns: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    norms = np.sqrt(np.maximum(1, held.sum(axis=1)))
+    return (held[:, columns].astype(np.float32) @ marks.T) / (norms[:, None] * sizes[None, :])
+
+
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """A model of (text, lang) pairs."""
+    """A model of (text, lang) pairs; beside these it holds the landmarks' n-grams and a row of kernel values a pair."""
     sample = [(t, g) for t, g in sample if any(c.isalpha() for c in t)]
     if not sample:
         return None
     langs = sorted({g for _, g in sample})
-    points, _ = _points([t for t, _ in sample])
-    seen, counts = np.unique(points[_letter_table()[points]], return_counts=True)
-    letters = np.sort(seen[np.lexsort((seen, -counts))][:ALPHABET]).astype(np.uint32)
-    x, _ = presence([t for t, _ in sample], letters)
-    norms = np.sqrt(x.sum(axis=1))
     # landmarks: in turn from each language, in the sample's order
     of: dict[str, list[int]] = {g: [] for g in langs}
     for i, (_, g) in enumerate(sample):
         of[g].append(i)
-    chosen = sorted((k, g, i) for g in langs for k, i in enumerate(of[g]))[:landmarks]
+    chosen = sorted((k, g, i) for g in langs for k, i in enumerate(of[g]))[: max(landmarks, LANDMARKS_OF_EACH * len(langs))]
     marks = np.array([i for _, _, i in chosen])
-    columns = np.flatnonzero(x[marks].any(axis=0))
-    held = x[:, columns].astype(np.float32)
-    kernel = held @ held[marks].T / np.outer(norms, norms[marks])
+    blocks = [presence([sample[i][0] for i in marks[k : k + STEP_TEXTS]])[0] for k in range(0, len(marks), STEP_TEXTS)]
+    columns = np.flatnonzero(np.any([b.any(axis=0) for b in blocks], axis=0))
+    sizes = np.sqrt(np.concatenate([b.sum(axis=1) for b in blocks]))
+    packed = np.concatenate([np.packbits(b[:, columns], axis=1) for b in blocks])
+    model = Model(langs, columns, packed, sizes, np.zeros((len(marks), len(langs)), np.float32))
+    kernel = np.concatenate([_kernel(presence([t for t, _ in sample[k : k + STEP_TEXTS]])[0], columns, model.presence, sizes) for k in range(0, len(sample), STEP_TEXTS)])
     values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K(L, L)^(-1/2) up to a rotation
@@ -148,7 +152,8 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     # each language counts alike, whatever its rows
     share = np.array([1.0 / len(of[g]) for _, g in sample])[:, None]
     solved = np.linalg.solve(features.T @ (share * features) + ridge * np.eye(features.shape[1]), features.T @ (share * targets))
-    return Model(langs, letters, columns, held[marks], norms[marks], (root @ solved).astype(np.float32))
+    model.weights = (root @ solved).astype(np.float32)
+    return model
 
 
 def predict(texts: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
@@ -157,10 +162,8 @@ def predict(texts: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarr
     score = np.zeros(len(texts))
     if model is None or not texts:
         return lang, score
-    held, some = presence(texts, model.letters)
-    norms = np.sqrt(np.maximum(1, held.sum(axis=1)))
-    kernel = (held[:, model.columns].astype(np.float32) @ model.presence.T) / (norms[:, None] * model.sizes[None, :])
-    scores = kernel @ model.weights
+    held, some = presence(texts)
+    scores = _kernel(held, model.columns, model.presence, model.sizes) @ model.weights
     best = scores.argmax(axis=1)
     lang[some] = np.array(model.langs, dtype=object)[best[some]]
     score[some] = np.clip((scores[np.arange(len(texts)), best][some] + 1) / 2, 0, 1)
@@ -196,8 +199,8 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
         _, off = raw(column)
         values, langs, scores = column.to_pylist(), [], []
         for first, last in steps(off, 1 << 20):
-            for a in range(first, last, 64):
-                lang, score = predict(values[a : min(a + 64, last)], model)
+            for a in range(first, last, STEP_TEXTS):
+                lang, score = predict(values[a : min(a + STEP_TEXTS, last)], model)
                 langs += lang.tolist()
                 scores += score.tolist()
         return iter((pa.array(langs, pa.string()), pa.array(scores, pa.float64())))
