@@ -3,7 +3,7 @@
 Every row is repeated k times, k being the value of a Poisson distribution, whose mean is the repetition rate of the
 row's source, at a uniform number hashed from seed, doc_id and text; the copies are then dealt out anew by a hashed key. The rate of a
 source is its target weight times the size of the mixture over the size of the source, however high. Beyond a rate of
-16, k is the sum of draws of equal means of at most 16, each at a hashed number of its own. OP7_SQL holds for rates up to 16.
+16, k is the sum of draws of equal means of at most 16, each at a hashed number of its own. OP7_SQL draws alike.
 
 Defined cases: a null source is a source of its own. A null or empty text counts 0 bytes, its row is repeated like the
 others of its source; a source of 0 bytes has rate 0. Repeated rows (same doc_id and text) get the same count. An
@@ -92,10 +92,13 @@ OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, source, text, coalesce(md5(text), 'null') AS dg, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident FROM documents),
 sizes AS (SELECT source, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS size FROM d GROUP BY source),
 weighed AS (SELECT source, size, CASE WHEN size > 0 THEN pow(CAST(size AS DOUBLE), {ALPHA}) ELSE 0 END AS w FROM sizes),
-rated AS (SELECT source, least({MOST / 4.0}, CASE WHEN size > 0 THEN {EPOCHS} * (SELECT sum(size) FROM weighed) * w / (SELECT sum(w) FROM weighed) / size ELSE 0 END) AS rate FROM weighed),
-terms AS (SELECT source, j, CASE WHEN rate > 0 THEN exp(-rate + j * ln(rate) - lgamma(j + 1)) WHEN j = 0 THEN 1 ELSE 0 END AS p FROM rated, range(0, {MOST + 1}) AS r(j)),
+rated AS (SELECT source, CASE WHEN size > 0 THEN {EPOCHS} * (SELECT sum(size) FROM weighed) * w / (SELECT sum(w) FROM weighed) / size ELSE 0 END AS rate FROM weighed),
+parts AS (SELECT source, CAST(greatest(1, ceil(rate / {MOST / 4.0})) AS BIGINT) AS draws, rate / greatest(1, ceil(rate / {MOST / 4.0})) AS mean FROM rated),
+terms AS (SELECT source, j, CASE WHEN mean > 0 THEN exp(-mean + j * ln(mean) - lgamma(j + 1)) WHEN j = 0 THEN 1 ELSE 0 END AS p FROM parts, range(0, {MOST + 1}) AS r(j)),
 cdf AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM terms),
-drawn AS (SELECT *, CAST('0x' || substr(md5(concat_ws(chr(31), '{SEED}', ident, dg)), 1, {BITS // 4}) AS BIGINT) / {float(1 << BITS)} AS u, row_number() OVER () AS rn FROM d),
+numbered AS (SELECT *, row_number() OVER () AS rn FROM d),
+draws AS (SELECT n.*, unnest(range(1, p.draws + 1)) AS draw FROM numbered n JOIN parts p ON p.source IS NOT DISTINCT FROM n.source),
+drawn AS (SELECT *, CAST('0x' || substr(md5(concat_ws(chr(31), '{SEED}', ident, dg, CASE WHEN draw > 1 THEN CAST(draw AS VARCHAR) END)), 1, {BITS // 4}) AS BIGINT) / {float(1 << BITS)} AS u FROM draws),
 counted AS (SELECT d.rn, d.doc_id, d.source, d.ident, d.dg, count(c.j) AS n FROM drawn d LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY ALL),
 copies AS (SELECT *, unnest(range(0, n)) AS k FROM counted)
 SELECT doc_id, source, k AS copy_no, n AS n_copies, substr(md5(concat_ws(chr(31), '{SEED}', 'order', ident, dg, CAST(k AS VARCHAR))), 1, 16) AS shuffle_key FROM copies
