@@ -11,6 +11,13 @@ the values can so be made without making the others, and the values of a dense b
 slices are shuffled one after another, so that only one slice of the values is on disk at a time. A record is the value
 and the number of its flips (10 bytes), packed by bucket.
 
+Two kinds of fingerprints are built. `shingles` weighs every 4-word shingle alike; texts that share four fifths of their
+5-word shingles mostly differ in more than 4 of its bits (6 to 9 in the test tables), so that it finds little beyond
+equal texts. `words` weighs every distinct word by 1 + ln(its count), in which such texts differ in 2 to 4 bits; keep_one() takes it.
+
+Joins on a component's root, which a third of all rows may share, are salted: the side with one row a root is
+repeated SALT times, the other dealt by root and node.
+
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; a text of fewer words than a
 shingle has the hash of its whole word sequence as its only one. Repeated rows and equal ids share a component like any equal texts. A row with null doc_id
 belongs to the component of its text; component_id is the smallest non-null id, null if there is none. An empty table
@@ -19,6 +26,7 @@ gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +53,10 @@ STEP_RECORDS = 1 << 19
 #: Distinct fingerprints of a task, on average, and tasks from which on they have more.
 TASK_FINGERPRINTS = 16_384
 TASKS = 100_000
+#: Parts of a hot key.
+SALT = 8
+#: Unit of the whole-number weights of words.
+UNIT = 1024
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -63,15 +75,31 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """doc_id and fp (a signed long) of every row."""
+def word_fingerprint(text: bytes) -> int:
+    """A bit is 1 if the weights of the distinct words that have it in their hash are over half of all weights."""
+    counts = Counter(text.lower().split())
+    if not counts:
+        return 0
+    words, n = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+    weights = np.rint(UNIT * (1 + np.log(n))).astype(np.int64)
+    sums, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    for k in range(0, len(words), BLOCK):
+        hashes = np.array([digest(w, SEED) for w in words[k : k + BLOCK]], np.uint64)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums += weights[k : k + BLOCK] @ bits
+    return int(np.packbits(2 * sums > weights.sum(), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS, kind: str = "shingles") -> DataFrame:
+    """df's columns `keep` and fp (a signed long) of every row."""
+    of = {"shingles": lambda data: fingerprint(data, words), "words": word_fingerprint}[kind]
 
     def run(column: pa.StringArray) -> Iterator[pa.Array]:
         buf, off = raw(column)
         data = buf.tobytes()
-        yield pa.array(np.array([fingerprint(data[a:b], words) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64))
+        yield pa.array(np.array([of(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64))
 
-    return map_texts(df, run, [T.StructField("fp", T.LongType())], text, [doc_id]).withColumnRenamed(doc_id, "doc_id")
+    return map_texts(df, run, [T.StructField("fp", T.LongType())], text, ["doc_id"] if keep is None else keep)
 
 
 class Ball:
@@ -209,15 +237,22 @@ def _meet(ball: Ball, radius: int):
     return run
 
 
+def _salted(df: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """df joined with `small`, a row a key, where many rows of df may have one key; `by`: a column in which these differ."""
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of links (a, b): large-star and small-star rounds until nothing changes."""
+    """(node, root) of every node of links (a, b) but the roots: large-star and small-star rounds until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        large = _salted(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = _salted(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = cut(small)
         # both are sets of edges of the same components: they are equal if nothing of one is missing in the other
         if new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty():
@@ -245,15 +280,20 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def grouped(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, least): of each distinct fingerprint of firsts (fp, first), the least `first` of its component."""
+    roots = components(links(firsts, radius))  # none of single ones
+    members = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first"))
+    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    several = _salted(members, least, "root", "fp").select("fp", "least")
+    return firsts.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("least")).union(several)
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, radius: int = RADIUS, kind: str = "shingles") -> DataFrame:
     """doc_id, fp (signed) and component_id of every row."""
-    rows = cut(fingerprints(df, text, doc_id, words))
+    rows = cut(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"], words, kind))
     firsts = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts, radius))
-    named = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(grouped(firsts, radius), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def op10_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +301,17 @@ def op10_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df with one row of each component: that of its smallest id. Rows that share an id and a text count as one."""
-    own, digest = like("__id", df), like("__digest", df)
-    ids = cut(near_duplicates(df, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).count())
-    out = df.join(ids.select(own), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_semi")
-    if not ids.where("count > 1").isEmpty():
-        out = out.withColumn(digest, F.md5(F.col(f"`{text}`").cast("binary"))).dropDuplicates([doc_id, digest]).drop(digest)
-    return out
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, kind: str = "words") -> DataFrame:
+    """df with exactly one row of each component: that of its smallest id (null last), of equal ids that of the smallest MD5 of its text."""
+    own, digest, n = like("__id", df), like("__digest", df), like("__n", df)
+    of_text = F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))  # null counts as empty
+    keyed = df.select(F.col(f"`{doc_id}`").alias("id"), of_text.alias("digest"), F.col(f"`{text}`").alias("text"))
+    rows = cut(fingerprints(keyed, "text", ["id", "digest"], kind=kind).groupBy("fp", "id", "digest").agg(F.count(F.lit(1)).alias("n")))
+    firsts = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("first")))
+    chosen = cut(grouped(firsts, radius).select("least.id", "least.digest", "least.n").distinct())
+    names = chosen.select(F.col("id").alias(own), F.col("digest").alias(digest), F.col("n").alias(n))
+    out = df.join(names.select(own, digest), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)) & (of_text == F.col(digest)), "left_semi")
+    if names.where(F.col(n) > 1).isEmpty():
+        return out
+    # repeated rows: one of each id and text; the others don't share a key with them
+    return out.withColumn(digest, of_text).dropDuplicates([doc_id, digest]).drop(digest)
