@@ -20,6 +20,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 BATCH_BYTES = 4 << 20
 #: Bytes of text that one numpy step works on; a single longer text makes a step of its own.
 STEP_BYTES = 3 << 20
+#: Parts that the rows of one key are dealt to in a salted join.
+SALT = 8
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def salted(df: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """df joined with `small`, where many rows of df may have one key; `by`: a column in which these differ."""
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of data frames that are no longer referenced."""
     import gc

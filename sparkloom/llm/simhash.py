@@ -16,7 +16,7 @@ Two kinds of fingerprints are built. `shingles` weighs every 4-word shingle alik
 equal texts. `words` weighs every distinct word by 1 + ln(its count), in which such texts differ in 2 to 4 bits; keep_one() takes it.
 
 Joins on a component's root, which a third of all rows may share, are salted: the side with one row a root is
-repeated SALT times, the other dealt by root and node.
+repeated a few times, the other dealt by root and node.
 
 Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; a text of fewer words than a
 shingle has the hash of its whole word sequence as its only one. Repeated rows and equal ids share a component like any equal texts. A row with null doc_id
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, like, map_texts, raw, release
+from ._common import cut, documents, like, map_texts, raw, release, salted
 
 WORDS = 4
 SEED = 42
@@ -53,8 +53,6 @@ STEP_RECORDS = 1 << 19
 #: Distinct fingerprints of a task, on average, and tasks from which on they have more.
 TASK_FINGERPRINTS = 16_384
 TASKS = 100_000
-#: Parts of a hot key.
-SALT = 8
 #: Unit of the whole-number weights of words.
 UNIT = 1024
 
@@ -237,22 +235,15 @@ def _meet(ball: Ball, radius: int):
     return run
 
 
-def _salted(df: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
-    """df joined with `small`, a row a key, where many rows of df may have one key; `by`: a column in which these differ."""
-    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b) but the roots: large-star and small-star rounds until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = _salted(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _salted(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = salted(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = cut(small)
         # both are sets of edges of the same components: they are equal if nothing of one is missing in the other
         if new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty():
@@ -285,7 +276,7 @@ def grouped(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(firsts, radius))  # none of single ones
     members = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first"))
     least = members.groupBy("root").agg(F.min("first").alias("least"))
-    several = _salted(members, least, "root", "fp").select("fp", "least")
+    several = salted(members, least, "root", "fp").select("fp", "least")
     return firsts.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("least")).union(several)
 
 

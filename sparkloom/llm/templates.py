@@ -4,14 +4,16 @@ Words are turned into template tokens: numbers, names (capitalised words; severa
 typed placeholders, other words are lower-cased, and outer punctuation goes. Windows of 13 template tokens of the
 benchmark are hash-joined with those of the documents. A pair of windows counts if their slots are consistent: equal
 values in one stand at equal values in the other and different ones at different ones, so that a question with other
-names and numbers is found, but not two texts that merely share a frame. Both sides are also read with their names as plain
+names and numbers is found, but not two texts that merely share a frame. That is so if the slots' values recur in the same
+pattern; the pattern stands in the window's key beside its tokens, so that the check is part of the join and equal
+windows of many items meet a document's window once. Both sides are also read with their names as plain
 words, for other capitals, as at the beginning of a sentence. A benchmark item of fewer tokens than a window
 is looked up whole. Windows in which less than half of the tokens are plain words, and items of fewer than 6 tokens, say
 too little as templates: they are looked up by their exact words (whatever the capitals and outer punctuation), so that
 every item's verbatim copies are found. A match counts once for each word of the document at which one begins.
 
-Where the benchmark's windows fit a checked bound, they are sent to the tasks and looked up there; beyond it the hashes
-of the documents' windows are joined by shuffle.
+The documents' windows are first tried against a bitmap of the benchmark's hashes, of at most MOST_BITS bits however
+large the benchmark is; what passes it is joined by shuffle. The bitmap only saves shuffling: a full one lets more pass.
 
 Defined cases: a null text is empty. Null benchmark texts and items without a word are not looked up. Repeated rows and
 repeated items are judged alike. A null doc_id is judged like any other. Very long texts are read whole. With an empty
@@ -21,7 +23,6 @@ drop_contaminated(), whatever their names.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -29,16 +30,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, like, map_texts, raw, small_batches, steps, strings, texts, word_spans
+from ._common import cut, documents, like, raw, salted, small_batches, steps, strings, texts, word_spans
 
 WINDOW = 13
 SHORTEST = 6
-#: Windows of the benchmark that are sent to the tasks at most (some 100 bytes each).
-SENT_WINDOWS = 500_000
+#: Bits of the bitmap for a window of the benchmark, and at least and at most in all, as powers of 2 (8 MB).
+BITS_A_WINDOW = 512
+LEAST_BITS, MOST_BITS = 16, 26
+#: Matches up to which they are broadcast to the documents (some 60 bytes each).
+SENT_MATCHES = 100_000
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed values.
 _NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -182,163 +186,109 @@ def window_hashes(tokens: Tokens, size: int, window: int = WINDOW) -> tuple[np.n
     return first, h if few else h[first]
 
 
-def consistent(ours: list[str], theirs: list[str]) -> bool:
-    """Whether the slots' values correspond one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours, theirs, strict=True))
+def pattern(values: list[str]) -> list[int]:
+    """Of each value, where it stood first. Two lists correspond one to one if they have one pattern."""
+    first: dict[str, int] = {}
+    return [first.setdefault(v, len(first)) for v in values]
 
 
-@dataclass
-class Index:
-    """Benchmark windows by size (below 0: by exact words): hash -> (item, tokens, slot values), each once."""
-
-    sizes: dict[int, dict[int, list[tuple[int, tuple[str, ...], tuple[str, ...]]]]]
-    arrays: dict[int, np.ndarray]
-    window: int = WINDOW
-
-
-def _window(tokens: Tokens, i: int, size: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """The window's tokens and its slots' values, each with its kind; of -size: its words, no slots."""
+def _key(tokens: Tokens, i: int, size: int) -> str:
+    """What windows have to agree in: tokens and the pattern of the slots' values, each with its kind; of -size: the words. No token holds a blank."""
     if size < 0:
-        return tuple(tokens.value(i + k) for k in range(-size)), ()
-    kinds = tuple(tokens.token(i + k) for k in range(size))
-    return kinds, tuple(f"{kinds[k]}{tokens.value(i + k)}" for k in range(size) if tokens.slot[i + k])
-
-
-def _own_windows(tokens: Tokens, window: int) -> Iterator[tuple[int, int, int]]:
-    """(size, first token, hash) of a benchmark item's windows."""
-    if own := min(window, len(tokens.doc)):
-        for size in (own, -own):
-            for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size, window)), strict=True):
-                yield size, i, h
-
-
-def index(items: list[tuple[int, str]], window: int = WINDOW) -> Index:
-    sizes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        for tokens in tokenise(data, np.array([0, len(data)], np.int64)):
-            for size, i, h in _own_windows(tokens, window):
-                entry = (item, *_window(tokens, i, size))
-                if entry not in sizes[size][h]:
-                    sizes[size][h].append(entry)
-    plain = {k: dict(v) for k, v in sizes.items()}
-    return Index(plain, {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in plain.items() if v}, window)
-
-
-def _verified(tokens: Tokens, i: int, size: int, entries: list) -> Iterator[int]:
-    kinds, values = _window(tokens, i, size)
-    for item, their_kinds, their_values in entries:
-        if kinds == their_kinds and consistent(values, their_values):
-            yield item
-
-
-def _members(hashes: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Places of the hashes that stand in the sorted array."""
-    marks = np.zeros(1 << 22, dtype=bool)
-    low = np.uint64(len(marks) - 1)
-    marks[among & low] = True
-    some = np.flatnonzero(marks[hashes & low])
-    at = np.searchsorted(among, hashes[some])
-    at[at == len(among)] = 0
-    return some[among[at] == hashes[some]]
-
-
-def matches(column: pa.StringArray, found: Index) -> list[dict[int, int]]:
-    """Of each text, the items and the number of its windows that match each."""
-    begun: list[dict[int, set[int]]] = [{} for _ in range(len(column))]
-    buf, off = raw(column)
-    for a, b in steps(off):
-        for tokens in tokenise(buf[off[a] : off[b]], off[a : b + 1] - off[a]):
-            for size, among in found.arrays.items():
-                first, hashes = window_hashes(tokens, size, found.window)
-                for k in _members(hashes, among).tolist():
-                    i = int(first[k])
-                    for item in set(_verified(tokens, i, size, found.sizes[size][int(hashes[k])])):
-                        begun[a + int(tokens.doc[i])].setdefault(item, set()).add(int(tokens.starts[i]))
-    return [{item: len(at) for item, at in of.items()} for of in begun]
-
-
-def _window_rows(df: DataFrame, text: str, sizes: list[int] | None, window: int, keep: list[str]) -> DataFrame:
-    """df's columns `keep` with each window (size, first word, hash, kinds, values): its own size if sizes is None."""
-    kind = T.ArrayType(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("slots", T.ArrayType(T.StringType()))]))
-    arrow = pa.list_(pa.struct([("size", pa.int32()), ("at", pa.int64()), ("hash", pa.int64()), ("kinds", pa.list_(pa.string())), ("slots", pa.list_(pa.string()))]))
-
-    def run(column: pa.StringArray) -> Iterator[pa.Array]:
-        rows = []
-        for value in column.to_pylist():
-            data = np.frombuffer(value.encode(), np.uint8)
-            made = []
-            for tokens in tokenise(data, np.array([0, len(data)], np.int64)):
-                if sizes is None:
-                    found = _own_windows(tokens, window)
-                else:
-                    found = ((size, i, h) for size in sizes for i, h in zip(*(x.tolist() for x in window_hashes(tokens, size, window)), strict=True))
-                for size, i, h in found:
-                    kinds, values = _window(tokens, i, size)
-                    made.append({"size": size, "at": int(tokens.starts[i]), "hash": np.uint64(h).astype(np.int64).item(), "kinds": kinds, "slots": values})
-            rows.append(made)
-        yield pa.array(rows, arrow)
-
-    return map_texts(df, run, [T.StructField("w", kind)], text, keep).select(*keep, F.explode("w").alias("w")).select(*keep, "w.*")
-
-
-def _joined(df: DataFrame, bench: DataFrame, text: str, key: str, window: int) -> DataFrame:
-    """(key, item_id, n): the matches by a shuffled join of windows."""
-    theirs = cut(_window_rows(bench, "text", None, window, ["item_id"]).select(F.col("item_id").alias("item"), "size", "hash", F.col("kinds").alias("k2"), F.col("slots").alias("s2")).distinct())
-    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # twice WINDOW sizes at most
-    ours = cut(_window_rows(df, text, sizes, window, [key]))
-    pairs = ours.join(theirs, ["size", "hash"]).where("kinds = k2")
-    # one to one: as many distinct pairs of values as distinct values on either side
-    zipped = F.arrays_zip(F.col("slots").alias("a"), F.col("s2").alias("b"))
-    n = F.size(F.array_distinct(zipped))
-    good = pairs.where((n == F.size(F.array_distinct("slots"))) & (n == F.size(F.array_distinct("s2"))))
-    return good.select(key, "at", "item").distinct().groupBy(key, "item").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("item", "item_id")
-
-
-def benchmark_index(bench: DataFrame, window: int = WINDOW, most: int = SENT_WINDOWS) -> Index | None:
-    """The benchmark's index, None if it has more than `most` windows (counted by its words before it is gathered)."""
-    words = bench.agg(F.coalesce(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))), F.lit(0))).first()[0]
-    if words > most:
-        return None
-    return index([(r["item_id"], r["text"]) for r in bench.select("item_id", "text").where("text is not null").orderBy("item_id").collect()], window)
-
-
-def find_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, most: int = SENT_WINDOWS) -> DataFrame:
-    """doc_id, contaminated, item_ids (sorted) and n_windows (words at which a match begins, by item) of every row."""
-    found = benchmark_index(bench, window, most)
-    if found is not None:
+        return "=" + " ".join(tokens.value(i + k) for k in range(-size))
+    kinds = [tokens.token(i + k) for k in range(size)]
+    slots = pattern([f"{kinds[k]}{tokens.value(i + k)}" for k in range(size) if tokens.slot[i + k]])
+    return f"~{' '.join(kinds)}\n{' '.join(map(str, slots))}"
 
-        def run(column: pa.StringArray) -> Iterator[pa.Array]:
-            of = matches(column, found)
-            return iter((pa.array([bool(m) for m in of], pa.bool_()), pa.array([sorted(m) for m in of], pa.list_(pa.int64())), pa.array([sum(m.values()) for m in of], pa.int64())))
 
-        fields = [T.StructField("contaminated", T.BooleanType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("n_windows", T.LongType())]
-        return map_texts(df, run, fields, text, [doc_id])
-    rows = cut(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    by = _joined(rows, bench, "text", "row", window).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("n").alias("n_windows"))
-    out = rows.select("row", "doc_id").join(by, "row", "left")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+#: Of windows: the text's number, the word at which it begins, its hash and its key.
+Windows = tuple[list[int], list[int], list[int], list[str]]
 
 
-def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, most: int = SENT_WINDOWS) -> DataFrame:
-    """df without the contaminated rows."""
-    found = benchmark_index(bench, window, most)
-    if found is None:
-        row = like("__row", df)
-        numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
-        bad = _joined(numbered, bench, text, row, window).select(row).distinct()
-        return numbered.join(bad, row, "left_anti").drop(row)
+def windows(column: pa.StringArray, sizes: list[int] | None, window: int = WINDOW, bits: np.ndarray | None = None) -> Windows:
+    """The windows of these sizes whose hash stands in the bitmap; with sizes None (benchmark items): all of each text's own size."""
+    doc, at, hashes, keys = out = [], [], [], []
+    buf, off = raw(column)
+    # a benchmark item's size is its own, so it makes a step
+    for a, b in steps(off) if sizes is not None else ((k, k + 1) for k in range(len(column))):
+        for tokens in tokenise(buf[off[a] : off[b]], off[a : b + 1] - off[a]):
+            own = min(window, len(tokens.doc))
+            for size in sizes if sizes is not None else (own, -own) if own else ():
+                first, h = window_hashes(tokens, size, window)
+                if bits is not None:
+                    place = h & np.uint64(8 * len(bits) - 1)
+                    some = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    first, h = first[some], h[some]
+                for i, x in zip(first.tolist(), h.view(np.int64).tolist(), strict=True):
+                    doc.append(a + int(tokens.doc[i]))
+                    at.append(int(tokens.starts[i]))
+                    hashes.append(x)
+                    keys.append(_key(tokens, i, size))
+    return out
+
+
+def _window_rows(df: DataFrame, text: str, keep: str, sizes: list[int] | None, window: int, bits: np.ndarray | None = None) -> DataFrame:
+    """df's column `keep` with a row for each window: at, hash, key."""
     small_batches(df.sparkSession)
-    at = df.columns.index(text)
+    schema = T.StructType([df.schema[keep], T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("key", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array([not m for m in matches(texts(batch.column(at)), found)], pa.bool_()))
+                doc, at, hashes, keys = windows(texts(batch.column(1)), sizes, window, bits)
+                if doc:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.string())], names=schema.names)
+
+    return df.select(F.col(f"`{keep}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, df.schema)
+def _bitmap(theirs: DataFrame) -> np.ndarray:
+    """Bytes in which the bits that the hashes name are set."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_A_WINDOW * theirs.count()).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    found = theirs.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63L as int))")).alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found["w"].to_numpy()] = found["b"].to_numpy()
+    return words.view(np.uint8)
+
+
+def _row_key(doc_id: str, text: str) -> Column:
+    """Rows of one key have the same text, hence the same matches."""
+    return F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")))
+
+
+def _found(df: DataFrame, bench: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' windows (row, at, key) that pass the bitmap, and the benchmark's (item, key), each once."""
+    theirs = cut(_window_rows(bench.where("text is not null"), "text", "item_id", None, window).select(F.col("item_id").alias("item"), "hash", "key").distinct())
+    sizes = [r[0] for r in theirs.select(F.when(F.col("key").startswith("="), -F.size(F.split("key", " "))).otherwise(F.size(F.split(F.substring_index("key", "\n", 1), " ")))).distinct().collect()]  # twice WINDOW at most
+    rows = df.select(_row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
+    ours = _window_rows(rows, "text", "row", sorted(sizes), window, _bitmap(theirs))
+    return ours.select("row", "at", "key"), theirs.select("item", "key")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= SENT_MATCHES else df
+
+
+def find_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """doc_id, contaminated, item_ids (sorted) and n_windows (words at which a match begins, by item) of every row."""
+    ours, theirs = _found(df, bench, text, doc_id, window)
+    # a passage that many documents hold is dealt to several tasks
+    hits = cut(salted(ours, theirs, "key", "row").select("row", "at", "item").distinct().groupBy("row", "item").agg(F.count(F.lit(1)).alias("n")))
+    by = hits.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("item_ids"), F.sum("n").alias("n_windows"))
+    rows = df.select(F.col(f"`{doc_id}`").alias(doc_id), _row_key(doc_id, text).alias("row"))
+    out = rows.join(F.broadcast(by) if hits.count() <= SENT_MATCHES else by, "row", "left")
+    none = F.array().cast(T.ArrayType(hits.schema["item"].dataType))
+    return out.select(F.col(f"`{doc_id}`"), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+
+
+def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """df without the contaminated rows."""
+    ours, theirs = _found(df, bench, text, doc_id, window)
+    bad = cut(salted(ours, theirs.select("key").distinct(), "key", "row").select(F.col("row").alias("__bad")).distinct())
+    row = like("__row", df)
+    return df.withColumn(row, _row_key(doc_id, text)).join(_sent(bad.withColumnRenamed("__bad", row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

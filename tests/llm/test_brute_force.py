@@ -14,7 +14,6 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from sparkloom.llm import language, mixing, repetition, secrets, shards, simhash, surrogates, templates, wordpieces
-from sparkloom.llm._common import texts as as_texts
 from sparkloom.llm.queries import QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -270,65 +269,96 @@ def test_later_draws_reach_the_texts(spark, make, tmp_path):
 QUESTION = "Natalia sold 48 clips to her friends in April and then sold half as many clips in May so how many clips did Natalia sell altogether"
 
 
-@pytest.mark.parametrize(
-    ("text", "leak"),
-    [
-        (QUESTION, True), (f"Before. {QUESTION.upper()} After.", True), (QUESTION.lower(), True), (QUESTION.replace("Natalia", "Robert").replace("48", "312").replace("April", "June"), True),
-        (QUESTION.replace(" ", "!! "), True), (QUESTION.replace("did Natalia sell", "did Robert sell").replace("Natalia sold 48", "Natalia sold 9"), True), (" ".join(QUESTION.split()[:9]), False), ("Something else entirely, with 48 clips in April and half as many in May.", False), ("", False),
-    ],
-)
-def test_templates(text, leak):
-    import pyarrow as pa
+LEAKS = [
+    (QUESTION, True), (f"Before. {QUESTION.upper()} After.", True), (QUESTION.lower(), True), (QUESTION.replace("Natalia", "Robert").replace("48", "312").replace("April", "June"), True),
+    (QUESTION.replace(" ", "!! "), True), (QUESTION.replace("did Natalia sell", "did Robert sell").replace("Natalia sold 48", "Natalia sold 9"), True), (" ".join(QUESTION.split()[:9]), False), ("Something else entirely, with 48 clips in April and half as many in May.", False), ("", False),
+]
+
 
-    index = templates.index([(7, QUESTION), (8, None)])
-    assert [sorted(m) for m in templates.matches(pa.array([text]), index)] == [[7] if leak else []]
+def test_templates(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LEAKS)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, QUESTION), (8, None), (9, " "), (7, QUESTION)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in templates.find_contaminated(docs, bench).collect()}
+    assert [found[i]["item_ids"] for i in range(len(LEAKS))] == [[7] if leak else [] for _, leak in LEAKS]
+    assert {r["doc_id"] for r in templates.drop_contaminated(docs, bench).collect()} == {i for i, (_, leak) in enumerate(LEAKS) if not leak}
 
 
 def test_slots_have_to_correspond():
-    assert templates.consistent(["a", "b", "a"], ["x", "y", "x"])
-    assert not templates.consistent(["a", "b", "a"], ["x", "y", "z"])
-    assert not templates.consistent(["a", "b"], ["x", "x"])
+    same = lambda a, b: templates.pattern(a) == templates.pattern(b)
+    assert same(["a", "b", "a"], ["x", "y", "x"])
+    assert not same(["a", "b", "a"], ["x", "y", "z"])
+    assert not same(["a", "b"], ["x", "x"])
 
 
-def test_contamination_by_windows(spark, docs, sf_dir):
-    """All windows by plain comparison, on the sampled tables; and the shuffled join gives the same."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-
-    def tokens(text, named=True):
-        out = []
-        for w in WORDS.findall(text):
-            token, value, ends = templates.canonical(w, named)
-            if token:
-                if out and token == templates.NAME and out[-1][0] == token and not out[-1][2]:
-                    out[-1] = (token, f"{out[-1][1]} {value}", ends)
-                else:
-                    out.append((token, value, ends))
-        return out
-
-    def windows(ts):
-        return [ts[i : i + 13] for i in range(len(ts) - 12)]
-
-    theirs = collections.defaultdict(list)
-    for r in bench.collect():
+SLOTS = (templates.NUMBER, templates.NAME, templates.UNIT)
+
+
+def template_tokens(text, named):
+    out = []
+    for w in WORDS.findall(text or ""):
+        token, value, ends = templates.canonical(w, named)
+        if token:
+            if out and token == templates.NAME and out[-1][0] == token and not out[-1][2]:
+                out[-1] = (token, f"{out[-1][1]} {value}", ends)
+            else:
+                out.append((token, value, ends))
+    return out
+
+
+def brute_items(text, bench):
+    """The benchmark's items that the text holds, by comparing all windows."""
+    ours, out = {named: template_tokens(text, named) for named in (True, False)}, set()
+
+    def telling(w):
+        return len(w) >= 6 and 2 * sum(t not in SLOTS for t, _, _ in w) >= len(w)
+
+    for item, question in bench:
         for named in (True, False):
-            for w in windows(tokens(r["text"], named)):
-                theirs[tuple(t for t, _, _ in w)].append((r["item_id"], w))
-    slots = (templates.NUMBER, templates.NAME, templates.UNIT)
+            theirs = template_tokens(question, named)
+            n = min(13, len(theirs))
+            wanted = {}
+            for i in range(len(theirs) - n + 1 if n else 0):
+                v = theirs[i : i + n]
+                if telling(v):
+                    wanted.setdefault(tuple(t for t, _, _ in v), []).append(v)
+                elif not named:
+                    wanted.setdefault(("=", *(x for _, x, _ in v)), []).append(v)
+            for kind, ts in ours.items():
+                for i in range(len(ts) - n + 1 if wanted else 0):
+                    w = ts[i : i + n]
+                    if not telling(w):
+                        if not kind and not named and ("=", *(x for _, x, _ in w)) in wanted:
+                            out.add(item)
+                        continue
+                    for v in wanted.get(tuple(t for t, _, _ in w), ()):
+                        pairs = {(a[:2], b[:2]) for a, b in zip(w, v, strict=True) if a[0] in SLOTS}
+                        if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                            out.add(item)
+    return out
+
+
+def test_contamination_by_windows(spark, docs, sf_dir):
+    """All windows by plain comparison."""
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     found = {r["doc_id"]: r for r in QUERIES["op9_template_decontam"](spark, sf_dir).collect()}
     hits = 0
     for doc_id, text, _, _ in docs:
-        wanted = set()
-        for w in windows(tokens(text)):
-            for item, v in theirs.get(tuple(t for t, _, _ in w), ()):
-                pairs = {(a[:2], b[:2]) for a, b in zip(w, v, strict=True) if a[0] in slots}
-                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and sum(t not in slots for t, _, _ in w) * 2 >= 13:
-                    wanted.add(item)
+        wanted = brute_items(text, bench)
         assert set(found[doc_id]["item_ids"]) == wanted and found[doc_id]["contaminated"] == bool(wanted)
         hits += bool(wanted)
     assert hits
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    joined = {r["doc_id"]: r for r in templates.find_contaminated(df, bench, most=0).collect()}
-    assert joined == found
+
+
+def test_a_full_bitmap_changes_nothing(spark, sf_dir, monkeypatch):
+    df, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = sorted(map(str, templates.find_contaminated(df, bench).collect()))
+    monkeypatch.setattr(templates, "LEAST_BITS", 6)
+    monkeypatch.setattr(templates, "MOST_BITS", 6)
+    monkeypatch.setattr(templates, "SENT_MATCHES", -1)  # and nothing is broadcast
+    few = df.limit(40)
+    assert set(map(str, templates.find_contaminated(few, bench).collect())) <= set(found)
+    kept = {r["doc_id"] for r in templates.drop_contaminated(few, bench).collect()}
+    assert kept == {r["doc_id"] for r in templates.find_contaminated(few, bench).where("not contaminated").collect()}
 
 
 # 10
@@ -417,8 +447,8 @@ def test_pipeline(spark, docs, sf_dir):
     kept = [d for d in docs if brute_quality(d[1])]
     component = brute_components([d[0] for d in kept], [brute_words(d[1]) for d in kept])
     kept = [d for d, c in zip(kept, component, strict=True) if d[0] == c]
-    bench = templates.index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
-    kept = [d for d in kept if not templates.matches(as_texts(__import__("pyarrow").array([d[1]])), bench)[0]]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    kept = [d for d in kept if not brute_items(d[1], bench)]
     size = collections.Counter()
     for d in kept:
         size[d[3]] += len(d[1].encode())

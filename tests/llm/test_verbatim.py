@@ -1,8 +1,5 @@
 """Verbatim copies of benchmark items that say too little as templates."""
 
-import pyarrow as pa
-import pytest
-
 from sparkloom.llm import templates
 
 ITEMS = [(1, "What is 12 times 7 plus 9 minus 4?"), (2, "Who wrote War and Peace?"), (3, "What is the capital city of France today"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (5, "Natalia had 48 clips in total and then sold 13 of them to her best friends")]
@@ -12,14 +9,9 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize(("text", "items"), TEXTS)
-def test_verbatim(text, items):
-    assert set(templates.matches(pa.array([text]), templates.index(ITEMS))[0]) == items
-
-
-def test_verbatim_by_join(spark):
+def test_verbatim(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(TEXTS)], "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    sent, joined = ({tuple(map(str, r)) for r in templates.find_contaminated(docs, bench, most=n).collect()} for n in (1000, 0))
-    assert sent == joined and len(sent) == len(TEXTS)
-    assert {r["doc_id"] for r in templates.drop_contaminated(docs, bench, most=0).collect()} == {k for k, (_, items) in enumerate(TEXTS) if not items}
+    found = {r["doc_id"]: set(r["item_ids"]) for r in templates.find_contaminated(docs, bench).collect()}
+    assert found == {k: items for k, (_, items) in enumerate(TEXTS)}
+    assert {r["doc_id"] for r in templates.drop_contaminated(docs, bench).collect()} == {k for k, (_, items) in enumerate(TEXTS) if not items}
