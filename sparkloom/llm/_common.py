@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -130,6 +131,15 @@ def map_texts(df: DataFrame, function: Callable[[pa.StringArray], Iterable[pa.Ar
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span overlaps none of `taken`; both are sorted by start."""
+    starts, reach = [a for a, _ in taken], []
+    for _, b in taken:
+        reach.append(max(b, reach[-1]) if reach else b)
+    # of those that begin before the span's end, the farthest end decides
+    return [not (k := bisect.bisect_left(starts, b)) or reach[k - 1] <= a for a, b in spans]
+
+
 def like(name: str, df: DataFrame) -> str:
     """`name`, or a name made from it that no column of df has."""
     while name.lower() in {c.lower() for c in df.columns}:

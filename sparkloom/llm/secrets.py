@@ -18,7 +18,6 @@ scanned whole. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import re
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, map_texts
+from ._common import cut, documents, free, map_texts
 
 #: Kinds in the order of spans that begin at one place.
 KINDS = ("assign", "access", "hex", "token")
@@ -65,20 +64,11 @@ def _mixed(value: str) -> bool:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values()) >= MIN_ENTROPY
 
 
-def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
-    """Whether each span overlaps none of `taken`; both are sorted by start."""
-    starts, reach = [a for a, _ in taken], []
-    for _, b in taken:
-        reach.append(max(b, reach[-1]) if reach else b)
-    # of those that begin before the span's end, the farthest end decides
-    return [not (k := bisect.bisect_left(starts, b)) or reach[k - 1] <= a for a, b in spans]
-
-
 def further_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Candidates beyond the base spans, none of which they overlap: known formats first, then mixed tokens."""
     taken, out = [(a, b) for a, b, _, _ in base], []
     for found in ([m.span() for m in _FORMATS.finditer(text)], [m.span() for m in _TOKEN.finditer(text) if _mixed(m[0])]):
-        new = [span for span, free in zip(found, _free(found, taken), strict=True) if free]
+        new = [span for span, alone in zip(found, free(found, taken), strict=True) if alone]
         out += new
         taken = sorted(taken + new)
     return [(a, b, "token", text[a:b]) for a, b in sorted(out)]

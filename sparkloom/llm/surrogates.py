@@ -4,8 +4,15 @@ Detected entities (mail addresses, phone, card and social security numbers, IBAN
 replaced by values that a key derives from them: of the same kind, format and length, valid check digits included, and for names of the same gender and
 script. An entity gets one surrogate wherever it stands and however it is written (case, separators), so coreference
 stays. Surrogates are checked against each other and against all real values of the corpus; an entity whose surrogate
-is taken draws again, until all differ. Only these later draws have to be known when texts are rewritten: they are sent
-to the tasks below a checked bound, and joined to the documents that hold them beyond it.
+is taken draws again, until all differ; from the eighth draw on formats are loosened, from the 16th on values get longer, so that a
+full format ends nothing.
+
+Persons are found where a title, a common given name or a phrase (my name is ...) begins a run of capitalised words; the whole
+run is the name, particles and initials in it stay. A part of such a name that stands alone elsewhere in the text is
+replaced alike. Names that no title, listed given name or phrase announces anywhere in their text are not found.
+
+Mentions are joined to the later draws by entity, and these to the texts by row: broadcast below a checked bound, by shuffle
+beyond it.
 
 Defined cases: a null text stays null with 0 entities, an empty one stays empty. Rows are rewritten one by one, so ties,
 repeated rows and null ids don't matter. Very long texts are read whole. An empty table gives an empty result. Other
@@ -26,33 +33,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, documents, like, small_batches
+from ._common import cut, documents, free, like, salted, small_batches
 
 KEY = os.environ.get("SURROGATE_KEY", "surrogates-1")
-#: Entities with a later draw that are sent to the tasks at most.
-SENT = 100_000
-#: Draws of one entity before it is an error; from the eighth on, the digit count of an IPv4 octet and 555 need not stay.
-DRAWS = 60
-LOOSE = 8
+#: Mentions of entities with a later draw up to which these are broadcast to the texts (some 100 bytes each).
+SENT_MENTIONS = 50_000
+#: Draws from which on the digit count of an IPv4 octet, 555 and the length of an address need not stay; and from which on numbers get longer.
+LOOSE, LONGER = 8, 16
 
 #: Titles and given names by gender, for detection only.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Doña", "Г-жа", "Κυρία"), "n": ("Dr", "Prof", "Doktor")}
 GIVEN = {
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Laura Julia Sophie Marie Emma Claire Camille Chloe Lucia Carmen Isabel Sofia Elena Ana Ingrid Ursula Petra Sabine Анна Мария Елена Ольга Наталья Ελένη Μαρία",
-    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Peter Paul Hans Klaus Jürgen Wolfgang Pierre Jean Jacques Luc Antoine José Juan Carlos Luis Miguel Pedro Иван Дмитрий Сергей Алексей Николай Γιώργος Νίκος",
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Sandra Margaret Ashley Emily Emma Olivia Sophia Charlotte Amelia Alice Grace Hannah Rachel Rebecca Laura Julia Anna Maria Sophie Marie Claire Camille Chloe Isabelle Nathalie Lucia Carmen Isabel Sofia Elena Ana Pilar Ingrid Ursula Petra Sabine Katharina Monika Heike Priya Fatima Aisha Yuki Анна Мария Елена Ольга Наталья Татьяна Ирина Ελένη Μαρία Κατερίνα",
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Steven Paul Andrew Joshua Kevin Brian George Edward Peter Henry Jack Oliver Hans Klaus Jürgen Wolfgang Stefan Matthias Andreas Pierre Jean Jacques Luc Antoine François Nicolas José Juan Carlos Luis Miguel Pedro Javier Diego Giovanni Marco Mohammed Ahmed Ali Raj Hiroshi Иван Дмитрий Сергей Алексей Николай Андрей Михаил Γιώργος Νίκος Δημήτρης",
 }
+PHRASES = ("my name is", "My name is", "Name:", "name:", "Signed,", "signed by", "Sincerely,", "Author:", "Contact:", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут", "με λένε", "Με λένε")
+PARTICLES = frozenset("von van de del della da di du la le der den ter bin al".split())
 _GENDER = {name: g for g, names in GIVEN.items() for name in names.split()}
 _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 
-_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<![\w.-])(?:[2-6]\d{12,18}|[2-6]\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{4,5})(?![\w-])")
-_PHONE = re.compile(r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ -]?(?:\(\d{1,4}\)|\d{1,4})(?:[ -]?\d{2,4}){2,3}(?!\.\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+_PHONE = re.compile(r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ -]?(?:\(\d{1,4}\)|\d{1,4})(?:[ -]?\d{2,4}){2,3}(?!\.\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d )[2-9]\d{2} [2-9]\d{2} \d{4}(?! \d))(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)")
-_PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?\x20+(?P<titled>{_WORD}(?:\x20{_WORD})?)|(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\x20(?P<family>{_WORD}))(?!\w)")
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆΈΉΊΌΎΏΑ-ΩЁА-Я]"
+_NAME = rf"{_CAPITAL}[^\W\d_]*(?:['’-][^\W\d_]+)*"
+#: Runs of capitalised words, with particles among them; a dot may follow a word.
+_RUN = re.compile(rf"(?<!\w){_NAME}(?:\.?\x20+(?:(?:{'|'.join(sorted(PARTICLES))})\x20+)*{_NAME})*(?!\w)")
+_PART = re.compile(rf"({_NAME})(\.?)|[^\W\d_]+")
+_PHRASE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, PHRASES))})\s+(?={_CAPITAL})")
 _DIGIT = re.compile(r"\d")
 
 
@@ -82,48 +94,61 @@ def script(word: str) -> str:
     return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "α" <= c <= "ώ" or c in "άέήί" else "latin"
 
 
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """The names of persons, a span a word, in order; then their parts that stand alone."""
+    announced = {m.end() for m in _PHRASE.finditer(text)}
+    found: list[tuple[int, int, str, str]] = []
+    runs = [(m.start(), [(m.start() + p.start(1), p[1], bool(p[2])) for p in _PART.finditer(m[0]) if p[1]]) for m in _RUN.finditer(text)]
+    for _, words in runs:
+        k = 0
+        while k < len(words):
+            at, word, dotted = words[k]
+            title = _TITLE.get(word)
+            first = k + 1 if title else k
+            # a title, a phrase before, or a given name that another word follows
+            if not (title or at in announced or word in _GENDER and not dotted) or first == len(words):
+                k += 1
+                continue
+            last = first
+            while last + 1 < len(words) and (not words[last][2] or len(words[last][1]) == 1):
+                last += 1
+            name = [w for w in words[first : last + 1] if len(w[1]) > 1]
+            k = last + 1
+            if not name or len(name) == 1 and not title and at not in announced:
+                continue
+            gender = next((_GENDER[w] for _, w, _ in name if w in _GENDER), title or "n")
+            for i, (a, w, _) in enumerate(name):
+                family = i == len(name) - 1 and (len(name) > 1 or title is not None)
+                found.append((a, a + len(w), f"family:{script(w)}" if family else f"given:{gender}:{script(w)}", w.lower()))
+    known = {value: kind for _, _, kind, value in reversed(found)}
+    if known:
+        seen = {a for a, _, _, _ in found}
+        found += [(a, a + len(w), known[w.lower()], w.lower()) for _, words in runs for a, w, _ in words if a not in seen and w.lower() in known]
+    return sorted(found)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities, in order and without overlaps; earlier kinds go first."""
-    found: list[tuple[int, int, str, str]] = []
+    kinds: list[list[tuple[int, int, str, str]]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        kinds.append([(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)])
     if _DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and _iban_rest(plain) == 1:
-                found.append((m.start(), m.end(), "iban", plain))
-        for m in _CARD.finditer(text):
-            if luhn(plain := re.sub(r"\D", "", m[0])) % 10 == 0 and issued(plain):
-                found.append((m.start(), m.end(), "card", plain))
+        kinds.append([(m.start(), m.end(), "iban", plain) for m in _IBAN.finditer(text) if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and _iban_rest(plain) == 1])
+        kinds.append([(m.start(), m.end(), "card", plain) for m in _CARD.finditer(text) if luhn(plain := re.sub(r"\D", "", m[0])) % 10 == 0 and issued(plain)])
+        phones = []
         for m in _PHONE.finditer(text):
             if 7 <= len(plain := re.sub(r"\D", "", m[0])) <= 15:
                 country = re.match(r"\+(\d{1,3})(?=[ .(-])|\+(\d)", m[0])
-                found.append((m.start(), m.end(), f"phone{len(country[1] or country[2]) if country else 0}", plain))
-        found += [(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)]
-        found += [(m.start(), m.end(), "ipv4", m[0]) for m in _IP.finditer(text)]
-    for m in _PERSON.finditer(text):
-        if m["title"]:
-            words, gender = m["titled"].split(" "), _TITLE[m["title"]]
-            if not words[0][0].isupper():
-                continue
-            words = words if len(words) == 2 and words[1][0].isupper() else words[:1]
-            at = m.start("titled")
-            parts = ["family"] if len(words) == 1 else ["given", "family"]
-            gender = _GENDER.get(words[0], gender) if len(words) == 2 else gender
-        else:
-            if not m["family"][0].isupper():
-                continue
-            words, at, gender, parts = [m["given"], m["family"]], m.start("given"), _GENDER[m["given"]], ["given", "family"]
-        for word, part in zip(words, parts, strict=True):
-            kind = f"given:{gender}:{script(word)}" if part == "given" else f"family:{script(word)}"
-            found.append((at, at + len(word), kind, word.lower()))
-            at += len(word) + 1
+                phones.append((m.start(), m.end(), f"phone{len(country[1] or country[2]) if country else 0}", plain))
+        kinds.append(phones)
+        kinds.append([(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)])
+        kinds.append([(m.start(), m.end(), "ipv4", m[0]) for m in _IP.finditer(text)])
+    kinds.append(_persons(text))
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for span in found:
-        if not any(a < span[1] and span[0] < b for a, b in taken):
-            taken.append(span[:2])
-            out.append(span)
-    return sorted(out)
+    for found in kinds:
+        if found:
+            out = sorted(out + [x for x, alone in zip(found, free([x[:2] for x in found], [x[:2] for x in out]), strict=True) if alone])
+    return out
 
 
 class _Draws:
@@ -160,30 +185,30 @@ _ENDINGS = {
 def surrogate(key: str, kind: str, value: str, draw: int) -> str:
     """The canonical surrogate of a canonical value, at its draw-th draw."""
     draws = _Draws(key, kind, value, str(draw))
-    loose = draw >= LOOSE
+    loose, more = draw >= LOOSE, max(0, (draw - LONGER) // 4 + 1)  # further digits
     if kind == "email":
         local, domain = value.split("@")
         labels = domain.split(".")
         # one surrogate for a domain, whoever's address it is
-        return f"{draws.like(local)}@{'.'.join([*(_Draws(key, 'domain', label).like(label) for label in labels[:-1]), labels[-1]])}" if not loose else f"{draws.like(local)}@{'.'.join([*(draws.like(label) for label in labels[:-1]), labels[-1]])}"
+        return f"{draws.like(local)}@{'.'.join([*(_Draws(key, 'domain', label).like(label) for label in labels[:-1]), labels[-1]])}" if not loose else f"{draws.like(local + 'a' * ((draw - LOOSE) // 4 + 1))}@{'.'.join([*(draws.like(label) for label in labels[:-1]), labels[-1]])}"
     if kind.startswith("phone"):
         country = int(kind[5:])
-        rest = [str(draws.below(10)) for _ in value[country:]]
+        rest = [str(draws.below(10)) for _ in range(len(value) - country + more)]
         rest[0] = str(2 + draws.below(8))
         if value[country + 3 : country + 6] == "555" and not loose:
             rest[3:6] = "555"
         return value[:country] + "".join(rest)
     if kind == "card":
         issuer = value[:1] if value[0] == "4" else value[:4]
-        body = issuer + "".join(str(draws.below(10)) for _ in value[len(issuer) : -1])
+        body = issuer + "".join(str(draws.below(10)) for _ in range(len(value) - len(issuer) - 1 + more))
         return body + str(-luhn(body + "0") % 10)
     if kind == "iban":
-        body = "".join(str(draws.below(10)) if c.isdigit() else chr(65 + draws.below(26)) for c in value[4:])
+        body = "".join(str(draws.below(10)) if c.isdigit() else chr(65 + draws.below(26)) for c in value[4:] + "0" * more)
         return f"{value[:2]}{98 - _iban_rest(f'{value[:2]}00{body}'):02d}{body}"
     if kind == "ssn":
-        return f"{1 + draws.below(665):03d}{1 + draws.below(99):02d}{1 + draws.below(9999):04d}"
+        return f"{1 + draws.below(665):03d}{1 + draws.below(99):02d}{1 + draws.below(9999):04d}{draws.like('0' * more)}"
     if kind == "ipv4":
-        return ".".join(str(1 + draws.below(254) if loose else {1: 1 + draws.below(9), 2: 10 + draws.below(90), 3: 100 + draws.below(155)}[len(octet)]) for octet in value.split("."))
+        return ".".join(str(1 + draws.below(999 if more else 254) if loose else {1: 1 + draws.below(9), 2: 10 + draws.below(90), 3: 100 + draws.below(155)}[len(octet)]) for octet in value.split("."))
     part, *of = kind.split(":")
     syllables, endings = _SYLLABLES[of[-1]], _ENDINGS[of[-1]]["family" if part == "family" else of[0]]
     return "".join(syllables[draws.below(len(syllables))] for _ in range(2 + draws.below(2) + draw // 4)) + endings[draws.below(len(endings))]
@@ -193,7 +218,7 @@ def render(kind: str, value: str, mention: str) -> str:
     """The canonical surrogate, written as the mention is: its separators and capitals."""
     if kind.startswith(("phone", "card", "ssn", "iban")):
         symbols = iter(value)
-        return "".join(next(symbols) if c.isalnum() else c for c in mention)
+        return "".join([*(next(symbols, "") if c.isalnum() else c for c in mention), *symbols])
     if kind == "email":
         return "".join(c.upper() if i < len(mention) and mention[i].isupper() else c for i, c in enumerate(value)) if not mention.isupper() else value.upper()
     if kind == "ipv4":
@@ -210,17 +235,17 @@ def rewrite(text: str, key: str, later: dict[tuple[str, str], int]) -> tuple[str
     return "".join([*out, text[at:]]), len(found)
 
 
-def entities(df: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, value): the distinct entities of all texts."""
+def mentions(df: DataFrame, row: str, text: str = "text") -> DataFrame:
+    """(row, kind, value): the entities of each text, each once a batch."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = sorted({(kind, value) for t in batch.column(0).to_pylist() if t for _, _, kind, value in detect(t)})
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], names=["kind", "value"])
+            found = sorted({(r, kind, value) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, kind, value in detect(t)})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["row", "kind", "value"])
 
-    return df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "kind string, value string").distinct()
+    return df.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "row string, kind string, value string")
 
 
 def _drawn(df: DataFrame, key: str) -> DataFrame:
@@ -236,67 +261,50 @@ def _drawn(df: DataFrame, key: str) -> DataFrame:
 
 
 def distinct_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, draw, surrogate) of each entity (kind, value): no two of a kind alike, and none a real value."""
+    """(kind, value, draw, surrogate) of each entity (kind, value): no two of a kind alike, and none a real value.
+
+    Of those that draw one value in a round, the least gets it, unless it is real or was given away in an earlier round.
+    """
     # kinds of one format share their values: all phones, all family names of a script
-    family = F.regexp_replace("kind", r"^phone\d", "phone")
-    given = cut(_drawn(found.withColumn("draw", F.lit(0)), key))
-    for _ in range(DRAWS):
-        claims = given.select(family.alias("f"), F.col("surrogate").alias("s"), F.struct("draw", "value", "kind").alias("claim"))
-        real = given.select(family.alias("f"), F.col("value").alias("s")).distinct()
-        first = claims.groupBy("f", "s").agg(F.min("claim").alias("first"))
-        free = first.join(real, ["f", "s"], "left_anti")
-        lost = given.alias("g").join(free.alias("w"), (family == F.col("w.f")) & (F.col("g.surrogate") == F.col("w.s")) & (F.struct("g.draw", "g.value", "g.kind") == F.col("w.first")), "left_anti").select("kind", "value", "draw")
-        lost = cut(lost)
-        if lost.isEmpty():
-            return given
-        again = _drawn(lost.withColumn("draw", F.col("draw") + 1), key)
-        given = cut(given.join(lost.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(again))
-    raise ValueError(f"no distinct surrogates after {DRAWS} draws")
-
-
-def replace_entities(df: DataFrame, text: str = "text", key: str = KEY, sent: int = SENT) -> DataFrame:
+    family = F.regexp_replace("kind", r"^phone\d", "phone").alias("f")
+    taken = cut(found.select(family, F.col("value").alias("surrogate")).distinct())
+    drawn, out = cut(_drawn(found.select("kind", "value").distinct().withColumn("draw", F.lit(0)), key)), None
+    while True:
+        first = drawn.select(family, "surrogate", F.struct("value", "kind").alias("claim")).groupBy("f", "surrogate").agg(F.min("claim").alias("claim"))
+        free_ = first.join(taken, ["f", "surrogate"], "left_anti").select("claim.kind", "claim.value")
+        won = cut(drawn.join(free_, ["kind", "value"], "left_semi"))
+        out = won if out is None else out.unionByName(won)
+        lost = drawn.join(won.select("kind", "value"), ["kind", "value"], "left_anti")
+        drawn = cut(_drawn(lost.withColumn("draw", F.col("draw") + 1), key))
+        if drawn.isEmpty():
+            return out
+        taken = taken.union(won.select(family, "surrogate"))
+
+
+def replace_entities(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """df with surrogates in its text column, and n_entities, the number of mentions."""
-    later = cut(distinct_surrogates(cut(entities(df, text)), key).where("draw > 0").select("kind", "value", "draw"))
-    count, schema = like("n_entities", df), T.StructType([*df.schema, T.StructField(like("n_entities", df), T.LongType())])
-    at = df.columns.index(text)
+    row, draws_of = like("__row", df), like("__later", df)
+    # equal texts have the same entities
+    of_text = F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
+    held = cut(mentions(df.withColumn(row, of_text), row, text).distinct())
+    later = distinct_surrogates(held.select("kind", "value").distinct(), key).where("draw > 0")
+    entity = F.concat_ws("\x1f", "kind", "value")
+    again = salted(held.select("row", "kind", "value", entity.alias("entity")), later.select(entity.alias("entity"), "draw"), "entity", "row")
+    by = cut(again.groupBy("row").agg(F.collect_list(F.struct("kind", "value", "draw")).alias("draws"))).select(F.col("row").alias(row), F.col("draws").alias(draws_of))
+    few = by.agg(F.coalesce(F.sum(F.size(draws_of)), F.lit(0))).first()[0] <= SENT_MENTIONS
+    joined = df.withColumn(row, of_text).join(F.broadcast(by) if few else by, row, "left").select(*[F.col(f"`{c}`") for c in df.columns], draws_of)
+    schema, at = T.StructType([*df.schema, T.StructField(like("n_entities", df), T.LongType())]), df.columns.index(text)
     small_batches(df.sparkSession)
 
-    def rewritten(batch: pa.RecordBatch, known: list[dict[tuple[str, str], int]]) -> pa.RecordBatch:
-        column = batch.column(at).to_pylist()
-        made = [(None, 0) if t is None else rewrite(t, key, k) for t, k in zip(column, known, strict=True)]
-        columns = [pa.array([m for m, _ in made], pa.string()) if i == at else batch.column(i) for i in range(len(schema) - 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in made], pa.int64())], names=schema.names)
-
-    if later.count() <= sent:
-        draws = {(r["kind"], r["value"]): r["draw"] for r in later.collect()}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield rewritten(batch, [draws] * batch.num_rows)
-
-        return df.mapInArrow(run, schema)
-
-    row, draws_of, other = like("__row", df), like("__later", df), like("__held_row", df)
-    numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
-
-    def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = sorted({(r, kind, value) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, kind, value in detect(t)})
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "value"])
-
-    held = numbered.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mentions, "row long, kind string, value string")
-    by = held.join(later, ["kind", "value"]).groupBy(F.col("row").alias(other)).agg(F.collect_list(F.struct("kind", "value", "draw")).alias(draws_of))
-    joined = numbered.join(by, F.col(row) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in df.columns], draws_of)
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                known = [{(x["kind"], x["value"]): x["draw"] for x in row or ()} for row in batch.column(len(schema) - 1).to_pylist()]
-                yield rewritten(batch, known)
+                known = ({(x["kind"], x["value"]): x["draw"] for x in found or ()} for found in batch.column(len(schema) - 1).to_pylist())
+                made = [(None, 0) if t is None else rewrite(t, key, k) for t, k in zip(batch.column(at).to_pylist(), known, strict=True)]
+                columns = [pa.array([m for m, _ in made], pa.string()) if i == at else batch.column(i) for i in range(len(schema) - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in made], pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,11 +257,12 @@ def test_surrogates_are_distinct(spark):
     assert any(r["draw"] for r in out)
 
 
-def test_later_draws_reach_the_texts(spark, make, tmp_path):
+def test_later_draws_reach_the_texts(spark, make, tmp_path, monkeypatch):
     rows = [(i, f"host {a}.{b}.1.2 is up", "en", "s") for i, (a, b) in enumerate((a, b) for a in range(1, 10) for b in range(1, 10))]
     docs = spark.read.parquet(f"{make(tmp_path, rows)}/documents.parquet")
     sent = {(r["doc_id"], r["text"]) for r in surrogates.replace_entities(docs).collect()}
-    joined = {(r["doc_id"], r["text"]) for r in surrogates.replace_entities(docs, sent=-1).collect()}
+    monkeypatch.setattr(surrogates, "SENT_MENTIONS", -1)
+    joined = {(r["doc_id"], r["text"]) for r in surrogates.replace_entities(docs).collect()}
     assert sent == joined and len({t for _, t in sent}) == len(rows)
 
 
