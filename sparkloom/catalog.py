@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -11,9 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import cut, exists, names, remove
 from .types import default_column
 
 
+#: Changes of a table that are kept beside it before it is written anew, and changed rows up to which they are (they are broadcast to be applied).
+CHANGES, FEW = 16, 100_000
+
+
 class CatalogFault(ValueError):
     """A label, type or property that the graph doesn't have, or has already."""
 
@@ -61,6 +68,24 @@ class Graph:
     multiplicities: dict[str, str] = field(default_factory=dict)
     #: (table, property) -> the value that it has where none is given, if it isn't the type's.
     defaults: dict[tuple[str, str], Any] = field(default_factory=dict)
+    #: Changes that were put since a table was last written.
+    changes: dict[Any, int] = field(default_factory=dict)
+    #: Rows of tables that have been counted, by the data frame's identity (which is held, so that it stays its own).
+    counted: dict[int, tuple[DataFrame, int]] = field(default_factory=dict)
+
+    def rows(self, df: DataFrame) -> int:
+        """The number of rows of a table, counted once (Parquet files state it)."""
+        if id(df) not in self.counted:
+            self.counted[id(df)] = df, df.count()
+        return self.counted[id(df)][1]
+
+    def changed(self, name: Any, df: DataFrame, rows: int) -> DataFrame:
+        """A table after a change of so many rows: computed from the old one when it is read, or written if the change is large or one of many."""
+        self.changes[name] = self.changes.get(name, 0) + 1
+        if rows <= FEW and self.changes[name] < CHANGES:
+            return df
+        self.changes[name] = 0
+        return cut(df)
 
     def add_nodes(self, label: str, df: DataFrame, key: str) -> Graph:
         if label in self.nodes or label in self.types():
@@ -102,11 +127,13 @@ class Graph:
                 raise CatalogFault(f"no edge type {t}")
         return [e for e in self.edges.values() if not types or e.type in types]
 
-    def put_nodes(self, label: str, df: DataFrame) -> None:
-        self.nodes[label] = replace(self.node(label), df=df)
+    def put_nodes(self, label: str, df: DataFrame, rows: int | None = None) -> None:
+        """rows: how many of the old table the change touches, if it may be kept beside it."""
+        self.nodes[label] = replace(self.node(label), df=df if rows is None else self.changed(label, df, rows))
 
-    def put_edges(self, edge: EdgeTable, df: DataFrame) -> None:
-        self.edges[edge.source, edge.type, edge.target] = replace(edge, df=df)
+    def put_edges(self, edge: EdgeTable, df: DataFrame, rows: int | None = None) -> None:
+        at = edge.source, edge.type, edge.target
+        self.edges[at] = replace(edge, df=df if rows is None else self.changed(at, df, rows))
 
     def drop(self, name: str, lenient: bool = False) -> None:
         if name in self.nodes:
@@ -151,18 +178,31 @@ class Graph:
 
     # storage
     def save(self, path: str) -> None:
-        """Writes all tables as Parquet, and the schema beside them."""
+        """Writes all tables as Parquet into a new version folder of path; its schema comes last and makes it the current one.
+
+        The tables may be read from an earlier version, so nothing is overwritten. When the new version is whole, all older
+        ones but the one before it go: data frames that came from that one can still be computed.
+        """
         schema: dict[str, Any] = {"nodes": [], "edges": [], "defaults": [[*k, v if isinstance(v, (bool, int, float, str)) else str(v)] for k, v in self.defaults.items()]}
+        there = versions(self.spark, path)
+        at = f"{path}/v{(_number(there[-1]) if there else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
         for i, n in enumerate(self.nodes.values()):
-            n.df.write.mode("overwrite").parquet(f"{path}/nodes-{i}")
+            n.df.write.parquet(f"{at}/nodes-{i}")
             schema["nodes"].append({"label": n.label, "key": n.key})
         for i, e in enumerate(self.edges.values()):
-            e.df.write.mode("overwrite").parquet(f"{path}/edges-{i}")
+            e.df.write.parquet(f"{at}/edges-{i}")
             schema["edges"].append({"type": e.type, "source": e.source, "target": e.target, "src": e.src, "dst": e.dst, "multiplicity": self.multiplicities.get(e.type)})
-        self.spark.createDataFrame([(json.dumps(schema),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+        self.spark.createDataFrame([(json.dumps(schema),)], "schema string").coalesce(1).write.text(f"{at}/schema")
+        for old in there[:-1]:
+            remove(self.spark, f"{path}/{old}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
+        """The graph of the current version; FileNotFoundError if nothing has been saved there."""
+        there = versions(spark, path)
+        if not there:
+            raise FileNotFoundError(path)
+        path = f"{path}/{there[-1]}"
         schema = json.loads(spark.read.text(f"{path}/schema").first()[0])
         out = cls(spark)
         for i, n in enumerate(schema["nodes"]):
@@ -174,3 +214,11 @@ class Graph:
         out.defaults = {(t, p): v for t, p, v in schema["defaults"]}
         return out
 
+
+def _number(version: str) -> int:
+    return int(version[1:].split("-")[0])
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The version folders of path whose schema is written, oldest first."""
+    return sorted((x for x in names(spark, path) if re.fullmatch(r"v\d{8,}-\w+", x) and exists(spark, f"{path}/{x}/schema/_SUCCESS")), key=lambda x: (_number(x), x))

@@ -35,9 +35,8 @@ class Session:
         if path is not None:
             try:
                 return cls(Graph.load(spark, path), path)
-            except Exception as e:  # nothing has been written there yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+            except FileNotFoundError:  # nothing has been written there yet
+                pass
         return cls(Graph(spark), path)
 
     def register(self, name: str, function: Callable[..., Column]) -> None:
@@ -146,8 +145,10 @@ class Session:
             table = self.graph.nodes[s.label]
             new = self._fitted(table.label, rows, list(table.properties.items()), s.columns, (table.key,))
             new = cut(new.where(F.col(f"`{table.key}`").isNotNull()))
-            # of rows with one key, and of keys that are there, the first stays
-            new = new.dropDuplicates([table.key]).join(table.df, table.key, "left_anti").select(*table.df.columns)
+            # keys that are there stay as they are; of rows with one key the least stays (rows of files have no order)
+            rest = [c for c in new.columns if c != table.key]
+            new = new.groupBy(table.key).agg(F.min(F.struct(*rest)).alias("_row")).select(table.key, "_row.*") if rest else new.distinct()
+            new = new.join(table.df, table.key, "left_anti").select(*table.df.columns)
             self.graph.put_nodes(s.label, cut(table.df.unionByName(new)))
         else:
             tables = [t for t in self.graph.triplets([s.label]) if ends[0] in (None, t.source) and ends[1] in (None, t.target)]
@@ -197,9 +198,9 @@ class Session:
             raise BindFault("statements take effect at once")
         return None
 
-    def load_builtin_dataset(self, name: str) -> None:
-        """Puts the tables of a built-in data set into the graph."""
-        found = load_dataset(self.graph.spark, name)
+    def load_builtin_dataset(self, name: str, folder: str | None = None) -> None:
+        """Puts the tables of a built-in data set, or of one whose files stand in the folder, into the graph."""
+        found = load_dataset(self.graph.spark, name, folder)
         for n in found.nodes.values():
             self.graph.add_nodes(n.label, n.df, n.key)
         for e in found.edges.values():

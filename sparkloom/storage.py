@@ -1,4 +1,4 @@
-"""Where loops cut their lineage: the shared folder that the cluster names in spark.checkpoint.dir."""
+"""Where loops cut their lineage (the shared folder that the cluster names in spark.checkpoint.dir), and files of any file system that Spark reads."""
 
 from __future__ import annotations
 
@@ -23,3 +23,24 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder: later plans begin there, and lost executors cost nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _at(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What stands in the folder; nothing if there is none."""
+    fs, at = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
