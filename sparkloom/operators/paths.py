@@ -7,7 +7,7 @@ round.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,9 +152,32 @@ class Paths:
         rest = [c for c in df.columns if c not in keys and c not in order]
         return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("x")).select(*keys, "x.*")
 
-    def weighted(self, starts: DataFrame, every: bool) -> DataFrame:
-        """For each start and each other node that it reaches, one of the cheapest paths, or every one; weights are not negative."""
-        keys = self.ends("s", "t")
+    def _weights(self) -> bool:
+        """Leaves out edges without a weight; an error if one is negative. Whether one is 0."""
+        w = F.col(self.weight)
+        if dict(self.e.df.dtypes)[self.weight] in ("double", "float"):
+            w = F.when(~F.isnan(w), w)
+        self.e = replace(self.e, df=self.e.df.where(w.isNotNull()))
+        least = self.e.df.agg(F.min(w)).first()[0]
+        if least is not None and least < 0:
+            raise ValueError(f"the weight {least}: cheapest paths need weights that are not negative")
+        return least == 0
+
+    def weighted(self, starts: DataFrame, every: bool, targets: DataFrame | None = None, far: DataFrame | None = None) -> DataFrame:
+        """For each start and each other node that it reaches, one of the cheapest paths, or every one.
+
+        Edges without a weight (null or NaN) are no way; a negative weight is an error. Of several cheapest paths, those that
+        visit a node twice (by edges of weight 0) are left out. targets: the pairs (s, sl, t, tl) that are asked for, if
+        these are known; far: the ends (t, tl) that are asked for of every start. Nothing goes on that costs as much as the
+        dearest of these.
+        """
+        zero = self._weights()
+        keys, at = self.ends("s", "t"), self.ends("s")
+        if targets is not None:
+            targets = cut(targets.select(*keys).distinct())
+        elif far is not None:
+            far = cut(far.select(*self.ends("t")).distinct())
+            asked_for = far.count()
         best = cut(self.begin(starts).withColumn("new", F.lit(1)))
         now = best
         while True:
@@ -164,19 +187,36 @@ class Paths:
             # one exchange a round: what is known and what is found meet by key, and of equal costs the known stays
             best = cut(self._cheapest(best.withColumn("new", F.lit(0)).unionByName(found.withColumn("new", F.lit(1))), keys, "new", "len"))
             now = best.where("new = 1")
+            if targets is not None:
+                # a start goes on without bound until all of its targets are reached
+                reached = targets.join(best.select(*keys, "cost"), keys, "left")
+                bound = reached.groupBy(*at).agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("bound"))
+                now = now.join(bound, at).where("cost < bound").drop("bound")
+            elif far is not None:
+                reached = best.join(far, self.ends("t"), "left_semi").groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound")).where(F.col("n") == asked_for).drop("n")
+                now = now.join(reached, at, "left").where("bound is null or cost < bound").drop("bound")
             if now.isEmpty():
                 break
         best = best.drop("new")
         apart = (F.col("s") != F.col("t")) if self.one_label else (F.col("s") != F.col("t")) | (F.col("sl") != F.col("tl"))
+        if targets is not None:
+            asked = best.join(targets, keys, "left_semi").where(apart)
         if not every:
-            return best.where(apart)
+            return best.where(apart) if targets is None else asked
         # an edge is on a cheapest path if it closes the difference of its ends' costs
         cost = best.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("cost").alias("known"))
-        now, out = cut(self.begin(starts)), None
+        mark = F.col("t") if self.one_label else F.struct("t", "tl")
+        now, out = self.begin(starts), None
+        seen = ["visited"] if zero else []
+        now = cut(now.withColumn("visited", F.array(mark)) if zero else now)
         while True:
-            tight = self.hop(now).join(cost, [F.col(k) == F.col(f"k_{k}") for k in keys]).where(F.abs(F.col("cost") - F.col("known")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("known"))).drop("known", *[f"k_{k}" for k in keys])
+            tight = self.hop(now, seen).join(cost, [F.col(k) == F.col(f"k_{k}") for k in keys]).where(F.abs(F.col("cost") - F.col("known")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("known"))).drop("known", *[f"k_{k}" for k in keys])
+            tight = tight.where(~F.array_contains("visited", mark)).withColumn("visited", F.array_append("visited", mark)) if zero else tight
             now = cut(self.arrive(tight.where(apart)))
             if now.isEmpty():
                 break
             out = now if out is None else out.unionByName(now)
-        return best.limit(0) if out is None else out
+        if out is None:
+            return best.limit(0)
+        out = out.drop("visited")
+        return out if targets is None else out.join(targets, keys, "left_semi")

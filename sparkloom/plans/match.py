@@ -230,9 +230,12 @@ class Matcher:
         while rels or not set(pattern.nodes) <= bound:
             near = [r for r in rels if r.left in bound or r.right in bound]
             if near:
-                r = min(near, key=lambda r: (not (r.left in bound and r.right in bound), r.pattern.range is not None, -len(pattern.nodes[r.right if r.left in bound else r.left].tests), order.get(r.name, len(order))))
+                r = near[0] if len(near) == 1 else min(near, key=lambda r: (not (r.left in bound and r.right in bound), r.pattern.range is not None, order.get(r.name, len(order)), self.fan(pattern, r, bound)))
                 rels.remove(r)
-                frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
+                if live is not None and self.counted(frame, pattern, r, bound, rels, live | names_in(later)):
+                    frame = self.expand_degree(frame, pattern, r, bound)
+                else:
+                    frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
             else:
                 name = self.first(pattern, bound, rels)
                 r = self.first_edge(pattern, name, rels)
@@ -255,6 +258,22 @@ class Matcher:
             frame = self.name_path(frame, var, nodes, names)
         return self.filter(frame, later)
 
+    def fan(self, pattern: Pattern, r: Rel, bound: set[str]) -> float:
+        """About how many rows each row becomes by going along r from its bound end: edges a node, a tenth for each test of the other end."""
+        if r.left in bound and r.right in bound:
+            return 0.0
+        near, far = (pattern.nodes[n] for n in ((r.left, r.right) if r.left in bound else (r.right, r.left)))
+        outward = r.left in bound
+        graph, total = self.ctx.graph, 0
+        for t in r.tables:
+            for way in ("out", "in"):
+                forward = r.pattern.direction == "both" or (r.pattern.direction == way) == outward
+                a, b = (t.source, t.target) if way == "out" else (t.target, t.source)
+                if forward and a in near.labels and b in far.labels:
+                    total += graph.rows(t.df)
+        nodes = sum(graph.rows(graph.node(x).df) for x in near.labels)
+        return total / max(1, nodes) * 0.1 ** len(far.tests)
+
     def first(self, pattern: Pattern, bound: set[str], rels: list[Rel]) -> str:
         """The node to begin a component with: by key, else with a test, else the first."""
 
@@ -341,6 +360,29 @@ class Matcher:
             out = self.arrive(out, there, e.far, e.far_label, e.far_labels, e.far_kind)
         return self.filter(out, [t for t in r.tests if not names_in(t) <= {r.name}])
 
+    def counted(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], rels: list[Rel], read: set[str]) -> bool:
+        """Whether only the number of r's edges at each bound node matters: neither r nor its other end is read again, and nothing is tested."""
+        far = pattern.nodes[r.right if r.left in bound else r.left]
+        free = far.name not in bound and far.name not in {n for x in rels for n in (x.left, x.right)} and not {r.name, far.name} & read
+        plain = not any(n.tests for n in pattern.nodes.values()) and not any(x.tests for x in pattern.rels)
+        return r.pattern.range is None and free and plain and not pattern.named
+
+    def expand_degree(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str]) -> Frame:
+        """expand(), where the edges are counted by their near ends first: a row of the frame stays one, and its weight is multiplied."""
+        a, b = (r.left, r.right) if r.left in bound else (r.right, r.left)
+        way = r.pattern.direction if r.left in bound or r.pattern.direction == "both" else {"out": "in", "in": "out"}[r.pattern.direction]
+        var = frame.vars[a]
+        e = edges(self.ctx, r.name, r.tables, way, pattern.nodes[a].labels, pattern.nodes[b].labels)
+        n, weight = self.ctx.fresh("degree"), self.ctx.fresh("weight")
+        on = self.ctx.equal(F.col(var.key), var.kind, F.col(e.near), e.near_kind)
+        keys = [e.near]
+        if len(var.labels) > 1 or len(e.near_labels) > 1:
+            on &= F.col(var.label) == F.col(e.near_label)
+            keys.append(e.near_label)
+        degrees = e.df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+        df = frame.df.join(degrees, on).withColumn(weight, F.col(n) * (F.col(frame.weight) if frame.weight else F.lit(1)))
+        return replace(frame, df=df, weight=weight)
+
     # paths
     def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], counts: bool = False) -> Frame:
         ctx, spec = self.ctx, r.pattern.range
@@ -406,7 +448,7 @@ class Matcher:
         starts = frame.df.select(ctx.to(F.col(var.key), var.kind, kind).alias("s"), F.col(var.label).alias("sl")).where(F.col("s").isNotNull()).distinct()
         paths = Paths(replace(e, near_labels=near, far_labels=near), wanted, rel, node_of, node_test if node_tests else None, weight)
         if weight:
-            found = paths.weighted(starts, mode.startswith("all"))
+            found = paths.weighted(starts, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound, kind), self.far(pattern.nodes[b], kind))
         elif short:
             found = paths.shortest(starts, high, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound, kind))
         else:
@@ -442,6 +484,15 @@ class Matcher:
         end = found.vars[there.name]
         return starts.crossJoin(found.df.select(self.ctx.to(F.col(end.key), end.kind, kind).alias("t"), F.col(end.label).alias("tl")))  # a node a label at most
 
+    def far(self, there: Node, kind: str):
+        """The ends that a path's own tests pick; None if it has none."""
+        own = [t for t in there.tests if names_in(t) <= {there.name}]
+        if not own:
+            return None
+        found = self.scan(None, Node(there.name, there.labels, own))
+        end = found.vars[there.name]
+        return found.df.select(self.ctx.to(F.col(end.key), end.kind, kind).alias("t"), F.col(end.label).alias("tl"))
+
     def fixed(self, n: Node) -> bool:
         """Whether a test gives the node's key."""
         keys = {self.ctx.graph.node(x).key for x in n.labels}

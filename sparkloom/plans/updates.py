@@ -1,4 +1,8 @@
-"""CREATE, SET, DELETE and MERGE: each puts new tables in the place of the graph's."""
+"""CREATE, SET, DELETE and MERGE: each puts new tables in the place of the graph's.
+
+What is new or changed is written, not the table: few rows are joined to it by broadcast when it is read, and only many changes,
+or a large one, write it anew.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import EdgeTable
+from ..catalog import FEW, EdgeTable
 from ..cypher import ast as A
 from ..functions.expressions import Compiler
 from ..storage import cut
@@ -51,7 +55,7 @@ class Updates:
             again = new.groupBy(table.key).count().where("count > 1")
             if not again.isEmpty() or not new.join(table.df, table.key, "left_semi").isEmpty():
                 raise BindFault(f"a {table.label} of this key is there already")
-            self.graph.put_nodes(table.label, cut(table.df.unionByName(new)))
+            self.graph.put_nodes(table.label, table.df.unionByName(new), 0)
             key, label = self.ctx.fresh(f"{name}_key"), self.ctx.fresh(f"{name}_label")
             kind = self.ctx.kind((table.label,))
             columns = {key: compiled(given[table.key]).cast(kind), label: F.lit(table.label)}
@@ -71,7 +75,13 @@ class Updates:
             rows = ready.df.where((F.col(x.label) == t.source) & (F.col(y.label) == t.target) & F.col(x.key).isNotNull() & F.col(y.key).isNotNull())
             kinds = t.df.schema
             new = rows.select(F.col(x.key).cast(kinds[t.src].dataType).alias(t.src), F.col(y.key).cast(kinds[t.dst].dataType).alias(t.dst), *[(compiled(given[p]).cast(k) if p in given else self.graph.default(t.type, p, k)).alias(p) for p, k in t.properties.items()])
-            self.graph.put_edges(t, cut(t.df.unionByName(new)))
+            self.graph.put_edges(t, t.df.unionByName(cut(new)), 0)
+
+    @staticmethod
+    def few(df: DataFrame) -> tuple[DataFrame, int]:
+        """Written rows, to be broadcast if they are few; and their number."""
+        n = df.count()
+        return (F.broadcast(df) if n <= FEW else df), n
 
     def at(self, label: str, column: str, b: NodeVar):
         """Whether a table's column of the label's keys is the variable's key."""
@@ -97,7 +107,7 @@ class Updates:
         compiled = Compiler(self.ctx, frame)
         columns = {f"_set_{p}": compiled(e) for p, e in changes.items()}
         rows = frame.df.where(F.col(b.key).isNotNull()).select(F.col(b.key).alias("_key"), F.col(b.label).alias("_of"), *[c.alias(n) for n, c in columns.items()])
-        rows = cut(rows.groupBy("_key", "_of").agg(*[F.first(n).alias(n) for n in columns]))
+        rows, n_rows = self.few(cut(rows.groupBy("_key", "_of").agg(*[F.first(n).alias(n) for n in columns])))
         for label in b.labels:
             table = self.graph.node(label)
             if table.key in changes:
@@ -105,7 +115,7 @@ class Updates:
             if unknown := set(changes) - set(table.properties):
                 raise BindFault(f"{label} has no property {', '.join(sorted(unknown))}")
             joined = table.df.join(rows.where(F.col("_of") == label), self.at(label, table.key, b), "left")
-            self.graph.put_nodes(label, cut(joined.select(*[(F.when(F.col("_key").isNotNull(), F.col(f"_set_{p}").cast(k)).otherwise(F.col(f"`{p}`")) if p in changes else F.col(f"`{p}`")).alias(p) for p, k in table.properties.items()])))
+            self.graph.put_nodes(label, joined.select(*[(F.when(F.col("_key").isNotNull(), F.col(f"_set_{p}").cast(k)).otherwise(F.col(f"`{p}`")) if p in changes else F.col(f"`{p}`")).alias(p) for p, k in table.properties.items()]), n_rows)
 
     def edge_tables(self, b: RelVar) -> list[EdgeTable]:
         return [t for t in self.graph.edges.values() if t.source in b.ends[0] and t.target in b.ends[1]]
@@ -114,15 +124,13 @@ class Updates:
         compiled = Compiler(self.ctx, frame)
         columns = {f"_set_{p}": compiled(e) for p, e in changes.items()}
         rows = frame.df.where(F.col(b.eid).isNotNull()).select(F.col(b.eid).alias("_eid"), *[c.alias(n) for n, c in columns.items()])
-        rows = cut(rows.groupBy("_eid").agg(*[F.first(n).alias(n) for n in columns]))
+        rows, n_rows = self.few(cut(rows.groupBy("_eid").agg(F.lit(True).alias("_hit"), *[F.first(n).alias(n) for n in columns])))
         for t in self.edge_tables(b):
             if set(changes) - set(t.properties):
                 continue
             joined = self.with_id(t).join(rows, "_eid", "left")
-            hit = rows.select("_eid", F.lit(True).alias("_hit"))
-            joined = joined.join(hit, "_eid", "left")
             out = [(F.when(F.col("_hit"), F.col(f"_set_{f.name}").cast(f.dataType)).otherwise(F.col(f"`{f.name}`")) if f.name in changes else F.col(f"`{f.name}`")).alias(f.name) for f in t.df.schema]
-            self.graph.put_edges(t, cut(joined.select(*out)))
+            self.graph.put_edges(t, joined.select(*out), n_rows)
 
     @staticmethod
     def with_id(t: EdgeTable) -> DataFrame:
@@ -139,14 +147,14 @@ class Updates:
             raise BindFault("DETACH is for nodes")
         for v in rels:
             b = frame.vars[v]
-            gone = frame.df.select(F.col(b.eid).alias("_eid")).where("_eid is not null").distinct()
+            gone, n_gone = self.few(cut(frame.df.select(F.col(b.eid).alias("_eid")).where("_eid is not null").distinct()))
             for t in self.edge_tables(b):
-                self.graph.put_edges(t, cut(self.with_id(t).join(gone, "_eid", "left_anti").drop("_eid")))
+                self.graph.put_edges(t, self.with_id(t).join(gone, "_eid", "left_anti").drop("_eid"), n_gone)
         for v in nodes:
             b = frame.vars[v]
             for label in b.labels:
                 table = self.graph.node(label)
-                gone = cut(frame.df.where((F.col(b.label) == label) & F.col(b.key).isNotNull()).select(F.col(b.key).alias("_key")).distinct())
+                gone, n_gone = self.few(cut(frame.df.where((F.col(b.label) == label) & F.col(b.key).isNotNull()).select(F.col(b.key).alias("_key")).distinct()))
                 for t in list(self.graph.edges.values()):
                     for end, of in ((t.src, t.source), (t.dst, t.target)):
                         if of != label:
@@ -154,10 +162,10 @@ class Updates:
                         t = self.graph.edges[t.source, t.type, t.target]
                         on = self.at(of, end, b)
                         if c.detach:
-                            self.graph.put_edges(t, cut(t.df.join(gone, on, "left_anti")))
+                            self.graph.put_edges(t, t.df.join(gone, on, "left_anti"), n_gone)
                         elif not t.df.join(gone, on, "left_semi").isEmpty():
                             raise BindFault(f"a {label} to be deleted has {t.type} edges: DETACH DELETE")
-                self.graph.put_nodes(label, cut(table.df.join(gone, self.at(label, table.key, b), "left_anti")))
+                self.graph.put_nodes(label, table.df.join(gone, self.at(label, table.key, b), "left_anti"), n_gone)
         return frame
 
     # MERGE

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..catalog import CatalogFault, Graph
+from .bulk import load_graph
 
 #: People, programs, and who knows whom and made what, with weights.
 _PEOPLE = [(1, "marko", 29), (2, "vadas", 27), (4, "josh", 32), (6, "peter", 35)]
@@ -25,7 +26,10 @@ def modern_graph(spark: SparkSession) -> Graph:
 DATASETS = {"modern_graph": modern_graph}
 
 
-def load_dataset(spark: SparkSession, name: str) -> Graph:
+def load_dataset(spark: SparkSession, name: str, folder: str | None = None) -> Graph:
+    """A built-in data set; with a folder, the one whose graph.yaml (schema) and import.yaml (mappings of files) stand there."""
+    if folder is not None:
+        return load_graph(spark, f"{folder}/graph.yaml", f"{folder}/import.yaml")
     if name not in DATASETS:
-        raise CatalogFault(f"no data set {name}")
+        raise CatalogFault(f"no data set {name}: give the folder that holds its files")
     return DATASETS[name](spark)

@@ -298,3 +298,108 @@ def test_intervals():
     assert parse_interval("1year2months3days4hours5minutes6seconds") == Interval(14, 3, 14_706_000_000)
     with pytest.raises(ValueError):
         parse_interval("3 apples")
+
+
+def test_checkpoints_of_a_reopened_store(spark, tmp_path):
+    """Tables that are read from the store are checkpointed there again and again; what was read from the version before still can be."""
+    path = str(tmp_path / "store")
+    s = Session.open(spark, path)
+    s.execute("CREATE NODE TABLE p (id INT64, PRIMARY KEY (id))")
+    s.execute("CREATE REL TABLE k (FROM p TO p)")
+    for i in range(4):
+        s.execute(f"CREATE (a:p {{id: {i}}})-[:k]->(b:p {{id: {100 + i}}})")
+        s.execute("CHECKPOINT")
+        before = s.execute("MATCH (a:p)-[:k]->(b) RETURN a.id, b.id")
+        s.execute("CHECKPOINT")
+        assert before.count() == i + 1
+        s = Session.open(spark, path)
+        assert sorted(rows(s, "MATCH (a:p)-[:k]->(b) RETURN a.id, b.id")) == [(j, 100 + j) for j in range(i + 1)]
+    assert len([x for x in (tmp_path / "store").iterdir() if not x.name.startswith(".")]) == 2
+    s = Session.open(spark, path)
+    s.execute("CREATE (a:p {id: 50})")  # not checkpointed
+    assert rows(Session.open(spark, path), "MATCH (a:p) RETURN count(*)") == [(8,)]
+
+
+def weighted(spark, edges):
+    g = Graph(spark)
+    g.add_nodes("n", spark.range(6), "id")
+    g.add_edges("e", "n", "n", spark.createDataFrame(edges, "_src long, _dst long, w double"))
+    return Session(g)
+
+
+def test_edges_without_a_weight_are_no_way(spark):
+    s = weighted(spark, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, None), (0, 3, float("nan")), (2, 3, 4.0)])
+    assert rows(s, "MATCH (a:n {id: 0})-[p:e*WSHORTEST(w)]->(b:n) RETURN b.id, cost(p), length(p) ORDER BY b.id") == [(1, 1.0, 1), (2, 2.0, 2), (3, 6.0, 3)]
+    assert rows(weighted(spark, [(0, 1, None)]), "MATCH (a:n {id: 0})-[p:e*WSHORTEST(w)]->(b:n) RETURN b.id, cost(p)") == []
+
+
+def test_weights_of_zero_and_below(spark):
+    cycle = [(0, 1, 0.0), (1, 2, 0.0), (2, 0, 0.0), (2, 3, 1.0), (1, 3, 1.0), (0, 3, 1.0)]
+    s = weighted(spark, cycle)
+    assert rows(s, "MATCH (a:n {id: 0})-[p:e*WSHORTEST(w)]->(b:n) RETURN b.id, cost(p) ORDER BY b.id") == [(1, 0.0), (2, 0.0), (3, 1.0)]
+    assert rows(s, "MATCH (a:n {id: 0})-[p:e*ALL WSHORTEST(w)]->(b:n) RETURN b.id, cost(p), count(*) ORDER BY b.id") == [(1, 0.0, 1), (2, 0.0, 1), (3, 1.0, 3)]
+    with pytest.raises(ValueError, match="not negative"):
+        weighted(spark, [(0, 1, 1.0), (1, 0, -2.0)]).execute("MATCH (a:n {id: 0})-[p:e*WSHORTEST(w)]->(b:n) RETURN cost(p)")
+
+
+def test_weighted_search_ends_at_its_targets(spark, monkeypatch):
+    from sparkloom.operators import paths
+
+    g = Graph(spark)
+    g.add_nodes("n", spark.range(100), "id")
+    g.add_edges("e", "n", "n", spark.range(99).selectExpr("id AS _src", "id + 1 AS _dst", "1.0D AS w"))
+    hops = []
+    monkeypatch.setattr(paths.Paths, "hop", lambda self, *a, f=paths.Paths.hop, **k: (hops.append(1), f(self, *a, **k))[1])
+    s = Session(g)
+    assert rows(s, "MATCH (a:n {id: 3})-[p:e*WSHORTEST(w)]->(b:n {id: 6}) RETURN cost(p)") == [(3.0,)]
+    assert rows(s, "MATCH (a:n {id: 3})-[p:e*WSHORTEST(w)]->(b:n) WHERE b.id IN [5, 7] RETURN b.id, cost(p) ORDER BY b.id") == [(5, 2.0), (7, 4.0)]
+    assert len(hops) <= 8
+
+
+def test_many_small_changes(spark):
+    """Changes are kept beside the table and folded in after a while."""
+    s = modern(spark)
+    for i in range(20):
+        s.execute(f"CREATE (p:person {{id: {100 + i}, name: 'p', age: {i}}})")
+    s.execute("MATCH (a:person) WHERE a.id >= 110 SET a.age = a.age + 100")
+    s.execute("MATCH (a:person) WHERE a.id >= 115 DELETE a")
+    assert rows(s, "MATCH (a:person) WHERE a.id >= 100 RETURN count(*), sum(a.age)") == [(15, sum(range(10)) + sum(100 + i for i in range(10, 15)))]
+
+
+def test_copied_rows_of_one_key(spark, tmp_path):
+    """Of new rows with one key the least stays, whatever the order of the files; those that are there stay as they are."""
+    s = Session(Graph(spark))
+    s.execute("CREATE NODE TABLE p (id INT64, name STRING, PRIMARY KEY (id))")
+    (tmp_path / "a.csv").write_text("id,name\n1,z\n1,b\n2,c\n")
+    (tmp_path / "b.csv").write_text("id,name\n1,a\n2,a\n3,q\n3,p\n")
+    s.execute(f"COPY p FROM '{tmp_path}/a.csv' (header=true, delim=',')")
+    s.execute(f"COPY p FROM '{tmp_path}/b.csv' (header=true, delim=',')")
+    assert sorted(rows(s, "MATCH (a:p) RETURN a.id, a.name")) == [(1, "b"), (2, "c"), (3, "p")]
+
+
+def test_written_files(spark, s, tmp_path):
+    import json
+
+    s.execute(f"COPY (MATCH (a:person) RETURN a.id AS id, a.name AS name) TO '{tmp_path}/out.json'")
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "out.json").glob("part-*")]
+    assert sorted(r["id"] for part in parts for r in part) == [1, 2, 4, 6]
+    assert rows(s, f"LOAD FROM '{tmp_path}/out.json' RETURN count(*)") == [(4,)]
+    with pytest.raises(FileExistsError):
+        s.execute(f"COPY (MATCH (a:person) RETURN a.id AS id) TO '{tmp_path}/out.json' (overwrite = false)")
+    s.execute(f"COPY (MATCH (a:person) WHERE a.id > 10 RETURN a.id AS id) TO '{tmp_path}/none.json'")
+    assert [x for p in (tmp_path / "none.json").glob("part-*") for x in json.loads(p.read_text())] == []
+
+
+def test_degrees_are_multiplied(spark):
+    """Leaves of a star that nothing reads are counted, also both ways and over several types."""
+    g = Graph(spark)
+    g.add_nodes("n", spark.range(6), "id")
+    e = [(0, 1), (0, 2), (0, 2), (1, 2), (3, 0)]
+    g.add_edges("e", "n", "n", spark.createDataFrame(e, "_src long, _dst long"))
+    g.add_edges("f", "n", "n", spark.createDataFrame([(0, 4), (2, 5)], "_src long, _dst long"))
+    s = Session(g)
+    out = lambda k, es: [b for a, b in es if a == k]
+    f = [(0, 4), (2, 5)]
+    assert rows(s, "MATCH (a:n)-[:e]->(b:n), (a)-[:f]->(c:n), (a)<-[:e]-(d:n) RETURN count(*)") == [(sum(len(out(k, e)) * len(out(k, f)) * sum(b == k for _, b in e) for k in range(6)),)]
+    both = e + [(b, a) for a, b in e] + f + [(b, a) for a, b in f]
+    assert rows(s, "MATCH (a:n)-[:f]->(b:n), (a)-[]-(c:n) RETURN b.id, count(*) ORDER BY b.id") == [(b, len(out(a, both))) for a, b in f]
