@@ -179,6 +179,20 @@ class Paths:
             far = cut(far.select(*self.ends("t")).distinct())
             asked_for = far.count()
         best = cut(self.begin(starts).withColumn("new", F.lit(1)))
+
+        def going_on(best: DataFrame) -> DataFrame:
+            """What the last round found, but for what costs as much as all that is asked for."""
+            now = best.where("new = 1")
+            if targets is not None:
+                # a start goes on without bound until all of its targets are reached
+                reached = targets.join(best.select(*keys, "cost"), keys, "left")
+                bound = reached.groupBy(*at).agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("bound"))
+                return now.join(bound, at).where("cost < bound").drop("bound")
+            if far is not None:
+                reached = best.join(far, self.ends("t"), "left_semi").groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound")).where(F.col("n") == asked_for).drop("n")
+                return now.join(reached, at, "left").where("bound is null or cost < bound").drop("bound")
+            return now
+
         now = best
         while True:
             found = self.hop(now if self.node_test is None else self.node_test(now).union(now.where("len = 0")))
@@ -186,15 +200,7 @@ class Paths:
                 found = self.arrive(self._cheapest(found, keys, "len"))
             # one exchange a round: what is known and what is found meet by key, and of equal costs the known stays
             best = cut(self._cheapest(best.withColumn("new", F.lit(0)).unionByName(found.withColumn("new", F.lit(1))), keys, "new", "len"))
-            now = best.where("new = 1")
-            if targets is not None:
-                # a start goes on without bound until all of its targets are reached
-                reached = targets.join(best.select(*keys, "cost"), keys, "left")
-                bound = reached.groupBy(*at).agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("bound"))
-                now = now.join(bound, at).where("cost < bound").drop("bound")
-            elif far is not None:
-                reached = best.join(far, self.ends("t"), "left_semi").groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound")).where(F.col("n") == asked_for).drop("n")
-                now = now.join(reached, at, "left").where("bound is null or cost < bound").drop("bound")
+            now = going_on(best)
             if now.isEmpty():
                 break
         best = best.drop("new")
