@@ -44,6 +44,9 @@ _FORMATS = re.compile(
     r"|AIza[\w-]{35}|(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----",
     re.ASCII,
 )
+#: What texts with such keys, and texts with assignments (in lower case), hold. Others needn't be searched for them.
+_BEGINNINGS = ("gho_", "ghp_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "k_live_", "AIza", "eyJ", "-----BEGIN ")
+_KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ENTROPY = 3.0
 #: Owners from which on a value is an example.
 EXAMPLE_OWNERS = 3
@@ -51,7 +54,8 @@ EXAMPLE_OWNERS = 3
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the base spans, by start, then kind."""
-    found = [(m.start(), m.end(), 0, m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    low = text.lower()
+    found = [(m.start(), m.end(), 0, m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if any(w in low for w in _KEYWORDS) else []
     found += [(m.start(), m.end(), 1, m[0]) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, m[0]) for m in _HEX.finditer(text)]
     return [(a, b, KINDS[k], v) for a, b, k, v in sorted(found, key=lambda x: (x[0], x[2]))]
@@ -67,7 +71,8 @@ def _mixed(value: str) -> bool:
 def further_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Candidates beyond the base spans, none of which they overlap: known formats first, then mixed tokens."""
     taken, out = [(a, b) for a, b, _, _ in base], []
-    for found in ([m.span() for m in _FORMATS.finditer(text)], [m.span() for m in _TOKEN.finditer(text) if _mixed(m[0])]):
+    keys = [m.span() for m in _FORMATS.finditer(text)] if any(b in text for b in _BEGINNINGS) else []
+    for found in (keys, [m.span() for m in _TOKEN.finditer(text) if _mixed(m[0])]):
         new = [span for span, alone in zip(found, free(found, taken), strict=True) if alone]
         out += new
         taken = sorted(taken + new)
