@@ -51,6 +51,7 @@ PHRASES = ("my name is", "My name is", "Name:", "name:", "Signed,", "signed by",
 PARTICLES = frozenset("von van de del della da di du la le der den ter bin al".split())
 _GENDER = {name: g for g, names in GIVEN.items() for name in names.split()}
 _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
+_BEGINS = frozenset(_GENDER) | frozenset(_TITLE)
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -96,10 +97,18 @@ def script(word: str) -> str:
 
 def _persons(text: str) -> list[tuple[int, int, str, str]]:
     """The names of persons, a span a word, in order; then their parts that stand alone."""
-    announced = {m.end() for m in _PHRASE.finditer(text)}
+    announced = {m.end() for m in _PHRASE.finditer(text)} if any(p in text for p in PHRASES) else set()
     found: list[tuple[int, int, str, str]] = []
-    runs = [(m.start(), [(m.start() + p.start(1), p[1], bool(p[2])) for p in _PART.finditer(m[0]) if p[1]]) for m in _RUN.finditer(text)]
-    for _, words in runs:
+    spans = [m.span() for m in _RUN.finditer(text)]
+
+    def words_of(a: int, b: int) -> list[tuple[int, str, bool]]:
+        return [(p.start(1), p[1], bool(p[2])) for p in _PART.finditer(text, a, b) if p[1]]
+
+    for a, b in spans:
+        # a run of one word needs a phrase before it, a longer one a phrase, title or given name
+        if a not in announced and not (" " in (run := text[a:b]) and any(w.rstrip(".") in _BEGINS for w in run.split(" "))):
+            continue
+        words = words_of(a, b)
         k = 0
         while k < len(words):
             at, word, dotted = words[k]
@@ -123,7 +132,7 @@ def _persons(text: str) -> list[tuple[int, int, str, str]]:
     known = {value: kind for _, _, kind, value in reversed(found)}
     if known:
         seen = {a for a, _, _, _ in found}
-        found += [(a, a + len(w), known[w.lower()], w.lower()) for _, words in runs for a, w, _ in words if a not in seen and w.lower() in known]
+        found += [(a, a + len(w), known[w.lower()], w.lower()) for span in spans for a, w, _ in words_of(*span) if a not in seen and w.lower() in known]
     return sorted(found)
 
 
