@@ -25,11 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +76,7 @@ def canonical(word: str, names: bool = True) -> tuple[str, str, bool]:
 
 
 def _token_hash(token: str) -> int:
-    return int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
 @dataclass
