@@ -47,7 +47,7 @@ NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed values.
 _NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years km/h mph m/s % percent $ € £ dollar dollars cent cents euro euros".split())
-_ENDS = ".!?:;\n"
+_SPECIAL, _PLAIN = _NUMBERS | _UNITS, (False,) * 5
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,6 +116,13 @@ class _Lexicon:
         for k, word in enumerate((words[k] for k in new.tolist()), first):
             self.at[word] = k
             self.chars += len(word)
+            if word.islower() and word.isalpha() and word not in _SPECIAL:  # most words: they are their own token
+                h, own = _token_hash(word), (word, word, False)
+                self.words[0].append(own)
+                self.words[1].append(own)
+                hashes.append((h, h, h))
+                flags.append(_PLAIN)
+                continue
             token, value, ends = named = canonical(word)
             name = token == NAME
             slot = name or token == NUMBER or token == UNIT
