@@ -73,15 +73,18 @@ class Paths:
             return df
         return self.node_of(df).withColumn("nodes", F.concat("nodes", F.array("node"))).drop("node")
 
-    def walks(self, starts: DataFrame, low: int, high: int, mode: str, summed: bool = False) -> DataFrame:
+    def walks(self, starts: DataFrame, low: int, high: int, mode: str, summed: bool = False, merged: bool = False) -> DataFrame:
         """Walks of low to high edges; trails repeat no edge, acyclic ones no node.
 
         summed: walks of one length between two nodes are one row, with their number in `n`; so a hop makes no more rows
-        than there are pairs, however many walks there are.
+        than there are pairs, however many walks there are. merged: where they began doesn't matter either; starts says
+        in `n` how often each counts, and a hop makes no more rows than there are nodes.
         """
         seen = {"trail": "edges_seen", "acyclic": "nodes_seen"}.get(mode)
         now = self.begin(starts)
-        if summed:
+        if merged:
+            now = starts.select(F.lit(None).cast(starts.schema["s"].dataType).alias("s"), F.lit(None).cast("string").alias("sl"), F.col("s").alias("t"), F.col("sl").alias("tl"), F.lit(0).cast("long").alias("len"), "n")
+        elif summed:
             now = now.withColumn("n", F.lit(1).cast("long"))
         mark = F.struct("t", "tl") if not self.one_label else F.col("t")
         if mode == "trail":
@@ -93,7 +96,7 @@ class Paths:
             if n > 1 and self.node_test is not None:
                 now = self.node_test(now)
             now = self.hop(now, [seen] if seen else ["n"] if summed else [], mode == "trail")
-            if summed and n > 1:
+            if summed and (n > 1 or merged):
                 now = now.groupBy("s", "sl", "t", "tl", "len").agg(F.sum("n").alias("n"))
             if mode == "trail":
                 now = now.where(~F.array_contains(seen, F.col("eid"))).withColumn(seen, F.array_append(seen, F.col("eid"))).drop("eid")

@@ -235,7 +235,9 @@ class Matcher:
                 if live is not None and self.counted(frame, pattern, r, bound, rels, live | names_in(later)):
                     frame = self.expand_degree(frame, pattern, r, bound)
                 else:
-                    frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None)
+                    needed = (live or set()) | names_in(later) | {n for x in rels for n in (x.left, x.right)} | names_in([x.tests for x in (*rels, *pattern.nodes.values())])
+                    merged = live is not None and not pattern.named and not needed & set(frame.vars)
+                    frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None, merged)
             else:
                 name = self.first(pattern, bound, rels)
                 r = self.first_edge(pattern, name, rels)
@@ -384,7 +386,8 @@ class Matcher:
         return replace(frame, df=df, weight=weight)
 
     # paths
-    def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], counts: bool = False) -> Frame:
+    def expand_path(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], counts: bool = False, merged: bool = False) -> Frame:
+        """counts: only the number of rows matters besides what is read; merged: nothing of the frame is read."""
         ctx, spec = self.ctx, r.pattern.range
         forward = r.left in bound
         if not forward and ctx.uses.get(r.name, set()) & {"nodes", "rels", "relationships", "bare"}:
@@ -451,8 +454,13 @@ class Matcher:
             found = paths.weighted(starts, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound, kind), self.far(pattern.nodes[b], kind))
         elif short:
             found = paths.shortest(starts, high, mode.startswith("all"), self.targets(frame, starts, var, pattern.nodes[b], b in bound, kind))
+        elif merged := merged and counts and mode == "walk" and wanted == Wanted() and b not in bound:
+            n = F.count(F.lit(1)) if frame.weight is None else F.sum(frame.weight)
+            begun = frame.df.select(ctx.to(F.col(var.key), var.kind, kind).alias("s"), F.col(var.label).alias("sl"), *([F.col(frame.weight)] if frame.weight else [])).where(F.col("s").isNotNull()).groupBy("s", "sl").agg(n.alias("n"))
+            found = paths.walks(begun, spec.low, high, mode, True, True)
         else:
             found = paths.walks(starts, spec.low, high, mode, counts and mode == "walk" and wanted == Wanted())
+        merged = merged and not weight and not short
         if paths.one_label:
             found = found.withColumns({"sl": F.lit(near[0]), "tl": F.lit(near[0])})
         names = {c: ctx.fresh(f"{r.name}_{c}") for c in found.columns}
@@ -467,6 +475,8 @@ class Matcher:
             if not paths.one_label:
                 on &= F.col(other.label) == F.col(names["tl"])
         path = PathVar(names["len"], names.get("nodes"), names.get("rels"), names.get("cost"))
+        if merged:
+            return self.arrive(Frame(found, {r.name: path}, [], names["n"]), there, names["t"], names["tl"], near, kind)
         out = replace(frame, df=frame.df.join(found, on), vars=frame.vars | {r.name: path})
         if "n" in names:
             weight = ctx.fresh("weight")

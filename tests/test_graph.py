@@ -403,3 +403,23 @@ def test_degrees_are_multiplied(spark):
     assert rows(s, "MATCH (a:n)-[:e]->(b:n), (a)-[:f]->(c:n), (a)<-[:e]-(d:n) RETURN count(*)") == [(sum(len(out(k, e)) * len(out(k, f)) * sum(b == k for _, b in e) for k in range(6)),)]
     both = e + [(b, a) for a, b in e] + f + [(b, a) for a, b in f]
     assert rows(s, "MATCH (a:n)-[:f]->(b:n), (a)-[]-(c:n) RETURN b.id, count(*) ORDER BY b.id") == [(b, len(out(a, both))) for a, b in f]
+
+
+def test_walks_whose_start_is_not_read(spark):
+    """Counts of walks from all nodes, from several rows a node, with lengths, and with what goes on from their ends."""
+    g = Graph(spark)
+    e = [(0, 1), (0, 2), (1, 2), (2, 0), (2, 3), (3, 3), (4, 0)]
+    g.add_nodes("n", spark.range(6), "id")
+    g.add_edges("e", "n", "n", spark.createDataFrame(e, "_src long, _dst long"))
+    s = Session(g)
+    step = lambda ks: [b for k in ks for a, b in e if a == k]
+    levels = [list(range(6))]
+    for _ in range(5):
+        levels.append(step(levels[-1]))
+    assert rows(s, "MATCH (a:n)-[:e*5]->(b:n) RETURN count(*)") == [(len(levels[5]),)]
+    assert rows(s, "MATCH (a:n)-[p:e*0..4]->(b:n) RETURN length(p), count(*) ORDER BY length(p)") == [(k, len(levels[k])) for k in range(5)]
+    assert rows(s, "MATCH (a:n)-[:e*1..2]->(b:n) RETURN b.id, count(*) ORDER BY b.id") == [(k, (levels[1] + levels[2]).count(k)) for k in range(6) if k in levels[1] + levels[2]]
+    assert rows(s, "MATCH (x:n)-[:e]->(a:n)-[:e*2]->(b:n)-[:e]->(c:n) RETURN count(*)") == [(len(levels[4]),)]
+    assert rows(s, "MATCH (a:n)-[:e*2]->(b:n) WHERE a.id > 1 AND b.id < 3 RETURN count(*)") == [(sum(k < 3 for k in step(step([2, 3, 4, 5]))),)]
+    assert rows(s, "MATCH (a:n)-[:e*2]->(b:n) WHERE a.id < b.id RETURN count(*)") == [(sum(a < b for a in range(6) for b in step(step([a]))),)]
+    assert rows(s, "MATCH (a:n)-[:e*2]->(b:n) RETURN a.id, count(*) ORDER BY a.id") == [(a, len(step(step([a])))) for a in range(5)]
