@@ -12,8 +12,8 @@ slices are shuffled one after another, so that only one slice of the values is o
 and the number of its flips (10 bytes), packed by bucket.
 
 Two kinds of fingerprints are built. `shingles` weighs every 4-word shingle alike; texts that share four fifths of their
-5-word shingles mostly differ in more than 4 of its bits (6 to 9 in the test tables), so that it finds little beyond
-equal texts. `words` weighs every distinct word by 1 + ln(its count), in which such texts differ in 2 to 4 bits; keep_one() takes it.
+5-word shingles mostly differ in more than 4 of its bits (5 to 9 in the test tables), so that it finds little beyond
+equal texts. `words` weighs every distinct word by 1 + ln(its count), in which such texts differ in some 3 bits; keep_one() takes it.
 
 Joins on a component's root, which a third of all rows may share, are salted: the side with one row a root is
 repeated a few times, the other dealt by root and node.
