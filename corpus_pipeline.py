@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import mixing, repetition, shards, simhash, templates
 from sparkloom.llm._common import documents, shared_folder
+from sparkloom.storage import remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
+    """One document of each group of near duplicates (by fingerprints of weighted words), that of the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
@@ -53,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # nothing reads the stage before any more
+            remove(spark, f"{folder}/{k - 1}")
     return docs
