@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,9 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: later plans begin there, and lost executors cost nothing."""
+    """df, written to the shared folder: later plans begin there, and lost executors cost nothing.
+
+    Its statistics are of the rows that were written. checkpoint() keeps what Spark guessed before: of exploded or compressed
+    input too little, so that millions of edges went through the driver as broadcasts; of joins far too much.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    return _sized(df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True), seen.get["n"])
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpointed frame of so many rows, with statistics that say so."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    plan = df._jdf.queryExecution().analyzed()
+    size = rows * (8 + df._jdf.schema().defaultSize())
+    stats = spark.range(size // 8 + 1)._jdf.queryExecution().optimizedPlan().stats()  # of as many bytes: Python can't hold a Scala BigInt
+    sized = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, jvm.scala.Option.apply(stats), jvm.scala.Option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
 
 
 def _at(spark: SparkSession, path: str):
