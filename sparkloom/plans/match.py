@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from itertools import combinations, permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from ..cypher import ast as A
 from ..functions.expressions import Compiler
 from ..operators.expand import edges
 from ..operators.paths import Paths, Wanted
+from ..storage import cut
 from .frame import BindFault, Context, Frame, NodeVar, PathVar, RelVar, ValueVar, conjuncts, names_in, walk
 
+#: The name of an edge that is asked for once, however many stand between its ends.
+ONCE = "?once"
+
 
 @dataclass
 class Node:
@@ -165,13 +170,98 @@ class Matcher:
         return frame
 
     # MATCH
-    def match(self, frame: Frame | None, clause: A.Match, live: set[str] | None = None) -> Frame:
-        """live: the variables that are read later, where only the number of rows matters besides; None where all do."""
+    def match(self, frame: Frame | None, clause: A.Match, live: set[str] | None = None, total: bool = False) -> Frame:
+        """live: the variables that are read later, where only the number of rows matters besides; None where all do. total: that number is all that is asked for."""
         frame = self.rebound(frame, clause.paths)
         if clause.optional:
             return self.optional(frame, clause)
+        if total and frame is None and not clause.hint and not any(p.var for p in clause.paths):
+            tests = conjuncts(clause.where)
+            nodes = {n.var for p in clause.paths for n in p.nodes}
+            if tests and all({*(_apart(t) or ("?",))} <= nodes or self.closing(clause.paths, t) for t in tests):
+                return self.total(list(clause.paths), tests)
         return self.plan(frame, clause.paths, conjuncts(clause.where), clause.hint, live)
 
+    def closing(self, paths: list[A.PathPattern], test: A.Expr) -> list[A.PathPattern] | None:
+        """The paths with the edge that the test says is not there, if it would close a triangle; else None."""
+        sub = test.of if isinstance(test, A.Un) and test.op == "not" else None
+        if not isinstance(sub, A.Subquery) or sub.kind != "exists" or sub.where is not None or len(sub.paths) != 1 or len(sub.paths[0].rels) != 1 or sub.paths[0].var:
+            return None
+        path, r = sub.paths[0], sub.paths[0].rels[0]
+        known = {n.var for p in paths for n in p.nodes if n.var}
+        if r.var or any(n.var not in known or n.labels or n.props for n in path.nodes):
+            return None
+        closed = [*paths, replace(path, rels=(replace(r, var=ONCE),))]
+        pattern = build(self.ctx, None, closed)
+        found = self.triangle(pattern, {n.var for n in path.nodes})
+        return closed if found else None
+
+    def total(self, paths: list[A.PathPattern], tests: list[A.Expr]) -> Frame:
+        """match() where the number of rows is all that is asked for: a row of all that a test doesn't see, one of what it leaves out, as a negative weight.
+
+        So two ends that have to differ, or that no edge may join, are never listed as pairs: a hub has the square of its edges of these.
+        """
+        weight = self.ctx.fresh("weight")
+
+        def sum_of(frame: Frame, sign: int):
+            n = F.sum(frame.weight) if frame.weight else F.count(F.lit(1))
+            return frame.df.agg((F.lit(sign) * F.coalesce(n, F.lit(0))).cast("long").alias(weight))
+
+        if not tests:
+            return self.plan(None, paths, [], None, set())
+        t = next((t for t in tests if not _apart(t)), tests[0])
+        rest = [x for x in tests if x is not t]
+        if ends := _apart(t):
+            same = {ends[1]: ends[0]}
+            labels = build(self.ctx, None, paths).nodes
+            if not set(labels[ends[0]].labels) & set(labels[ends[1]].labels):
+                return self.total(paths, rest)
+            out = self.total([_rename_expr(p, same) for p in paths], [_rename_expr(x, same) for x in rest])
+        else:
+            out = self.plan(None, self.closing(paths, t), rest, None, set())
+        return Frame(sum_of(self.total(paths, rest), 1).unionAll(sum_of(out, -1)), {}, [], weight)
+
+    def triangle(self, pattern: Pattern, read: set[str]) -> list[Rel] | None:
+        """Three edges of one type, both ways, between three nodes of one label, of which nothing is read and nothing tested."""
+        fit = [r for r in pattern.rels if r.pattern.range is None and r.pattern.direction == "both" and not r.tests and r.name not in read and r.left != r.right and len(r.tables) == 1 and r.tables[0].source == r.tables[0].target]
+        once = [r for r in pattern.rels if r.name == ONCE]
+        for three in combinations(fit, 3):
+            if once and once[0] not in three:
+                continue
+            ends = {frozenset((r.left, r.right)) for r in three}
+            nodes = sorted({n for r in three for n in (r.left, r.right)})
+            if len(ends) == 3 and len(nodes) == 3 and len({id(r.tables[0]) for r in three}) == 1 and not pattern.named and not any(pattern.nodes[n].tests for n in nodes):
+                return list(three)
+        return None
+
+    def scan_triangle(self, pattern: Pattern, three: list[Rel]) -> Frame:
+        """The triangles of three edges, each from its end of fewest edges: a hub's pairs of neighbours are not listed."""
+        ctx, table = self.ctx, three[0].tables[0]
+        label = table.source
+        e = edges(ctx, three[0].name, [table], "both", (label,), (label,))
+        pairs = cut(e.df.where(F.col(e.near).isNotNull() & F.col(e.far).isNotNull()).groupBy(F.col(e.near).alias("u"), F.col(e.far).alias("v")).agg(F.count(F.lit(1)).alias("m")))
+        degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+        up = pairs.join(degree.selectExpr("u", "k AS ku"), "u").join(degree.selectExpr("u AS v", "k AS kv"), "v").where(F.struct("ku", "u") <= F.struct("kv", "v")).select("u", "v", "kv", "m")
+        up = cut(up)
+        wedges = up.join(up.selectExpr("u", "v AS w", "kv AS kw", "m AS uw"), "u").where(F.struct("kv", "v") <= F.struct("kw", "w"))
+        found = wedges.withColumnRenamed("m", "uv").join(pairs.selectExpr("u AS v", "v AS w", "m AS vw"), ["v", "w"])
+        a, b, c = sorted({n for r in three for n in (r.left, r.right)})
+        counts = {frozenset("uv"): "uv", frozenset("uw"): "uw", frozenset("vw"): "vw"}
+
+        def turned(x: str, y: str, z: str) -> Column:
+            """The triangle with its corners as a, b and c."""
+            at = {a: x, b: y, c: z}
+            n = F.lit(1).cast("long")
+            for r in three:
+                n = n if r.name == ONCE else n * F.col(counts[frozenset((at[r.left], at[r.right]))])
+            return F.struct(*[F.col(at[k]).alias(f"x{i}") for i, k in enumerate((a, b, c))], n.alias("n"))
+
+        kind, names, weight = ctx.kind([label]), [ctx.fresh("corner") for _ in range(3)], ctx.fresh("weight")
+        rows = found.select(F.explode(F.array_distinct(F.array(*[turned(*p) for p in permutations("uvw")]))).alias("x"))
+        label_name = ctx.fresh("label")
+        df = rows.select(*[F.col(f"x.x{i}").alias(x) for i, x in enumerate(names)], F.lit(label).alias(label_name), F.col("x.n").alias(weight))
+        return Frame(df, {n: NodeVar((label,), x, label_name, kind=kind) for n, x in zip((a, b, c), names, strict=True)}, [], weight)
+
     def summed(self, frame: Frame, live: set[str]) -> Frame:
         """The frame with a row for all rows that agree in the live variables, and their number as its weight.
 
@@ -227,6 +317,13 @@ class Matcher:
         rels = list(pattern.rels)
         order = {name: i for i, name in enumerate(hint or [])}
         rels.sort(key=lambda r: order.get(r.name, len(order)))
+        if live is not None and frame is None and not hint and (three := self.triangle(pattern, live | names_in(tests))):
+            frame = self.scan_triangle(pattern, three)
+            rels = [r for r in rels if r not in three]
+            bound |= set(frame.vars)
+            now = [t for t in later if names_in(t) <= bound]
+            later = [t for t in later if t not in now]
+            frame = self.filter(frame, now)
         while rels or not set(pattern.nodes) <= bound:
             near = [r for r in rels if r.left in bound or r.right in bound]
             if near:
@@ -607,6 +704,13 @@ class Matcher:
         return frame, expr
 
 
+def _apart(t: A.Expr) -> tuple[str, str] | None:
+    """The two nodes that the test tells apart by their ids."""
+    if isinstance(t, A.Bin) and t.op == "<>" and all(isinstance(x, A.Call) and x.name == "id" and len(x.args) == 1 and isinstance(x.args[0], A.Var) for x in (t.left, t.right)):
+        return t.left.args[0].name, t.right.args[0].name
+    return None
+
+
 def _rename(p: A.PathPattern, names: dict[str, str], labels: dict[str, tuple[str, ...]], ctx: Context) -> A.PathPattern:
     nodes = tuple(
         replace(n, var=names[n.var], labels=tuple(x for x in labels[n.var] if not n.labels or x in n.labels) or n.labels, props=tuple((k, _rename_expr(v, names)) for k, v in n.props)) if n.var in names else n for n in p.nodes

@@ -44,7 +44,7 @@ class Planner:
         returned = False
         for k, c in enumerate(clauses):
             if isinstance(c, A.Match):
-                frame = self.matcher.match(frame, c, _live(clauses[k + 1 :]))
+                frame = self.matcher.match(frame, c, _live(clauses[k + 1 :]), _total(clauses[k + 1 :]))
             else:
                 frame = getattr(self, "_" + type(c).__name__.lower())(frame, c)
             returned = isinstance(c, A.Return)
@@ -171,6 +171,12 @@ def _live(later: list[A.Clause]) -> set[str] | None:
     return None
 
 
+def _total(later: list[A.Clause]) -> bool:
+    """Whether all that is asked for is the number of rows."""
+    proj = later[0].proj if len(later) == 1 and isinstance(later[0], A.Return) else None
+    return proj is not None and not proj.star and not proj.order and proj.skip is None and proj.limit is None and all(isinstance(i.expr, A.CountStar) for i in proj.items)
+
+
 def _merged(a: dict[str, set[str]], b: dict[str, set[str]]) -> dict[str, set[str]]:
     return {k: a.get(k, set()) | b.get(k, set()) for k in {*a, *b}}
 

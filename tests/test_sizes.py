@@ -1,5 +1,7 @@
 """What plans at larger sizes depend on."""
 
+from sparkloom.catalog import Graph
+from sparkloom.session import Session
 from sparkloom.storage import cut
 
 
@@ -13,3 +15,41 @@ def test_statistics_of_what_was_written(spark):
     assert size(many) < 50_000 * 16 <= size(cut(many)) < 50_000 * 32
     assert size(cut(many.where("id < 0"))) < 100 and cut(many).count() == 50_000
     assert "Broadcast" not in spark.range(100_000_000).selectExpr("id AS x").join(cut(spark.range(40_000).selectExpr("id", "explode(sequence(1L, 30L)) AS x")), "x")._jdf.queryExecution().executedPlan().toString()
+
+
+def _friends(spark, edges):
+    g = Graph(spark)
+    g.add_nodes("person", spark.createDataFrame([(i,) for i in range(7)], "id long"), "id")
+    g.add_edges("knows", "person", "person", spark.createDataFrame(edges, "_src long, _dst long"))
+    return Session(g), [*edges, *[(d, s) for s, d in edges]]
+
+
+def test_triangles_by_degree(spark):
+    """Edges that are there twice, both ways or from a node to itself count as often as they are there, a closing edge that must be missing once."""
+    s, both = _friends(spark, [(0, 1), (0, 1), (1, 0), (1, 2), (2, 0), (0, 3), (0, 4), (0, 5), (3, 4), (4, 5), (5, 5), (6, 6), (2, 3), (2, 3)])
+    paths = [(a, b, d) for a, b in both for c, d in both if b == c]
+    closed = sum(both.count((c, a)) for a, _, c in paths)
+    assert s.execute("MATCH (a:person)-[:knows]-(b:person)-[:knows]-(c:person)-[:knows]-(a) RETURN count(*) AS n").first()[0] == closed
+    open_ = "NOT EXISTS { MATCH (a)-[:knows]-(c) }"
+    for where, kept in ((open_, lambda a, c: (a, c) not in both), (f"{open_} AND id(a) <> id(c)", lambda a, c: (a, c) not in both and a != c), ("id(a) <> id(c)", lambda a, c: a != c)):
+        assert s.execute(f"MATCH (a:person)-[:knows]-(b:person)-[:knows]-(c:person) WHERE {where} RETURN count(*) AS n").first()[0] == sum(kept(a, c) for a, _, c in paths)
+
+
+def test_hub_pairs_are_not_listed(spark):
+    """A node that everybody knows: no join makes a row for each pair of those."""
+    g = Graph(spark)
+    g.add_nodes("person", spark.range(2001), "id")
+    g.add_edges("knows", "person", "person", spark.range(1, 2001).selectExpr("id AS _src", "0L AS _dst"))
+    text = "MATCH (a:person)-[:knows]-(b:person)-[:knows]-(c:person) WHERE NOT EXISTS { MATCH (a)-[:knows]-(c) } AND id(a) <> id(c) RETURN count(*) AS n"
+    df = Session(g).execute(text)
+    assert df.first()[0] == 2000 * 1999
+
+    def most(plan):
+        node = plan.nodeName()
+        if node == "AdaptiveSparkPlan":
+            return most(plan.executedPlan())
+        found = [most(plan.children().apply(i)) for i in range(plan.children().size())] + ([most(plan.plan())] if "QueryStage" in node else [])
+        rows = plan.metrics().get("numOutputRows")
+        return max([*found, rows.get().value() if "Join" in node and rows.isDefined() else 0])
+
+    assert most(df._jdf.queryExecution().executedPlan()) < 100_000
