@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from itertools import combinations, permutations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import EdgeTable
 from ..cypher import ast as A
@@ -18,6 +19,8 @@ from .frame import BindFault, Context, Frame, NodeVar, PathVar, RelVar, ValueVar
 
 #: The name of an edge that is asked for once, however many stand between its ends.
 ONCE = "?once"
+#: Comparisons, and what they are with their sides exchanged.
+_TURNED = {"=": "=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 @dataclass
@@ -336,7 +339,15 @@ class Matcher:
                     merged = live is not None and not pattern.named and not needed & set(frame.vars)
                     frame = self.expand(frame, pattern, r, bound) if r.pattern.range is None else self.expand_path(frame, pattern, r, bound, live is not None, merged)
             else:
-                name = self.first(pattern, bound, rels)
+                ranges = {n: self.ranged(pattern, n, later, live) for n in pattern.nodes if n not in bound and live is not None and not pattern.named}
+                ranges = {n: x for n, x in ranges.items() if x}
+                plain = [n for n in pattern.nodes if n not in bound and n not in ranges]
+                if not plain and frame is not None and bound and (new := self.range_counted(frame, pattern.nodes[name := next(iter(ranges))], ranges[name])):
+                    frame = new
+                    later = [t for t in later if name not in names_in(t)]
+                    bound.add(name)
+                    continue
+                name = self.first(pattern, bound | (set(ranges) if plain else set()), rels)
                 r = self.first_edge(pattern, name, rels)
                 if r is None:
                     frame = self.scan(frame, pattern.nodes[name])
@@ -459,6 +470,47 @@ class Matcher:
             out = self.arrive(out, there, e.far, e.far_label, e.far_labels, e.far_kind)
         return self.filter(out, [t for t in r.tests if not names_in(t) <= {r.name}])
 
+    @staticmethod
+    def ranged(pattern: Pattern, name: str, later: list[A.Expr], live: set[str] | None) -> list[tuple[str, str, A.Expr]] | None:
+        """The tests of a node without edges that is only counted, as (operator, its property, what that is compared with): equal ones and one range; else None."""
+        tests = [t for t in later if name in names_in(t)]
+        if name in live or any(name in (r.left, r.right) for r in pattern.rels) or name in names_in([n.tests for n in pattern.nodes.values() if n.name != name]) or names_in(pattern.nodes[name].tests) - {name}:
+            return None
+        found = []
+        for t in tests:
+            if not isinstance(t, A.Bin) or t.op not in _TURNED or any(isinstance(x, A.Subquery) for x in walk(t)):
+                return None
+            op, own, other = (t.op, t.left, t.right) if name in names_in(t.left) else (_TURNED[t.op], t.right, t.left)
+            if not isinstance(own, A.Prop) or not isinstance(own.of, A.Var) or name in names_in(other) or len(names_in(other)) != 1:
+                return None
+            found.append((op, own.key, other))
+        return found if sum(op == "=" for op, _, _ in found) == len(found) - 1 > 0 else None
+
+    def range_counted(self, frame: Frame, node: Node, tests: list[tuple[str, str, A.Expr]]) -> Frame | None:
+        """The frame, each row with the number of nodes that it passes the tests with; None where the types differ.
+
+        Values of both sides are sorted together, of each key by itself, and counted as they come: no row is made for a pair.
+        """
+        ctx = self.ctx
+        tests = sorted(tests, key=lambda t: t[0] != "=")
+        frame = self.ready(frame, *[other for _, _, other in tests])
+        there = self.scan(None, node)
+        mine, theirs = Compiler(ctx, frame), Compiler(ctx, there)
+        names = [ctx.fresh("by") for _ in tests]
+        left = frame.df.withColumns({n: mine(other) for n, (_, _, other) in zip(names, tests, strict=True)}).dropna("any", subset=names)
+        right = there.df.select(*[theirs(A.Prop(A.Var(node.name), key)).alias(n) for n, (_, key, _) in zip(names, tests, strict=True)]).dropna("any")
+        if any(left.schema[n].dataType != right.schema[n].dataType or not isinstance(right.schema[n].dataType, T.AtomicType) for n in names) or any(isinstance(right.schema[n].dataType, (T.FloatType, T.DoubleType)) for n in names[:-1]):
+            return None
+        op, (*keys, value), n, side, weight = tests[-1][0], names, ctx.fresh("n"), ctx.fresh("side"), ctx.fresh("weight")
+        counts = right.groupBy(*names).agg(F.count(F.lit(1)).alias(n)).withColumn(side, F.lit(op in ("<", ">")))
+        points = left.select(*names).distinct().select(*names, F.lit(0).cast("long").alias(n), F.lit(op in ("<=", ">=")).alias(side))
+        order = F.col(value).asc() if op in ("<", "<=") else F.col(value).desc()
+        so_far = Window.partitionBy(*keys).orderBy(order, F.col(side)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = points.unionAll(counts).withColumn(weight, F.sum(n).over(so_far))
+        found = both.where((F.col(side) == (op in ("<=", ">="))) & (F.col(weight) > 0)).select(*names, F.col(weight).alias(n))
+        df = left.join(found, names).withColumn(weight, F.col(n) * (F.col(frame.weight) if frame.weight else F.lit(1))).drop(*names, n)
+        return replace(frame, df=df, weight=weight)
+
     def counted(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], rels: list[Rel], read: set[str]) -> bool:
         """Whether only the number of r's edges at each bound node matters: neither r nor its other end is read again, and nothing is tested."""
         far = pattern.nodes[r.right if r.left in bound else r.left]

@@ -1,5 +1,9 @@
 """What plans at larger sizes depend on."""
 
+import operator
+
+import pytest
+
 from sparkloom.catalog import Graph
 from sparkloom.session import Session
 from sparkloom.storage import cut
@@ -67,3 +71,16 @@ def test_triangles_of_a_hub(spark):
     g.add_edges("knows", "person", "person", spark.range(1, 2001).selectExpr("id AS _src", "explode(array(0L, id % 2000 + 1)) AS _dst"))
     df = Session(g).execute("MATCH (a:person)-[:knows]-(b:person)-[:knows]-(c:person)-[:knows]-(a) RETURN count(*) AS n")
     assert df.first()[0] == 2000 * 6 and _most(df) < 100_000
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_ranges_are_counted(spark, op):
+    """Nodes that are only counted within a range: equal values, doubles, nulls and keys of one side only, and no row a pair."""
+    few, many = [(0, 1, 2.0), (1, 1, 5.0), (2, 2, 5.0), (3, None, 1.0), (4, 1, None), (5, 3, 0.0), (6, 1, 2.0)], [(i, i % 2 + 1, float(i % 7)) for i in range(3000)] + [(3000, None, 1.0), (3001, 1, None), (3002, 9, 1.0)]
+    g = Graph(spark)
+    g.add_nodes("few", spark.createDataFrame(few, "id long, k int, v double"), "id")
+    g.add_nodes("many", spark.createDataFrame(many, "id long, k int, v double"), "id")
+    df = Session(g).execute(f"MATCH (m:many), (f:few) WHERE m.k = f.k AND m.v {op} f.v RETURN f.id AS id, count(*) AS n")
+    hold = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    wanted = {i: n for i, k, v in few if k and v is not None and (n := sum(y == k and z is not None and hold(z, v) for _, y, z in many))}
+    assert {r.id: r.n for r in df.collect()} == wanted and _most(df) < 100
