@@ -2,7 +2,8 @@
 
 All begin at a set of distinct starts (s, sl: key and label) and give a row a path: s, sl, t, tl, len and, where asked
 for, the arrays nodes and rels and the cost. Loops whose number of rounds depends on the data cut their lineage each
-round.
+round. What is joined by several keys each round is not broadcast (the hint): Spark takes 64 MB for such a table, however
+small.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ class Paths:
         for n in range(1, high + 1):
             if n > 1 and self.node_test is not None:
                 now = self.node_test(now)
-            found = self.hop(now).join(visited, keys, "left_anti")
+            found = self.hop(now).join(visited.hint("merge"), keys, "left_anti")
             if not every:
                 rest = [c for c in found.columns if c not in keys]
                 found = found.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*")
@@ -139,7 +140,7 @@ class Paths:
             levels.append(now)
             visited = visited.union(now.select(*keys))
             if targets is not None:
-                targets = cut(targets.join(now.select(*keys).distinct(), keys, "left_anti"))
+                targets = cut(targets.join(now.select(*keys).distinct().hint("merge"), keys, "left_anti"))
                 if targets.isEmpty():
                     break
                 now = now.join(targets.select(*self.ends("s")).distinct(), self.ends("s"), "left_semi")
@@ -188,7 +189,7 @@ class Paths:
             now = best.where("new = 1")
             if targets is not None:
                 # a start goes on without bound until all of its targets are reached
-                reached = targets.join(best.select(*keys, "cost"), keys, "left")
+                reached = targets.join(best.select(*keys, "cost").hint("merge"), keys, "left")
                 bound = reached.groupBy(*at).agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("bound"))
                 return now.join(bound, at).where("cost < bound").drop("bound")
             if far is not None:
@@ -213,7 +214,7 @@ class Paths:
         if not every:
             return best.where(apart) if targets is None else asked
         # an edge is on a cheapest path if it closes the difference of its ends' costs
-        cost = best.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("cost").alias("known"))
+        cost = best.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("cost").alias("known")).hint("merge")
         mark = F.col("t") if self.one_label else F.struct("t", "tl")
         now, out = self.begin(starts), None
         seen = ["visited"] if zero else []

@@ -5,6 +5,7 @@ import operator
 import pytest
 
 from sparkloom.catalog import Graph
+from sparkloom.operators import paths
 from sparkloom.session import Session
 from sparkloom.storage import cut
 
@@ -84,3 +85,13 @@ def test_ranges_are_counted(spark, op):
     hold = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
     wanted = {i: n for i, k, v in few if k and v is not None and (n := sum(y == k and z is not None and hold(z, v) for _, y, z in many))}
     assert {r.id: r.n for r in df.collect()} == wanted and _most(df) < 100
+
+
+def test_rounds_broadcast_no_pairs(spark, monkeypatch):
+    """Joins by start and end, a round each: Spark takes 64 MB for a broadcast of several keys."""
+    plans = []
+    whole = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df))[1])
+    s, _ = _friends(spark, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4)])
+    assert s.execute("MATCH (a:person {id: 0})-[p:knows*SHORTEST 1..6]->(b:person) RETURN count(*) AS n").first()[0] == 4
+    assert sum("LeftAnti" in p for p in plans) > 1 and not any("BroadcastHashJoin" in x and "LeftAnti" in x for p in plans for x in p.splitlines())
