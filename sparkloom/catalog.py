@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import cut, exists, names, remove
+from .storage import cut, exists, names, remove, unpacked
 from .types import default_column
 
 
@@ -72,6 +72,8 @@ class Graph:
     changes: dict[Any, int] = field(default_factory=dict)
     #: Rows of tables that have been counted, by the data frame's identity (which is held, so that it stays its own).
     counted: dict[int, tuple[DataFrame, int]] = field(default_factory=dict)
+    #: Files whose size in memory is known.
+    files: set[str] = field(default_factory=set)
 
     def rows(self, df: DataFrame) -> int:
         """The number of rows of a table, counted once (Parquet files state it)."""
@@ -92,6 +94,7 @@ class Graph:
             raise CatalogFault(f"{label} is there already")
         if key not in df.columns:
             raise CatalogFault(f"{label} has no column {key}")
+        unpacked(df, self.files)
         self.nodes[label] = NodeTable(label, key, df)
         return self
 
@@ -102,6 +105,7 @@ class Graph:
         self.node(source), self.node(target)
         if {src, dst} - set(df.columns):
             raise CatalogFault(f"{type_} has no columns {src} and {dst}")
+        unpacked(df, self.files)
         self.edges[source, type_, target] = EdgeTable(type_, source, target, df, src, dst)
         return self
 

@@ -22,6 +22,25 @@ def test_statistics_of_what_was_written(spark):
     assert "Broadcast" not in spark.range(100_000_000).selectExpr("id AS x").join(cut(spark.range(40_000).selectExpr("id", "explode(sequence(1L, 30L)) AS x")), "x")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_are_as_large_as_their_rows(spark, tmp_path):
+    """Columns that repeat take little room in a file: what is joined with a path's nodes is planned by its rows."""
+    spark.range(200_000).selectExpr("id", "id div 2 AS up", "'the same' AS name").write.parquet(str(tmp_path / "part"))
+    part = spark.read.parquet(str(tmp_path / "part"))
+    factor, limit = "spark.sql.sources.fileCompressionFactor", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3000000")
+    try:
+        g = Graph(spark)
+        g.add_nodes("part", part, "id")
+        g.add_edges("parent", "part", "part", part.where("id > 0").selectExpr("id AS _src", "up AS _dst"))
+        df = Session(g).execute("MATCH (a:part)-[p:parent*1..2]->(b:part) RETURN b.id AS b, length(p) AS n, properties(nodes(p), 'name') AS s")
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 199_999 + 199_998
+    finally:
+        spark.conf.set(limit, before)
+        spark.conf.unset(factor)
+
+
 def _most(df):
     """The most rows that a join of the plan that ran has made."""
 
