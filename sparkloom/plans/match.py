@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from itertools import combinations, permutations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,11 +173,11 @@ class Matcher:
         return frame
 
     # MATCH
-    def match(self, frame: Frame | None, clause: A.Match, live: set[str] | None = None, total: bool = False) -> Frame:
-        """live: the variables that are read later, where only the number of rows matters besides; None where all do. total: that number is all that is asked for."""
+    def match(self, frame: Frame | None, clause: A.Match, live: set[str] | None = None, total: bool = False, read: set[str] | None = None) -> Frame:
+        """live: the variables that are read later, where only the number of rows matters besides; None where all do. total: that number is all that is asked for. read: those of the live ones that are read otherwise than in count(), where a projection comes next."""
         frame = self.rebound(frame, clause.paths)
         if clause.optional:
-            return self.optional(frame, clause)
+            return self.optional(frame, clause, read)
         if total and frame is None and not clause.hint and not any(p.var for p in clause.paths):
             tests = conjuncts(clause.where)
             nodes = {n.var for p in clause.paths for n in p.nodes}
@@ -501,16 +501,53 @@ class Matcher:
         right = there.df.select(*[theirs(A.Prop(A.Var(node.name), key)).alias(n) for n, (_, key, _) in zip(names, tests, strict=True)]).dropna("any")
         if any(left.schema[n].dataType != right.schema[n].dataType or not isinstance(right.schema[n].dataType, T.AtomicType) for n in names) or any(isinstance(right.schema[n].dataType, (T.FloatType, T.DoubleType)) for n in names[:-1]):
             return None
-        op, (*keys, value), n, side, weight = tests[-1][0], names, ctx.fresh("n"), ctx.fresh("side"), ctx.fresh("weight")
-        counts = right.groupBy(*names).agg(F.count(F.lit(1)).alias(n)).withColumn(side, F.lit(op in ("<", ">")))
-        points = left.select(*names).distinct().select(*names, F.lit(0).cast("long").alias(n), F.lit(op in ("<=", ">=")).alias(side))
-        order = F.col(value).asc() if op in ("<", "<=") else F.col(value).desc()
-        so_far = Window.partitionBy(*keys).orderBy(order, F.col(side)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = points.unionAll(counts).withColumn(weight, F.sum(n).over(so_far))
-        found = both.where((F.col(side) == (op in ("<=", ">="))) & (F.col(weight) > 0)).select(*names, F.col(weight).alias(n))
+        n, weight = ctx.fresh("n"), ctx.fresh("weight")
+        found = self.so_far(left, right.groupBy(*names).agg(F.count(F.lit(1)).alias(n)), names, n, tests[-1][0])
         df = left.join(found, names).withColumn(weight, F.col(n) * (F.col(frame.weight) if frame.weight else F.lit(1))).drop(*names, n)
         return replace(frame, df=df, weight=weight)
 
+    def so_far(self, left: DataFrame, counts: DataFrame, names: list[str], n: str, op: str) -> DataFrame:
+        """Of left's values of `names`, keys and a value last: the sum of the counts n of equal keys whose value stands in op to it, where there are any."""
+        (*keys, value), side, weight = names, self.ctx.fresh("side"), self.ctx.fresh("weight")
+        counts = counts.select(*names, n, F.lit(op in ("<", ">")).alias(side))
+        points = left.select(*names).distinct().select(*names, F.lit(0).cast("long").alias(n), F.lit(op in ("<=", ">=")).alias(side))
+        order = F.col(value).asc() if op in ("<", "<=") else F.col(value).desc()
+        window = Window.partitionBy(*keys).orderBy(order, F.col(side)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = points.unionAll(counts).withColumn(weight, F.sum(n).over(window))
+        return both.where((F.col(side) == (op in ("<=", ">="))) & (F.col(weight) > 0)).select(*names, F.col(weight).alias(n))
+
+    def optional_counted(self, frame: Frame, found: Frame, alone: dict[str, str], test: A.Expr, read: set[str]) -> Frame | None:
+        """optional(), each row once with the number of what it finds by equal nodes and one range; None where it is no such test or more is read than how many there are.
+
+        read: the variables that are read later otherwise than in count().
+        """
+        ctx = self.ctx
+        new = {k: v for k, v in found.vars.items() if k not in alone.values() and k not in frame.vars}
+        pairs = [(frame.vars[v], found.vars[w]) for v, w in alone.items()]
+        if not pairs or any(len(b.labels) > 1 for p in pairs for b in p) or any(x.kind != y.kind for x, y in pairs) or set(new) & read or any(not k.startswith("?") and not (isinstance(b, NodeVar) and len(b.labels) == 1) for k, b in new.items()):
+            return None
+        if not isinstance(test, A.Bin) or test.op not in _TURNED or test.op == "=" or any(isinstance(x, A.Subquery) for x in walk(test)):
+            return None
+        op, own, other = (test.op, test.left, test.right) if names_in(test.left) <= set(new) else (_TURNED[test.op], test.right, test.left)
+        if not names_in(own) or not names_in(own) <= set(new) or names_in(other) & set(found.vars):
+            return None
+        names = [ctx.fresh("by") for _ in range(len(pairs) + 1)]
+        left = frame.df.withColumns({c: e for c, e in zip(names, [*(F.col(x.key) for x, _ in pairs), Compiler(ctx, frame)(other)], strict=True)})
+        right = found.df.withColumns({c: e for c, e in zip(names, [*(F.col(y.key) for _, y in pairs), Compiler(ctx, found)(own)], strict=True)}).dropna("any", subset=names)
+        if left.schema[names[-1]].dataType != right.schema[names[-1]].dataType or not isinstance(right.schema[names[-1]].dataType, T.AtomicType):
+            return None
+        n, weight = ctx.fresh("n"), ctx.fresh("weight")
+        counts = right.groupBy(*names).agg((F.sum(found.weight) if found.weight else F.count(F.lit(1))).alias(n))
+        df = left.join(self.so_far(left.dropna("any", subset=names), counts, names, n, op), names, "left")
+        # a row that finds nothing stays, once; of what is found only that it is there is known
+        df, bound = df.withColumn(weight, F.coalesce(F.col(n), F.lit(1)) * (F.col(frame.weight) if frame.weight else F.lit(1))), {}
+        for k, b in new.items():
+            if isinstance(b, NodeVar) and len(b.labels) == 1:
+                key, label = ctx.fresh(k), ctx.fresh(k)
+                df = df.withColumns({key: F.when(F.col(n).isNotNull(), F.lit(0).cast(b.kind)), label: F.when(F.col(n).isNotNull(), F.lit(b.labels[0]))})
+                bound[k] = replace(b, key=key, label=label, props=None)
+        return replace(frame, df=df.drop(*names, n), vars=frame.vars | bound, weight=weight)
+
     def counted(self, frame: Frame, pattern: Pattern, r: Rel, bound: set[str], rels: list[Rel], read: set[str]) -> bool:
         """Whether only the number of r's edges at each bound node matters: neither r nor its other end is read again, and nothing is tested."""
         far = pattern.nodes[r.right if r.left in bound else r.left]
@@ -702,7 +739,7 @@ class Matcher:
                 on.append(F.col(x.label) == F.col(y.label))
         return found, on, both, alone
 
-    def optional(self, frame: Frame | None, clause: A.Match) -> Frame:
+    def optional(self, frame: Frame | None, clause: A.Match, read: set[str] | None = None) -> Frame:
         ctx = self.ctx
         if frame is None:  # a query that begins with OPTIONAL MATCH has at least one row
             one = Frame(ctx.spark.range(1).select(F.lit(True).alias(ctx.fresh("one"))))
@@ -710,6 +747,8 @@ class Matcher:
         found, on, both, alone = self.inner(frame, tuple(clause.paths), clause.where)
         for t in both:
             frame, found = self._ready_both(frame, found, t)
+        if read is not None and len(both) == 1 and (out := self.optional_counted(frame, found, alone, both[0], read)):
+            return out
         joined = Frame(frame.df, frame.vars | found.vars)
         condition = self._all([*on, *[Compiler(ctx, joined)(t) for t in both]])
         df = frame.df.join(found.df, condition, "left")

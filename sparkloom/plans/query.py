@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..cypher import ast as A
 from ..functions.expressions import Compiler
 from ..sources import files
-from .frame import BindFault, Context, Frame, ValueVar, conjuncts, names_in, uses
+from .frame import BindFault, Context, Frame, ValueVar, conjuncts, names_in, uses, walk
 from .project import Projector, counts_only
 from .updates import Updates
 
@@ -44,7 +45,7 @@ class Planner:
         returned = False
         for k, c in enumerate(clauses):
             if isinstance(c, A.Match):
-                frame = self.matcher.match(frame, c, _live(clauses[k + 1 :]), _total(clauses[k + 1 :]))
+                frame = self.matcher.match(frame, c, _live(clauses[k + 1 :]), _total(clauses[k + 1 :]), _read(clauses[k + 1 :]))
             else:
                 frame = getattr(self, "_" + type(c).__name__.lower())(frame, c)
             returned = isinstance(c, A.Return)
@@ -171,6 +172,17 @@ def _live(later: list[A.Clause]) -> set[str] | None:
     return None
 
 
+def _read(later: list[A.Clause]) -> set[str] | None:
+    """The variables that the projection which comes next reads otherwise than as count(variable), if it only counts; else None."""
+    c = later[0] if later else None
+    if not isinstance(c, (A.With, A.Return)) or not counts_only(c.proj):
+        return None
+    trees = [[i.expr for i in c.proj.items], c.proj.order, c.proj.skip, c.proj.limit]
+    seen = Counter(x.name for x in walk(trees) if isinstance(x, A.Var))
+    counted = Counter(x.args[0].name for x in walk(trees) if isinstance(x, A.Call) and x.name == "count" and not x.distinct and len(x.args) == 1 and isinstance(x.args[0], A.Var))
+    return names_in(trees) - {v for v, n in counted.items() if seen[v] == n}
+
+
 def _total(later: list[A.Clause]) -> bool:
     """Whether all that is asked for is the number of rows."""
     proj = later[0].proj if len(later) == 1 and isinstance(later[0], A.Return) else None

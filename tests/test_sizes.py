@@ -106,6 +106,26 @@ def test_ranges_are_counted(spark, op):
     assert {r.id: r.n for r in df.collect()} == wanted and _most(df) < 100
 
 
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_optional_ranges_are_counted(spark, op):
+    """Optional nodes of which only the number is asked for, within a range: rows that find none stay, and no row is made for a pair."""
+    few, many = [(0, 1, 2.0), (1, 1, 5.0), (2, 2, 5.0), (3, None, 1.0), (4, 1, None), (5, 3, 0.0), (6, 1, 2.0), *[(i, 1, 3.0) for i in range(10, 60)]], [(i, i % 2 + 1, float(i % 7)) for i in range(3000)] + [(3000, None, 1.0), (3001, 1, None), (3002, 9, 1.0)]
+    g = Graph(spark)
+    g.add_nodes("few", spark.createDataFrame(few, "id long, k int, v double"), "id")
+    g.add_nodes("many", spark.createDataFrame(many, "id long, k int, v double"), "id")
+    g.add_nodes("at", spark.range(4), "id")
+    g.add_edges("few_at", "few", "at", spark.createDataFrame([(i, k) for i, k, _ in few if k], "_src long, _dst long"))
+    g.add_edges("many_at", "many", "at", spark.createDataFrame([(i, k) for i, k, _ in many if k and k < 4], "_src long, _dst long"))
+    hold = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    wanted = {i: sum(y == k and z is not None and v is not None and hold(z, v) for _, y, z in many) for i, k, v in few if k}
+    text = f"MATCH (f:few)-[:few_at]->(a:at) OPTIONAL MATCH (m:many)-[:many_at]->(a) WHERE m.v {op} f.v RETURN f.id AS id, count(m) AS n, count(*) AS rows"
+    df = Session(g).execute(text)
+    assert {r.id: (r.n, r.rows) for r in df.collect()} == {i: (n, max(n, 1)) for i, n in wanted.items()} and _most(df) < 4000
+    # what is read of the nodes themselves needs them
+    found = Session(g).execute(text.replace("count(m) AS n", "count(m) AS n, max(m.id) AS most, count(DISTINCT m) AS d")).collect()
+    assert {r.id: (r.n, r.d, r.rows) for r in found} == {i: (n, n, max(n, 1)) for i, n in wanted.items()}
+
+
 def test_rounds_broadcast_no_pairs(spark, monkeypatch):
     """Joins by start and end, a round each: Spark takes 64 MB for a broadcast of several keys."""
     plans = []
