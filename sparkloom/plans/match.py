@@ -497,8 +497,8 @@ class Matcher:
         there = self.scan(None, node)
         mine, theirs = Compiler(ctx, frame), Compiler(ctx, there)
         names = [ctx.fresh("by") for _ in tests]
-        left = frame.df.withColumns({n: mine(other) for n, (_, _, other) in zip(names, tests, strict=True)}).dropna("any", subset=names)
-        right = there.df.select(*[theirs(A.Prop(A.Var(node.name), key)).alias(n) for n, (_, key, _) in zip(names, tests, strict=True)]).dropna("any")
+        left = frame.df.withColumns({n: mine(other) for n, (_, _, other) in zip(names, tests, strict=True)}).where(_present(names))
+        right = there.df.select(*[theirs(A.Prop(A.Var(node.name), key)).alias(n) for n, (_, key, _) in zip(names, tests, strict=True)]).where(_present(names))
         if any(left.schema[n].dataType != right.schema[n].dataType or not isinstance(right.schema[n].dataType, T.AtomicType) for n in names) or any(isinstance(right.schema[n].dataType, (T.FloatType, T.DoubleType)) for n in names[:-1]):
             return None
         n, weight = ctx.fresh("n"), ctx.fresh("weight")
@@ -533,12 +533,12 @@ class Matcher:
             return None
         names = [ctx.fresh("by") for _ in range(len(pairs) + 1)]
         left = frame.df.withColumns({c: e for c, e in zip(names, [*(F.col(x.key) for x, _ in pairs), Compiler(ctx, frame)(other)], strict=True)})
-        right = found.df.withColumns({c: e for c, e in zip(names, [*(F.col(y.key) for _, y in pairs), Compiler(ctx, found)(own)], strict=True)}).dropna("any", subset=names)
+        right = found.df.withColumns({c: e for c, e in zip(names, [*(F.col(y.key) for _, y in pairs), Compiler(ctx, found)(own)], strict=True)}).where(_present(names))
         if left.schema[names[-1]].dataType != right.schema[names[-1]].dataType or not isinstance(right.schema[names[-1]].dataType, T.AtomicType):
             return None
         n, weight = ctx.fresh("n"), ctx.fresh("weight")
         counts = right.groupBy(*names).agg((F.sum(found.weight) if found.weight else F.count(F.lit(1))).alias(n))
-        df = left.join(self.so_far(left.dropna("any", subset=names), counts, names, n, op), names, "left")
+        df = left.join(self.so_far(left.where(_present(names)), counts, names, n, op), names, "left")
         # a row that finds nothing stays, once; of what is found only that it is there is known
         df, bound = df.withColumn(weight, F.coalesce(F.col(n), F.lit(1)) * (F.col(frame.weight) if frame.weight else F.lit(1))), {}
         for k, b in new.items():
@@ -795,6 +795,11 @@ class Matcher:
         return frame, expr
 
 
+def _present(names: list[str]) -> Column:
+    """That no column is null. dropna() would leave out NaN too, which is a number above all others."""
+    return Matcher._all([F.col(c).isNotNull() for c in names])
+
+
 def _apart(t: A.Expr) -> tuple[str, str] | None:
     """The two nodes that the test tells apart by their ids."""
     if isinstance(t, A.Bin) and t.op == "<>" and all(isinstance(x, A.Call) and x.name == "id" and len(x.args) == 1 and isinstance(x.args[0], A.Var) for x in (t.left, t.right)):

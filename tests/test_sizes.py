@@ -126,6 +126,21 @@ def test_optional_ranges_are_counted(spark, op):
     assert {r.id: (r.n, r.d, r.rows) for r in found} == {i: (n, n, max(n, 1)) for i, n in wanted.items()}
 
 
+def test_counted_ranges_hold_nan(spark):
+    """NaN stands above all numbers, whether pairs are made or only counted."""
+    values = [(i, 1, v) for i, v in enumerate([float("nan"), 0.0, -0.0, float("inf"), 1.0, None])]
+    g = Graph(spark)
+    g.add_nodes("few", spark.createDataFrame(values, "id long, k int, v double"), "id")
+    g.add_nodes("many", spark.createDataFrame(values, "id long, k int, v double"), "id")
+    g.add_nodes("at", spark.range(2), "id")
+    for kind, label in (("few_at", "few"), ("many_at", "many")):
+        g.add_edges(kind, label, "at", spark.range(6).selectExpr("id AS _src", "1L AS _dst"))
+    found = Session(g).execute("MATCH (f:few)-[:few_at]->(a:at) OPTIONAL MATCH (m:many)-[:many_at]->(a) WHERE m.v >= f.v RETURN f.id AS id, count(m) AS n").collect()
+    assert {r.id: r.n for r in found} == {0: 1, 1: 5, 2: 5, 3: 2, 4: 3, 5: 0}
+    found = Session(g).execute("MATCH (m:many), (f:few) WHERE m.k = f.k AND m.v >= f.v RETURN f.id AS id, count(*) AS n").collect()
+    assert {r.id: r.n for r in found} == {0: 1, 1: 5, 2: 5, 3: 2, 4: 3}
+
+
 def test_rounds_broadcast_no_pairs(spark, monkeypatch):
     """Joins by start and end, a round each: Spark takes 64 MB for a broadcast of several keys."""
     plans = []
