@@ -6,6 +6,7 @@ import pytest
 
 from sparkloom.catalog import Graph
 from sparkloom.operators import paths
+from sparkloom.queries import knows
 from sparkloom.session import Session
 from sparkloom.storage import cut
 
@@ -149,3 +150,29 @@ def test_rounds_broadcast_no_pairs(spark, monkeypatch):
     s, _ = _friends(spark, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4)])
     assert s.execute("MATCH (a:person {id: 0})-[p:knows*SHORTEST 1..6]->(b:person) RETURN count(*) AS n").first()[0] == 4
     assert sum("LeftAnti" in p for p in plans) > 1 and not any("BroadcastHashJoin" in x and "LeftAnti" in x for p in plans for x in p.splitlines())
+
+
+def _broadcast(plan):
+    """The columns of what a plan broadcasts."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _broadcast(plan.executedPlan())
+    own = {plan.output().apply(i).name() for i in range(plan.output().size())} if plan.nodeName() == "BroadcastExchange" else set()
+    return own.union(*[_broadcast(plan.children().apply(i)) for i in range(plan.children().size())])
+
+
+def test_cheapest_paths_broadcast_no_edges(spark, monkeypatch):
+    """Three edges a node, made by an explode that Spark takes for one: no round sends them through the driver."""
+    rounds, whole = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (rounds.append(_broadcast(df._jdf.queryExecution().executedPlan())), whole(df))[1])
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "200000")
+    try:
+        people = spark.range(4000).withColumnRenamed("id", "c_custkey")
+        g = Graph(spark)
+        g.add_nodes("customer", people, "c_custkey")
+        g.add_edges("knows", "customer", "customer", cut(knows(people)))
+        assert Session(g).execute("MATCH (a:customer {c_custkey: 0})-[p:knows*WSHORTEST(w)]->(b:customer) RETURN b.c_custkey AS b, cost(p) AS c").count() == 3999
+        assert len(rounds) > 10 and not any("near" in c for sent in rounds for c in sent)
+    finally:
+        spark.conf.set(limit, before)
